@@ -266,3 +266,15 @@ def quality_rules(docs: DataFrame, model: LineModel | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), *judge(part, model)], ["doc_id", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     return map_batches(own(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), run, f"doc_id long, {SCHEMA}")
+
+
+def keep_good(docs: DataFrame, model: LineModel | None = None) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    model = model or LineModel.load()
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for start, part in chunks(batch.column(at)):
+            yield batch.slice(start, len(part)).filter(judge(part, model)[-1])
+
+    return map_batches(docs, run, docs.schema)

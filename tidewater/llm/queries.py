@@ -9,12 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tidewater.llm.chat_format import format_chats, read_chats, turns_of_records, turns_of_rows
 from tidewater.llm.license_scan import COPYRIGHT_LINE, NOT_WORDS, license_scan
 from tidewater.llm.licence_texts import EQUIVALENTS, LICENCES, NOTICES
 from tidewater.llm.mixing import mix_sources
 from tidewater.llm.near_dedup import near_duplicates
+from tidewater.llm.pii import find_pii
 from tidewater.llm.quality import quality_rules
+from tidewater.llm.sentencepiece_codec import round_trip
 from tidewater.llm.shared import documents
 from tidewater.llm.simhash import document_fingerprints
 from tidewater.llm.token_counts import token_counts
@@ -67,6 +70,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, most=2)
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(documents(spark, sf_dir))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
@@ -75,6 +86,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -85,8 +100,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_chat_format,
             op5_token_counts,
             op6_mixing,
+            op7_sentencepiece,
+            op8_pii,
             op9_fingerprints,
             op10_quality_rules,
+            pipeline,
         )
     }
 
@@ -140,7 +158,8 @@ FROM said GROUP BY conv_id
 
 _MIX = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS ticket FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight
@@ -149,7 +168,7 @@ filled AS (
   SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY 2 * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sources),
 targets AS (
-  SELECT source, source_size, coalesce(least((2 * source_size)::DOUBLE, weight * min(level) FILTER (weight * level < 2 * source_size) OVER ()), (2 * source_size)::DOUBLE) AS target FROM filled),
+  SELECT source, source_size, coalesce(least((2 * source_size)::DOUBLE, weight * max(level) FILTER (weight * level < 2 * source_size) OVER ()), (2 * source_size)::DOUBLE) AS target FROM filled),
 plan AS (
   SELECT source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS copies FROM targets),
 placed AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import SPACES, own
@@ -34,12 +34,12 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     return summed.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fingerprint"))
 
 
-def likeness(a: str, b: str) -> F.Column:
+def likeness(a: str, b: str) -> Column:
     """1 less the share of bits that differ."""
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / F.lit(64)
 
 
-def hexed(column: str) -> F.Column:
+def hexed(column: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 

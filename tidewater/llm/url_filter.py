@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import map_batches, own
@@ -85,7 +85,7 @@ class UrlTrie:
         return best
 
 
-def split_url(url: str = "url") -> tuple[F.Column, F.Column]:
+def split_url(url: str = "url") -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path of a url column; both empty where it is null or has no ``://``."""
     text = F.coalesce(F.col(url), F.lit(""))
     pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
