@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidewater.queries import products
+from tidewater.queries.base import Query
+from tidewater.queries.products import flagship
 
-from pyspark.sql import DataFrame, SparkSession
+GROUPS = (products.group,)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+def queries() -> dict[str, Query]:
+    return {name: f for g in GROUPS for name, f in g.queries.items()}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for g in GROUPS for name, sql in g.oracles.items()}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]

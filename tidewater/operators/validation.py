@@ -53,7 +53,7 @@ RANGES = (
     ("copayAndZones.mandatoryPercent", 0, 100, True),
     ("sublimits.cataract.value", 0, None, True),
 )
-#: Objects that may hold nothing but their declared keys, and may not lack one.
+#: Objects may hold nothing but their declared keys, and lack none but these of the outermost.
 OPTIONAL = ("notes",)
 NON_EMPTY = ("product.insurer", "product.planName", "provenance.sourceName")
 REQUIRED_BOOLEANS = (
@@ -149,14 +149,17 @@ def key_errors(payload: Column) -> Column:
     for path, names in _objects(_schema()):
         where = "(root)" if not path else "/" + path.replace(".", "/")
         keys = F.json_object_keys(F.get_json_object(payload, f"$.{path}") if path else payload)
-        needed = F.array(*[F.lit(n) for n in names if n not in OPTIONAL])
-        known = F.array(*map(F.lit, names))
-        missing = F.transform(F.array_except(needed, keys), lambda k, w=where: F.concat(F.lit(f"{w}: must have required property "), k))
-        extra = F.transform(F.array_except(keys, known), lambda k, w=where: F.concat(F.lit(f"{w}: must not have additional property "), k))
+        needed = F.array(*[F.lit(n) for n in names if path or n not in OPTIONAL])
+        missing = _each(F.array_except(needed, keys), f"{where}: must have required property ")
+        extra = _each(F.array_except(keys, F.array(*map(F.lit, names))), f"{where}: must not have additional property ")
         parts.append(F.when(keys.isNotNull(), F.concat(missing, extra)).otherwise(F.array().cast("array<string>")))
     return F.concat(*parts)
 
 
+def _each(keys: Column, text: str) -> Column:
+    return F.transform(keys, lambda k: F.concat(F.lit(text), k))
+
+
 def value_errors() -> Column:
     """Broken rules of typed product columns, as array<string>, in the order of ``RULES``."""
     said = F.array(*[F.when(~F.coalesce(F.expr(r.holds), F.lit(False)), F.lit(f"{r.path}: {r.message}")) for r in RULES])
