@@ -2,7 +2,8 @@
 
 The model's protobuf is read field by field and rebuilt as a tokenizers pipeline: normaliser,
 metaspace marker, unigram scores or the merges that BPE scores imply, and byte fallback.
-Batches are encoded with several threads. Before a worker uses a rebuilt tokenizer it must
+Batches are encoded with several threads. Where no piece reaches across a marker, texts are
+cut before their markers, and each distinct segment of a batch is encoded once. Before a worker uses a rebuilt tokenizer it must
 agree with the sentencepiece library on a fixed set of probes; ``parity`` compares whole texts.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from tidewater.llm.flat import chunks
+from tidewater.llm.flat import FlatText, chunks
 from tidewater.llm.shared import map_batches, own
 
 MARK = "▁"
@@ -30,6 +31,12 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
+#: Threads that encode a batch in one worker process, and bytes of text in it.
+THREADS, BATCH_BYTES = 2, 1 << 21
+#: Segments that one call of the library encodes, and whose results a worker keeps before it starts
+#: afresh: bounds on memory, not on results.
+SEGMENT_BATCH, MAX_SEGMENTS = 10_000, 500_000
+
 #: Texts on which a rebuilt tokenizer must agree with the library before it is used.
 PROBES = ("", " ", "  ", "Hello world", " lead", "trail ", "a  b   c", "tab\tnew\nline\r\n", "Éçole naïve ñandú Ü", "你好 мир", "🙂 ​﻿", "<s> </s> <unk> <0x41>", f"x{MARK}y {MARK}", "don't stop!! 123456 a1b2", "\x00\x01 \x7f")
 
@@ -133,17 +140,116 @@ class SentenceModel:
         return out
 
 
+class _Ragged:
+    """Rows of different lengths end to end, in an array that grows by doubling."""
+
+    def __init__(self, kind: type):
+        self.values, self.at, self.used = np.empty(1024, kind), [0], 0
+
+    def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.values):
+            self.values = np.concatenate([self.values[: self.used], np.empty(2 * need - self.used, self.values.dtype)])
+        self.values[self.used : need] = values
+        self.at.extend((self.used + np.cumsum(lengths)).tolist())
+        self.used = need
+
+    def take(self, rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        done = np.cumsum(lengths)
+        return self.values[np.repeat(starts[rows] - (done - lengths), lengths) + np.arange(int(done[-1]) if len(done) else 0)]
+
+
+class Codec:
+    """A rebuilt tokenizer, and where the model allows it a second one for single segments, whose results a worker keeps."""
+
+    def __init__(self, path: str):
+        model = SentenceModel.read(path)
+        self.whole = model.tokenizer()
+        plain = not model.charsmap and not model.squeeze and model.dummy_prefix and model.escape
+        self.segment: Tokenizer | None = None
+        if plain and model.words_apart and not any(kind == USER for _, _, kind in model.pieces):
+            self.segment = Tokenizer(self.whole.model)
+            self.segment.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[int, int] = {}
+        self.ids, self.said = _Ragged(np.int32), _Ragged(np.uint8)
+
+    def _rows(self, keys: np.ndarray, segment_of) -> np.ndarray:
+        """Each distinct segment's row in the kept results; those not kept yet are encoded and decoded together."""
+        if len(self.index) > MAX_SEGMENTS:
+            self._forget()
+        listed = keys.tolist()
+        rows = np.array([self.index.get(k, -1) for k in listed])
+        new = np.flatnonzero(rows < 0)
+        for k in range(0, len(new), SEGMENT_BATCH):
+            part = new[k : k + SEGMENT_BATCH].tolist()
+            ids = [e.ids for e in self.segment.encode_batch_fast([segment_of(i) for i in part], add_special_tokens=False)]
+            said = [x.encode() for x in self.segment.decode_batch(ids, skip_special_tokens=False)]
+            for i in part:
+                rows[i] = self.index[listed[i]] = len(self.index)
+            size = np.array([len(x) for x in ids])
+            self.ids.extend(np.fromiter((i for x in ids for i in x), np.int32, int(size.sum())), size)
+            self.said.extend(np.frombuffer(b"".join(said), np.uint8), np.array([len(x) for x in said]))
+        return rows
+
+    def encode(self, texts: list[str], decode: bool = False) -> tuple[pa.ListArray, list[bytes] | None]:
+        """The ids of each text; with ``decode`` also what they decode to, in UTF-8."""
+        if self.segment is None:
+            ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            return _lists(np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])), [x.encode() for x in self.decode(ids)] if decode else None
+        joined = "".join([MARK + x.replace(" ", MARK) if x else "" for x in texts])
+        is_mark = np.frombuffer(joined.encode("utf-32-le"), np.uint32) == ord(MARK)
+        ends = np.cumsum([len(x) + 1 if x else 0 for x in texts])
+        start = is_mark.copy()
+        start[1:] &= ~is_mark[:-1]
+        start[ends[:-1][ends[:-1] < len(joined)]] = True
+        starts = np.flatnonzero(start)
+        flat = FlatText(pa.array([joined], pa.large_string()))
+        begins = np.flatnonzero((flat.bytes & 0xC0) != 0x80)[starts]
+        closes = np.append(begins[1:], len(flat.bytes)) if len(begins) else begins
+        keys, first, which = np.unique(flat.hashes(begins, closes), return_index=True, return_inverse=True)
+        raw = flat.bytes.tobytes()
+        rows = self._rows(keys, lambda i: raw[begins[first[i]] : closes[first[i]]].decode())[which]
+        of_text = np.searchsorted(starts, np.concatenate([[0], ends]))
+
+        def gathered(kept: _Ragged) -> tuple[np.ndarray, np.ndarray]:
+            at = np.array(kept.at)
+            lengths = np.diff(at)[rows]
+            return kept.take(rows, at, lengths), np.concatenate([[0], np.cumsum(lengths)])[of_text]
+
+        ids, at = gathered(self.ids)
+        lists = _lists(ids, np.diff(at))
+        if not decode:
+            return lists, None
+        said, at = gathered(self.said)
+        spoken = said.tobytes()
+        # The first marker, which the model puts before a text, is not part of it.
+        return lists, [spoken[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.whole.decode_batch(ids, skip_special_tokens=False)
+
+
+def _lists(flat: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(flat))
+
+
 @cache
-def tokenizer(path: str) -> Tokenizer:
+def codec(path: str) -> Codec:
     """The rebuilt tokenizer of a model file, one for each worker process, once it has passed the probes."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     import sentencepiece
 
-    rebuilt, library = SentenceModel.read(path).tokenizer(), sentencepiece.SentencePieceProcessor(model_file=path)
-    for probe in PROBES:
-        ids = rebuilt.encode(probe, add_special_tokens=False).ids
-        if ids != library.encode(probe) or rebuilt.decode(ids, skip_special_tokens=False) != library.decode(ids):
-            raise ValueError(f"{path} can't be rebuilt exactly: {probe!r} differs from the library")
+    rebuilt, library = Codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    probes = list(PROBES)
+    expected = library.encode(probes, num_threads=1)
+    lists, said = rebuilt.encode(probes, decode=True)
+    spoken = [library.decode(x) for x in expected]
+    if lists.to_pylist() != expected or said != [x.encode() for x in spoken] or rebuilt.decode(expected) != spoken:
+        raise ValueError(f"{path} can't be rebuilt exactly: a probe differs from the library")
     return rebuilt
 
 
@@ -151,28 +257,21 @@ def parity(path: str, texts: list[str]) -> list[bool]:
     """For each text, whether ids and decoded text are the library's."""
     import sentencepiece
 
-    library, rebuilt = sentencepiece.SentencePieceProcessor(model_file=path), tokenizer(path)
-    mine = [e.ids for e in rebuilt.encode_batch_fast(texts, add_special_tokens=False)]
-    return [a == b and d == library.decode(b) for a, b, d in zip(mine, library.encode(texts, num_threads=1), rebuilt.decode_batch(mine, skip_special_tokens=False), strict=True)]
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    lists, said = codec(path).encode(texts, decode=True)
+    theirs = library.encode(texts, num_threads=1)
+    return [a == b and d == library.decode(b).encode() for a, b, d in zip(lists.to_pylist(), theirs, said, strict=True)]
 
 
 def _batches(docs: DataFrame, model: str, schema: str, columns) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        machine = tokenizer(model)
-        for start, part in chunks(batch.column(1), 1 << 20):
-            texts = pc.fill_null(part, "").to_pylist()
-            ids = [e.ids for e in machine.encode_batch_fast(texts, add_special_tokens=False)]
-            made = columns(machine, texts, ids)
+        for start, part in chunks(batch.column(1), BATCH_BYTES):
+            made = columns(codec(model), pc.fill_null(part, "").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), *made], [x.split()[0] for x in schema.split(", ")])
 
     return map_batches(own(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")), run, schema)
 
 
-def _id_lists(ids: list[list[int]]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))))
-
-
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, any more): doc_id, ids, n_pieces, without begin or end.
 
@@ -180,15 +279,22 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
     encoded, special strings inside them as ordinary text. A null or empty text has no pieces.
     Repeated rows get the same result each; extra columns are ignored.
     """
-    return _batches(docs, model, "doc_id long, ids array<int>, n_pieces long", lambda machine, texts, ids: [_id_lists(ids), pa.array([len(x) for x in ids], pa.int64())])
+
+    def columns(machine: Codec, texts: list[str]) -> list[pa.Array]:
+        lists, _ = machine.encode(texts)
+        return [lists, pc.list_value_length(lists).cast(pa.int64())]
+
+    return _batches(docs, model, "doc_id long, ids array<int>, n_pieces long", columns)
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
     """(doc_id, ids, any more) to (doc_id, text); null ids give an empty text."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        texts = tokenizer(model).decode_batch([x or [] for x in batch.column(1).to_pylist()], skip_special_tokens=False)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+        for start in range(0, batch.num_rows, 64):
+            part = batch.slice(start, 64)
+            texts = codec(model).decode([x or [] for x in part.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return map_batches(own(encoded, "doc_id", "ids").withColumn("doc_id", F.col("doc_id").cast("long")), run, "doc_id long, text string")
 
@@ -199,13 +305,14 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     lossless tells whether the decoded text equals the original (null: empty). Cases as in ``encode_pieces``.
     """
 
-    def columns(machine: Tokenizer, texts: list[str], ids: list[list[int]]) -> list[pa.Array]:
-        back = machine.decode_batch(ids, skip_special_tokens=False)
+    def columns(machine: Codec, texts: list[str]) -> list[pa.Array]:
+        lists, back = machine.encode(texts, decode=True)
+        raw, at = lists.values.to_numpy().astype("<i4").tobytes(), lists.offsets.to_pylist()
         return [
-            pa.array([len(x) for x in ids], pa.int64()),
-            pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
-            pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+            pc.list_value_length(lists).cast(pa.int64()),
+            pa.array([hashlib.sha256(raw[a * 4 : b * 4]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.string()),
+            pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
+            pa.array([a.encode() == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
         ]
 
     return _batches(docs, model, "doc_id long, n_pieces long, ids_sha256 string, decoded_sha256 string, lossless boolean", columns)
