@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewater.queries import products
+from tidewater.queries import products, texts
 from tidewater.queries.base import Query
 from tidewater.queries.products import flagship
 
-GROUPS = (products.group,)
+GROUPS = (products.group, texts.group)
 
 
 def queries() -> dict[str, Query]:

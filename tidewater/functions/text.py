@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space in the Unicode sense, spelled out so that every engine agrees.
 WHITE = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -32,7 +33,7 @@ def clean_text(text: Column) -> Column:
     return squeeze(strip_script(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain_ascii(text: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII: the one step that SQL lacks."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")

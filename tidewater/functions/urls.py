@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: File kinds that documents may have, and their media types.
 MEDIA_TYPES = {
@@ -31,7 +32,7 @@ def same_domain(a: Column, b: Column) -> Column:
     return (authority(a) == authority(b)) & (authority(a) != "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series(["" if not u else urljoin(b or "", u) for b, u in zip(base, url, strict=True)])
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_BYTES = 25 * 1024 * 1024
 QUEUE = (
@@ -88,7 +89,7 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
 
     chosen = dict(extractors) if extractors is not None else _pdf_extractor()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def run(path: pd.Series, content: pd.Series) -> pd.Series:
         def one(p: str, c: bytes) -> str:
             reader = chosen.get("." + p.rsplit(".", 1)[-1].lower())

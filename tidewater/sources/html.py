@@ -14,6 +14,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from tidewater.functions.text import DEVANAGARI
 
@@ -150,17 +151,24 @@ def table(root: Node, table_id: str) -> dict | None:
     return {"headers": names, "rows": rows}
 
 
-@F.pandas_udf("string")
+_TEXTS = ArrayType(StringType())
+
+
+def _records(*texts: str, **lists: DataType) -> ArrayType:
+    return ArrayType(StructType([StructField(n, StringType()) for n in texts] + [StructField(n, kind) for n, kind in lists.items()]))
+
+
+@F.pandas_udf(StringType())
 def page_text(html: pd.Series) -> pd.Series:
     return html.map(lambda x: tree(x).text())
 
 
-@F.pandas_udf("array<struct<level:string,title:string,href:string,description:string>>")
+@F.pandas_udf(_records("level", "title", "href", "description"))
 def page_headings(html: pd.Series) -> pd.Series:
     return html.map(lambda x: headings(tree(x)))
 
 
-@F.pandas_udf("array<struct<href:string,text:string,attributes:array<string>,ancestors:array<string>>>")
+@F.pandas_udf(_records("href", "text", attributes=_TEXTS, ancestors=_TEXTS))
 def page_links(html: pd.Series) -> pd.Series:
     return html.map(lambda x: links(tree(x)))
 
@@ -168,7 +176,7 @@ def page_links(html: pd.Series) -> pd.Series:
 def page_table(html: Column, table_id: str) -> Column:
     """struct<headers, rows> of the table with that id, or null."""
 
-    @F.pandas_udf("struct<headers:array<string>,rows:array<array<string>>>")
+    @F.pandas_udf(StructType([StructField("headers", _TEXTS), StructField("rows", ArrayType(_TEXTS))]))
     def scan(pages: pd.Series) -> pd.DataFrame:
         found = [table(tree(x), table_id) or {"headers": None, "rows": None} for x in pages]
         return pd.DataFrame({"headers": pd.Series([f["headers"] for f in found], dtype=object), "rows": pd.Series([f["rows"] for f in found], dtype=object)})
