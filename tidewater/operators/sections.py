@@ -104,8 +104,9 @@ def match_sections(sections: DataFrame, products: DataFrame, schemas: Schemas =
     title = F.lower("title")
     exact = title == F.lower("section_name")
     near = F.exists("aliases", lambda a: title.contains(a))
-    hits = wanted.join(sections, key).where(exact | near).withColumn("confidence", F.when(exact, EXACT).otherwise(BY_ALIAS))
-    first = hits.groupBy(key, "category", "section_name").agg(F.min_by(F.struct("content", "confidence"), "ordinal").alias("hit"))
+    placed = sections.select(key, F.col("ordinal").alias("_at"), "title", F.col("content").alias("_content"))
+    hits = wanted.join(placed, key).where(exact | near).withColumn("confidence", F.when(exact, EXACT).otherwise(BY_ALIAS))
+    first = hits.groupBy(key, "category", "section_name").agg(F.min_by(F.struct(F.col("_content").alias("content"), "confidence"), "_at").alias("hit"))
     return wanted.join(first, [key, "category", "section_name"], "left").select(
         key, "category", F.col("version").alias("schema_version"), "ordinal", "section_name", F.coalesce("hit.content", F.lit("")).alias("content"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence")
     )
