@@ -102,7 +102,7 @@ def suggestions(products: DataFrame, categories: DataFrame, text: str, most: int
     hits = products.where(F.lower("name").contains(text.lower())) if text else products.limit(0)
     first = hits.select("ordinal", "id", "name", "categoryId").orderBy("ordinal").limit(most)
     labels = categories.select(F.col("id").alias("categoryId"), "label")
-    return first.join(labels, "categoryId", "left").select("ordinal", "id", "name", F.coalesce("label", F.lit("All")).alias("label"))
+    return first.join(labels, "categoryId", "left").select("ordinal", "id", "name", F.coalesce("label", F.lit("All")).alias("label")).orderBy("ordinal")
 
 
 def category_counts(categories: DataFrame, products: DataFrame) -> DataFrame:

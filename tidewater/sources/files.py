@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidewater.functions.text import strip_script
+
 MAX_BYTES = 25 * 1024 * 1024
 QUEUE = (
     "insurer_id string, insurer_name string, document_id string, document_type string, product_id string, product_name string, "
@@ -83,10 +86,6 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
 
     By default ``.pdf`` is read with pdfminer where that is installed.
     """
-    import pandas as pd
-
-    from tidewater.functions.text import strip_script
-
     chosen = dict(extractors) if extractors is not None else _pdf_extractor()
 
     @F.pandas_udf(StringType())
