@@ -43,7 +43,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(texts: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+def chunks(texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, pa.Array]]:
     """Slices of whole texts of about ``max_bytes``, with the index of their first text."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,10 +33,10 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: Threads that encode a batch in one worker process, and bytes of text in it.
-THREADS, BATCH_BYTES = 2, 1 << 21
+THREADS, BATCH_BYTES = 2, 1 << 20
 #: Segments that one call of the library encodes, and whose results a worker keeps before it starts
 #: afresh: bounds on memory, not on results.
-SEGMENT_BATCH, MAX_SEGMENTS = 10_000, 500_000
+SEGMENT_BATCH, MAX_SEGMENTS = 5_000, 200_000
 
 #: Texts on which a rebuilt tokenizer must agree with the library before it is used.
 PROBES = ("", " ", "  ", "Hello world", " lead", "trail ", "a  b   c", "tab\tnew\nline\r\n", "Éçole naïve ñandú Ü", "你好 мир", "🙂 ​﻿", "<s> </s> <unk> <0x41>", f"x{MARK}y {MARK}", "don't stop!! 123456 a1b2", "\x00\x01 \x7f")
@@ -165,7 +166,11 @@ class Codec:
     def __init__(self, path: str):
         model = SentenceModel.read(path)
         self.whole = model.tokenizer()
-        plain = not model.charsmap and not model.squeeze and model.dummy_prefix and model.escape
+        # The library never matches control and byte pieces in a text; a unigram tokenizer would, so it leaves such texts to the library.
+        names = [re.escape(p) for p, _, kind in model.pieces if kind not in (NORMAL, USER)]
+        self.literal = re.compile("|".join(names)) if model.kind == UNIGRAM and names else None
+        self.path, self.library = path, None
+        plain = model.kind == BPE and not model.charsmap and not model.squeeze and model.dummy_prefix and model.escape
         self.segment: Tokenizer | None = None
         if plain and model.words_apart and not any(kind == USER for _, _, kind in model.pieces):
             self.segment = Tokenizer(self.whole.model)
@@ -181,7 +186,7 @@ class Codec:
         if len(self.index) > MAX_SEGMENTS:
             self._forget()
         listed = keys.tolist()
-        rows = np.array([self.index.get(k, -1) for k in listed])
+        rows = np.array([self.index.get(k, -1) for k in listed], np.int64)
         new = np.flatnonzero(rows < 0)
         for k in range(0, len(new), SEGMENT_BATCH):
             part = new[k : k + SEGMENT_BATCH].tolist()
@@ -198,6 +203,8 @@ class Codec:
         """The ids of each text; with ``decode`` also what they decode to, in UTF-8."""
         if self.segment is None:
             ids = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+            for i in [i for i, x in enumerate(texts) if self.literal and self.literal.search(x)]:
+                ids[i] = self._by_library(texts[i])
             return _lists(np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])), [x.encode() for x in self.decode(ids)] if decode else None
         joined = "".join([MARK + x.replace(" ", MARK) if x else "" for x in texts])
         is_mark = np.frombuffer(joined.encode("utf-32-le"), np.uint32) == ord(MARK)
@@ -228,6 +235,12 @@ class Codec:
         # The first marker, which the model puts before a text, is not part of it.
         return lists, [spoken[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
+    def _by_library(self, text: str) -> list[int]:
+        import sentencepiece
+
+        self.library = self.library or sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return self.library.encode(text)
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(ids, skip_special_tokens=False)
 
