@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import SPACES, own
+from tidewater.llm.shared import SPACES, own, staged
 
 #: A term's weight is its length in code points, up to this.
 MAX_WEIGHT = 12
@@ -91,16 +91,37 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.withColumn("next_text", F.when(~F.col("orphan"), F.lead("text").over(order)))
 
 
-def document_fingerprints(docs: DataFrame) -> DataFrame:
+def near_counts(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+    """(query, n_near): how many rows of ``table`` lie within ``radius`` of each distinct fingerprint of ``queries``."""
+    sizes = table.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    return near_fingerprints(queries, sizes, radius, blocks).join(sizes, "fingerprint").groupBy("query").agg(F.sum("n").alias("n_near"))
+
+
+def document_fingerprints(docs: DataFrame, search_every: int = 50, radius: int = 3, blocks: int = 6) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, any more), compared with an edit of itself and with the next document.
 
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next. The edit replaces the last floor(n_chars / 2) code points by the first as many
-    of the next document. A null text counts as empty. A row without doc_id has no next
-    document: its edit only drops the half, and near_next is null. The rows of a repeated
-    doc_id follow each other. Extra columns are ignored.
+    near_next, n_near. The edit replaces the last floor(n_chars / 2) code points by the first as
+    many of the next document. n_near counts the rows, itself included, whose fingerprint lies
+    within ``radius``; the searched rows are those whose doc_id ``search_every`` divides, and
+    others have null. A null text counts as empty. A row without doc_id has no next document:
+    its edit only drops the half, and near_next is null. The rows of a repeated doc_id follow
+    each other. Extra columns are ignored.
     """
     rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    made = staged(_compared(rows), "fingerprints")
+    asked = F.coalesce(F.col("doc_id") % search_every == 0, F.lit(False))
+    prints = made.select(F.col("own").alias("fingerprint"))
+    near = near_counts(made.where(asked).select(F.col("own").alias("fingerprint")), prints, radius, blocks)
+    searched = made.where(asked).join(near, F.col("own") == F.col("query"), "left").drop("query")
+    every = searched.unionByName(made.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+    return every.select(
+        "doc_id", "n_chars", "edited_sha256", hexed("own").alias("fingerprint"), hexed("edit").alias("edited_fingerprint"), likeness("own", "edit").alias("near_edited"), likeness("own", "ahead").alias("near_next"), "n_near"
+    )
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, own, edit, ahead): fingerprints of each text, its edit and the next text."""
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))
@@ -111,8 +132,4 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     voted = fingerprints(sides.select(*key, *told, "of.side", "of.text"), [*key, *told, "side"])
     both = voted.groupBy(*key, *told).agg(F.max(F.when(F.col("side") == 0, F.col("fingerprint"))).alias("own"), F.max(F.when(F.col("side") == 1, F.col("fingerprint"))).alias("edit"))
     ahead = F.when(~F.col("orphan"), F.lead("own").over(Window.partitionBy("range", "orphan").orderBy("nth")))
-    return (
-        both.withColumn("ahead", ahead)
-        .where(~F.col("copy"))
-        .select("doc_id", "n_chars", "edited_sha256", hexed("own").alias("fingerprint"), hexed("edit").alias("edited_fingerprint"), likeness("own", "edit").alias("near_edited"), likeness("own", "ahead").alias("near_next"))
-    )
+    return both.withColumn("ahead", ahead).where(~F.col("copy")).select("doc_id", "n_chars", "edited_sha256", "own", "edit", "ahead")
