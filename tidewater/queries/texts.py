@@ -227,7 +227,11 @@ def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.explode(page_headings("html")).alias("h")).select("page_id", "h.level", "h.title")
 
 
-@group.query()
+_ENTITIES = "replace(replace(replace(replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&')"
+_TEXT = _ENTITIES.format(r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))")
+
+
+@group.query(f"SELECT page_id, {_TEXT} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", page_text("html").alias("text"))
 
@@ -245,14 +249,23 @@ def html_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page", "pos", F.try_element_at("cells", F.lit("A")).alias("a"), F.try_element_at("cells", F.lit("B&C")).alias("bc"))
 
 
-@group.query()
+_HEADED = r"trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?s)<h([1-4])[^>]*>(.*?)</h', 2)), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_SPOKEN = {"english": " the | and ", "german": " die | und ", "romance": " que | la "}
+
+
+@group.query(
+    f"WITH heads AS (SELECT page_id, {_TEXT} AS page, {_HEADED} AS raw FROM pages), titled AS (SELECT page_id, page, {_ENTITIES.format('raw')} AS title FROM heads)"
+    " SELECT page_id, title, CASE " + " ".join(f"WHEN regexp_matches(lower(title || ' ' || page), '{w}') THEN '{k}'" for k, w in _SPOKEN.items()) + " ELSE 'other' END AS category, concat_ws(',', "
+    + ", ".join(f"CASE WHEN regexp_matches(lower(title), '{w}') THEN '{k}' END" for k, w in _SPOKEN.items())
+    + ") AS tags FROM titled WHERE length(title) > 5 AND regexp_matches(lower(title), 'the|die|que|les|plan')"
+)
 def product_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All headings with a product-like word; the pages' own words stand in for the domain's."""
     found = table(spark, sf_dir, "pages").select("page_id", page_text("html").alias("page"), F.explode(page_headings("html")).alias("h"))
     title = F.col("h.title")
     kept = found.where(C.potential_product(title, ("the", "die", "que", "les", "plan")))
     kinds = {"english": (" the ", " and "), "german": (" die ", " und "), "romance": (" que ", " la ")}
-    return kept.select("page_id", title.alias("title"), C.category(title, F.col("page"), kinds).alias("category"), F.array_join(C.tags(title, kinds), ",").alias("tags"), F.length("h.description").alias("n_description"))
+    return kept.select("page_id", title.alias("title"), C.category(title, F.col("page"), kinds).alias("category"), F.array_join(C.tags(title, kinds), ",").alias("tags"))
 
 
 # Classification. Parts' types stand in for titles; traps show that keywords are substrings.
