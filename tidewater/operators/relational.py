@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.sources.staging import staged
+
 #: Sides of at most so many rows are broadcast; larger ones are joined by shuffling.
 MAX_BROADCAST_ROWS = 200_000
 
@@ -165,16 +167,14 @@ def violations(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
-def crawl(roots: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 80, checkpoint=None) -> DataFrame:
+def crawl(roots: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 80) -> DataFrame:
     """Breadth-first visits (root, url, depth, visit) along ``links`` (url, pos, target), each url once, at most ``max_pages`` a root.
 
     Levels are DataFrames; within one, urls come in the order in which a queue would yield them:
     by the visit of the page that first names them, then by place on it. ``roots``: (root, url).
-    ``checkpoint`` cuts lineage after each level (by default DataFrame.checkpoint where a folder
-    is set, else none is needed for so few levels).
+    Each level is staged, so that no level is computed twice and lineage stays short.
     """
-    cut = checkpoint or (lambda df: df)
-    visited = cut(roots.select("root", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit")))
+    visited = roots.select("root", "url", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("visit"))
     frontier = visited
     for depth in range(1, max_depth + 1):
         named = frontier.join(links, "url").select("root", F.col("target").alias("url"), F.struct("visit", "pos").alias("at"))
@@ -184,6 +184,6 @@ def crawl(roots: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int
         ranked = fresh.withColumn("nth", nth).where(F.col("nth") <= max_pages)
         seen = visited.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
         placed = ranked.join(seen, "root").select("root", "url", F.lit(depth).alias("depth"), (F.col("n") + F.col("nth") - 1).alias("visit"))
-        frontier = cut(placed.where(F.col("visit") < max_pages))
-        visited = cut(visited.unionByName(frontier))
+        frontier = staged(placed.where(F.col("visit") < max_pages), "level")
+        visited = visited.unionByName(frontier)
     return visited

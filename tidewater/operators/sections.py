@@ -71,13 +71,11 @@ def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
 
 
-def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ordinal, title, content): the lines below each heading, joined; headings without lines vanish.
+def section_array(text: Column) -> Column:
+    """array<struct<title, content>>: the lines below each heading, joined; headings without lines vanish.
 
-    Islands are numbered by a running count of headings inside the document's own array of
-    lines, so that no window and no shuffle is needed.
+    One fold over the text's own lines, so that neither a window nor a shuffle is needed.
     """
-    marked = docs.select(key, lines(F.col(text)).alias("lines"))
     start = F.struct(F.lit(FIRST_TITLE).alias("title"), F.array().cast("array<string>").alias("body"), F.array().cast("array<struct<title:string,content:string>>").alias("done"))
 
     def flush(state: Column) -> Column:
@@ -89,7 +87,25 @@ def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         more = F.struct(state["title"].alias("title"), F.array_append(state["body"], line).alias("body"), state["done"].alias("done"))
         return F.when(is_heading(line), heading).otherwise(more)
 
-    return marked.select(key, F.posexplode(F.aggregate("lines", start, add, flush)).alias("ordinal", "section")).select(key, "ordinal", "section.title", "section.content")
+    return F.aggregate(lines(text), start, add, flush)
+
+
+def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ordinal, title, content) of each document's sections."""
+    return docs.select(key, F.posexplode(section_array(F.col(text))).alias("ordinal", "section")).select(key, "ordinal", "section.title", "section.content")
+
+
+def _matched(rows: DataFrame, key: str, schemas: Schemas) -> DataFrame:
+    """(key, category, sections) to a row for each section that the category defines; all inside the document's row."""
+    defined = definitions(rows.sparkSession, schemas).groupBy("category", "version").agg(F.array_sort(F.collect_list(F.struct("ordinal", "section_name", "aliases"))).alias("defined"))
+    title = lambda s: F.lower(s["title"])
+    exact = lambda s, d: title(s) == F.lower(d["section_name"])
+    fits = lambda d: F.filter("sections", lambda s: exact(s, d) | F.exists(d["aliases"], lambda a: title(s).contains(a)))
+    first = lambda d: F.get(F.transform(fits(d), lambda s: F.struct(s["content"].alias("content"), F.when(exact(s, d), EXACT).otherwise(BY_ALIAS).alias("confidence"))), F.lit(0))
+    joined = rows.where(F.size("sections") > 0).join(F.broadcast(defined), "category")
+    found = joined.select(key, "category", "version", F.explode(F.transform("defined", lambda d: F.struct(d["ordinal"].alias("ordinal"), d["section_name"].alias("section_name"), first(d).alias("hit")))).alias("m"))
+    content, confidence = F.coalesce("m.hit.content", F.lit("")), F.coalesce("m.hit.confidence", F.lit(0.0))
+    return found.select(key, "category", F.col("version").alias("schema_version"), "m.ordinal", "m.section_name", content.alias("content"), confidence.alias("confidence"))
 
 
 def match_sections(sections: DataFrame, products: DataFrame, schemas: Schemas = SCHEMAS, key: str = "doc_id") -> DataFrame:
@@ -99,24 +115,15 @@ def match_sections(sections: DataFrame, products: DataFrame, schemas: Schemas =
     and confidence; where none does, they are empty and 0. Documents without sections, and
     unknown categories, give no rows.
     """
-    spark = sections.sparkSession
-    wanted = products.join(sections.select(key).distinct(), key, "left_semi").join(F.broadcast(definitions(spark, schemas)), "category")
-    title = F.lower("title")
-    exact = title == F.lower("section_name")
-    near = F.exists("aliases", lambda a: title.contains(a))
-    placed = sections.select(key, F.col("ordinal").alias("_at"), "title", F.col("content").alias("_content"))
-    hits = wanted.join(placed, key).where(exact | near).withColumn("confidence", F.when(exact, EXACT).otherwise(BY_ALIAS))
-    first = hits.groupBy(key, "category", "section_name").agg(F.min_by(F.struct(F.col("_content").alias("content"), "confidence"), "_at").alias("hit"))
-    return wanted.join(first, [key, "category", "section_name"], "left").select(
-        key, "category", F.col("version").alias("schema_version"), "ordinal", "section_name", F.coalesce("hit.content", F.lit("")).alias("content"), F.coalesce("hit.confidence", F.lit(0.0)).alias("confidence")
-    )
+    gathered = sections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "title", "content"))).alias("sections"))
+    return _matched(products.select(key, "category").join(gathered, key), key, schemas)
 
 
 def policy_sections(docs: DataFrame, schemas: Schemas = SCHEMAS, doc_types: tuple[str, ...] | None = None) -> DataFrame:
-    """(doc_id, category, text[, document_type]) to canonical sections; ``doc_types`` limits the kinds of documents."""
+    """(doc_id, category, text[, document_type]) to canonical sections; ``doc_types`` limits the kinds of documents. No shuffle."""
     if doc_types is not None:
         docs = docs.where(F.col("document_type").isin(*doc_types))
-    return match_sections(split_sections(docs), docs.select("doc_id", "category"), schemas)
+    return _matched(docs.select("doc_id", "category", section_array(F.col("text")).alias("sections")), "doc_id", schemas)
 
 
 def sections_by_window(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

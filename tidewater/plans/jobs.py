@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.urls import MEDIA_TYPES
 from tidewater.operators.relational import absent, by_insurers, lookup
 from tidewater.operators.sections import SCHEMAS, policy_sections
+from tidewater.sources.staging import staged
 
 MAPPED_TYPES = ("policy_wording", "brochure")
 MAPPING = ("insurer_id", "insurer_name", "product_id", "product_name", "document_id", "document_type", "source_url", "local_path", "anchor_text", "discovered_from_url", "discovery_method")
@@ -93,11 +94,12 @@ def reprocess_stats(documents: DataFrame) -> DataFrame:
 def retry_rounds(jobs: DataFrame, attempt, rounds: int, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
     """Runs ``attempt(jobs, round)``, which returns the keys that succeeded, ``rounds`` + 1 times on what is left.
 
-    Returns (done: key and round, left). Only failures go on to the next round.
+    Returns (done: key and round, left). Only failures go on to the next round; each round's
+    successes are staged, so that no attempt is made twice.
     """
     left, done = jobs, None
     for n in range(rounds + 1):
-        succeeded = attempt(left, n).select(key).distinct().withColumn("round", F.lit(n))
+        succeeded = staged(attempt(left, n).select(key).distinct().withColumn("round", F.lit(n)), "round")
         done = succeeded if done is None else done.unionByName(succeeded)
         left = left.join(succeeded.select(key), key, "left_anti")
     return done, left
