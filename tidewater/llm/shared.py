@@ -1,57 +1,19 @@
-"""Shared-folder staging and Arrow helpers for the operators of this subpackage."""
+"""Arrow helpers for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources.staging import staged
+
 #: What separates words, for Spark's regular expressions and for DuckDB's.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 
-_made: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, for this application.
-
-    Where the setting is unset, a local session gets a temporary folder; on a cluster that
-    would lose data, so it is an error there.
-    """
-    context = spark.sparkContext
-    if context.applicationId in _made:
-        return _made[context.applicationId]
-    root = context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-    folder = f"{root.rstrip('/')}/tidewater-{context.applicationId}"
-    _made[context.applicationId] = folder
-    atexit.register(_remove, spark, folder)
-    return folder
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: lineage ends there, and executors may be lost."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over whole record batches; ``function`` yields what one batch becomes."""
 
@@ -70,3 +32,6 @@ def own(df: DataFrame, *names: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+__all__ = ["SPACES", "WORD", "documents", "map_batches", "own", "staged"]
