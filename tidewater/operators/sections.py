@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.functions.text import heading_title, is_heading, lines
+from tidewater.functions.text import heading_title, is_clean_heading, lines
 
 FIRST_TITLE = "Overview"
 SCHEMA_VERSION = "1.0"
@@ -85,7 +85,7 @@ def section_array(text: Column) -> Column:
     def add(state: Column, line: Column) -> Column:
         heading = F.struct(heading_title(line).alias("title"), F.array().cast("array<string>").alias("body"), flush(state).alias("done"))
         more = F.struct(state["title"].alias("title"), F.array_append(state["body"], line).alias("body"), state["done"].alias("done"))
-        return F.when(is_heading(line), heading).otherwise(more)
+        return F.when(is_clean_heading(line), heading).otherwise(more)
 
     return F.aggregate(lines(text), start, add, flush)
 
@@ -102,8 +102,10 @@ def _matched(rows: DataFrame, key: str, schemas: Schemas) -> DataFrame:
     exact = lambda s, d: title(s) == F.lower(d["section_name"])
     fits = lambda d: F.filter("sections", lambda s: exact(s, d) | F.exists(d["aliases"], lambda a: title(s).contains(a)))
     first = lambda d: F.get(F.transform(fits(d), lambda s: F.struct(s["content"].alias("content"), F.when(exact(s, d), EXACT).otherwise(BY_ALIAS).alias("confidence"))), F.lit(0))
-    joined = rows.where(F.size("sections") > 0).join(F.broadcast(defined), "category")
-    found = joined.select(key, "category", "version", F.explode(F.transform("defined", lambda d: F.struct(d["ordinal"].alias("ordinal"), d["section_name"].alias("section_name"), first(d).alias("hit")))).alias("m"))
+    joined = rows.join(F.broadcast(defined), "category")
+    each = F.transform("defined", lambda d: F.struct(d["ordinal"].alias("ordinal"), d["section_name"].alias("section_name"), first(d).alias("hit")))
+    # Not a filter on the sections: that would be pushed below them and fold every text twice.
+    found = joined.select(key, "category", "version", F.explode(F.when(F.size("sections") > 0, each)).alias("m"))
     content, confidence = F.coalesce("m.hit.content", F.lit("")), F.coalesce("m.hit.confidence", F.lit(0.0))
     return found.select(key, "category", F.col("version").alias("schema_version"), "m.ordinal", "m.section_name", content.alias("content"), confidence.alias("confidence"))
 
@@ -129,7 +131,7 @@ def policy_sections(docs: DataFrame, schemas: Schemas = SCHEMAS, doc_types: tupl
 def sections_by_window(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``split_sections`` for documents whose lines already are rows (key, pos, line): a gaps-and-islands window."""
     order = Window.partitionBy(key).orderBy("pos")
-    rows = document_lines(docs, key, text).withColumn("head", is_heading(F.col("line")))
+    rows = document_lines(docs, key, text).withColumn("head", is_clean_heading(F.col("line")))
     islands = rows.withColumn("island", F.sum(F.col("head").cast("int")).over(order))
     title = F.coalesce(F.max(F.when(F.col("head"), heading_title(F.col("line")))), F.lit(FIRST_TITLE))
     body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))))
