@@ -71,7 +71,7 @@ def test_filters_by_insurer(spark):
 
 
 def catalogue(spark):
-    rows = [(0, "care", "Care Shield", "Care Health", 4.7, 842, "base-plan", ["restoration"], "health_base"), (1, "elevate", "Care Elevate", "Care Health", 4.4, 312, "topup-plan", ["global"], "health_topup"), (2, "star", "Star Health Supreme", "Star Health & Allied", 4.1, 690, "base-plan", ["maternity"], "health_base"), (3, "hdfc", "Protect 3D", "HDFC Life", 4.9, 512, "term-plan", ["term"], "life_term")]
+    rows = [(0, "moor", "Moor Shield", "Moor Health", 4.7, 842, "base-plan", ["restoration"], "health_base"), (1, "elevate", "Moor Elevate", "Moor Health", 4.4, 312, "topup-plan", ["global"], "health_topup"), (2, "lake", "Lake Health Supreme", "Lake Health & Co", 4.1, 690, "base-plan", ["maternity"], "health_base"), (3, "dale", "Protect 3D", "Dale Life", 4.9, 512, "term-plan", ["term"], "life_term")]
     frame = spark.createDataFrame(rows, "ordinal int, id string, name string, insurer string, rating double, priceFrom int, coverageType string, tags array<string>, categoryId string")
     empty = F.array().cast("array<struct<id:string,rating:int>>")
     return frame.withColumns({"coverageAmount": F.lit("x"), "policyExcerpt": F.lit("excerpt"), "policyDocumentUrl": F.lit("u"), "highlights": F.array(F.lit("h")), "policyWording": F.lit("wording"), "reviews": empty})
@@ -80,17 +80,17 @@ def catalogue(spark):
 def test_search(spark):
     items = catalogue(spark)
     ids = lambda **q: [r.id for r in K.search(items, K.ProductQuery(**q)).items.collect()]
-    assert ids() == ["care", "elevate", "star", "hdfc"] and ids(sort="price_low") == ["elevate", "hdfc", "star", "care"] and ids(sort="rating")[0] == "hdfc"
-    assert ids(search="Star Supreme") == [] and ids(search="care elevate CARE health") == ["elevate"] and ids(search="3d hdfc") == ["hdfc"]
-    assert ids(category="health_base", tags=("maternity", "x")) == ["star"] and ids(coverage_types=("term-plan", "topup-plan")) == ["elevate", "hdfc"]
+    assert ids() == ["moor", "elevate", "lake", "dale"] and ids(sort="price_low") == ["elevate", "dale", "lake", "moor"] and ids(sort="rating")[0] == "dale"
+    assert ids(search="Lake Supreme") == [] and ids(search="moor elevate MOOR health") == ["elevate"] and ids(search="3d dale") == ["dale"]
+    assert ids(category="health_base", tags=("maternity", "x")) == ["lake"] and ids(coverage_types=("term-plan", "topup-plan")) == ["elevate", "dale"]
     page = K.search(items, K.ProductQuery(page=2, page_size=3))
-    assert [r.id for r in page.items.collect()] == ["hdfc"] and (page.total, page.pages, page.clamped(9), page.clamped(0)) == (4, 2, 2, 1)
+    assert [r.id for r in page.items.collect()] == ["dale"] and (page.total, page.pages, page.clamped(9), page.clamped(0)) == (4, 2, 2, 1)
     assert "TakeOrderedAndProject" in page.items._jdf.queryExecution().executedPlan().toString()
-    assert K.detail(items, "star").first().name == "Star Health Supreme"
+    assert K.detail(items, "lake").first().name == "Lake Health Supreme"
     with pytest.raises(LookupError):
         K.detail(items, "none")
     labels = spark.createDataFrame([("health_base", "Retail Health")], "id string, label string")
-    assert [(r.id, r.label) for r in K.suggestions(items, labels, "CARE").collect()] == [("care", "Retail Health"), ("elevate", "All")]
+    assert [(r.id, r.label) for r in K.suggestions(items, labels, "MOOR").collect()] == [("moor", "Retail Health"), ("elevate", "All")]
     assert K.suggestions(items, labels, "").count() == 0
     counts = K.category_counts(spark.createDataFrame([("health_base",), ("motor",)], "id string"), items)
     assert {r.id: r.productCount for r in counts.collect()} == {"health_base": 2, "motor": 0}

@@ -45,10 +45,10 @@ def test_headings(spark, line, expected):
 
 
 def test_highlight(spark):
-    seen = spark.createDataFrame([("Star Health Supreme (star)",)], "t string")
-    parts = seen.select(T.highlight(F.col("t"), " star (  sup ")).first()[0]
-    assert [(p.text, p.match) for p in parts] == [("Star", True), (" Health ", False), ("Sup", True), ("reme ", False), ("(", True), ("star", True), (")", False)]
-    assert [(p.text, p.match) for p in seen.select(T.highlight(F.col("t"), "  ")).first()[0]] == [("Star Health Supreme (star)", False)]
+    seen = spark.createDataFrame([("Lake Health Supreme (lake)",)], "t string")
+    parts = seen.select(T.highlight(F.col("t"), " lake (  sup ")).first()[0]
+    assert [(p.text, p.match) for p in parts] == [("Lake", True), (" Health ", False), ("Sup", True), ("reme ", False), ("(", True), ("lake", True), (")", False)]
+    assert [(p.text, p.match) for p in seen.select(T.highlight(F.col("t"), "  ")).first()[0]] == [("Lake Health Supreme (lake)", False)]
     assert [(p.text, p.match) for p in seen.select(T.highlight(F.lit(""), "x")).first()[0]] == [("", False)]
 
 
@@ -59,7 +59,7 @@ def test_urls(spark):
     joined = values(spark, ["../x", "/y", "https://o/z", "", "?q"], lambda c: U.absolute_url(F.lit("https://h/a/b/c"), c))
     assert joined == ["https://h/a/x", "https://h/y", "https://o/z", "", "https://h/a/b/c?q"]
     assert values(spark, ["https://h:80/a", "HTTPS://H/a", "https://www.h/a", ""], lambda c: U.same_domain(c, F.lit("https://h/"))) == [False, False, False, False]
-    assert values(spark, ["/ Web: www.acko.com", None], lambda c: U.primary_url(c, F.lit("/ Phone: 1"))) == ["https://www.acko.com", ""]
+    assert values(spark, ["/ Web: www.harbour.com", None], lambda c: U.primary_url(c, F.lit("/ Phone: 1"))) == ["https://www.harbour.com", ""]
 
 
 def test_classification(spark):
@@ -116,7 +116,7 @@ def test_an_earlier_alias_beats_a_later_exact_title(spark):
 
 
 def test_resolve_names(spark):
-    names = spark.createDataFrame([("general-acko", "Acko"), ("life-lic", "LIC of India")], "insurer_id string, name string")
+    names = spark.createDataFrame([("general-moor", "Moor"), ("life-lic", "LIC of India")], "insurer_id string, name string")
     assert [r.insurer_id for r in resolve_names(names, [" LIC ", ""]).collect()] == ["life-lic"]
     assert resolve_names(names, ["  "]).count() == 0
 

@@ -152,7 +152,7 @@ def same_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.same_domain(F.col("url"), apex).alias("same"))
 
 
-_SITES = (("/ Web: www.acko.com", "x"), (None, "/ Phone: 1"), ("", "see HTTPS://A.com/x). or www.b.in"), ("none", None))
+_SITES = (("/ Web: www.harbour.com", "x"), (None, "/ Phone: 1"), ("", "see HTTPS://A.com/x). or www.b.in"), ("none", None))
 
 
 @group.query(
