@@ -93,7 +93,10 @@ def record_fingerprint(record: str = "record") -> Column:
     return F.expr(f"if({keys} is null, null, md5(array_join(array_sort(array_intersect(flatten(array({each})), {listed})), ',')))")
 
 
-def _canonical_roles(turns: Column) -> Column:
+def _canonical_roles(turns: Column, renamed: bool = True) -> Column:
+    """Without null roles and texts, and with ``renamed`` other layouts' names of speakers replaced."""
+    if not renamed:
+        return F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     return F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(names, t["role"]), t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
@@ -115,7 +118,8 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
     """A table with a row for each turn to (conv_id, layout, turns), by the layout whose columns the table has.
 
     Turns are in order of position, ties of role and text, nulls first; repeated rows are turns
-    of their own. Null roles and texts become empty. Rows without an id form one conversation.
+    of their own. Null roles and texts become empty; a column named role is taken as it is.
+    Rows without an id form one conversation.
     """
     paths = set(schema_paths(rows.schema))
     columns = next((t for t in TABLES if paths.issuperset(t)), None)
@@ -126,7 +130,7 @@ def turns_of_rows(rows: DataFrame) -> DataFrame:
     put = F.struct(F.col(f"`{turn}`").isNotNull().alias("placed"), F.col(f"`{turn}`").cast("long").alias("turn"), blank(role).alias("role"), blank(text).alias("text"))
     grouped = rows.groupBy(F.col(f"`{conv}`").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(put)).alias("rows"))
     turns = F.transform("rows", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    return grouped.select("conv_id", F.lit("rows").alias("layout"), _canonical_roles(turns).alias("turns"))
+    return grouped.select("conv_id", F.lit("rows").alias("layout"), _canonical_roles(turns, role != "role").alias("turns"))
 
 
 def escape(text: Column) -> Column:
