@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater import catalogue
 from tidewater.functions import text as T
 from tidewater.functions import urls as U
 from tidewater.operators import classifying as C
@@ -36,6 +37,13 @@ def test_slugs(spark):
     assert values(spark, once, T.slugify) == once
 
 
+def test_whole_texts_are_slugged(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    slugs = {r.id: r.slug for r in catalogue.queries()["slugify_text"](spark, sf).collect() if r.id >= 0}
+    assert slugs == {i: python_slug(x) for i, x in texts.items()} and sum("\n" in x.strip() for x in texts.values()) > len(texts) / 2
+
+
 @pytest.mark.parametrize(
     ("line", "expected"),
     [("12345", True), ("---", True), ("Policy covers everything", True), ("policy covers", False), ("Covered.", False), ("KEY FEATURES:", True), (":", False), ("A " * 13, False), ("X" * 121, False), ("X" * 120, True)],

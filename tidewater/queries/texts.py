@@ -85,6 +85,14 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", T.slugify(F.col("text")).alias("slug"))
 
 
+@group.query("SELECT id, " + _SLUG.format("text") + " AS slug FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-i}, {sql_text(x)})" for i, x in enumerate(_SLUGS, 1)) + ") v(id, text))")
+def slugify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``slugify``, whose SQL takes first lines only, but of whole texts."""
+    traps = spark.createDataFrame([(-i, x) for i, x in enumerate(_SLUGS, 1)], "id long, text string")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(traps)
+    return rows.select("id", T.slugify(F.col("text")).alias("slug"))
+
+
 @group.query(
     "SELECT doc_id, string_agg(word, ' ' ORDER BY first) AS words FROM (SELECT doc_id, word, min(ord) AS first FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS ord FROM documents) WHERE word <> '' GROUP BY doc_id, word) GROUP BY doc_id"
 )
