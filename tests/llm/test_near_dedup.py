@@ -2,12 +2,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tidewater.llm.components import components
 from tidewater.llm.flat import FlatText, shingle_sets
-from tidewater.llm.near_dedup import drop_near_duplicates, near_duplicates
+from tidewater.llm.near_dedup import TOKENS, _candidates, drop_near_duplicates, near_duplicates
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -79,6 +80,33 @@ def test_dense_groups_and_common_passages(spark):
     check(spark, rows, block_bytes=20_000)  # clusters are dealt into blocks, each pair of which is compared
 
 
+@pytest.mark.parametrize("n", [600, 1200])
+def test_pairs_apart_from_the_hub_of_a_dense_node_meet(spark, n):
+    """All share every other token, which makes a dense node of strangers at any depth; of the others only pairs share some."""
+    rng = np.random.default_rng(n)
+    tokens = rng.integers(0, 1 << 16, (n, TOKENS), np.uint16)
+    tokens[:, ::2] = tokens[0, ::2]
+    tokens[1::2, 1:24:2] = tokens[::2, 1:24:2]  # 44 of 64 agree in a pair, 32 else; at 80 percent 36 are asked for
+    rows = [(i, 100, bytes(t.tobytes()), [7]) for i, t in enumerate(tokens)]
+    classes = spark.createDataFrame(rows, "rid long, n long, tokens binary, roots array<long>")
+    found = {tuple(sorted(e)) for e in _candidates(classes, 0.8, 200).collect() if e[0] != e[1]}
+    assert found == {(i, i + 1) for i in range(0, n, 2)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_template_family_with_planted_pairs(spark, percent):
+    """Texts share half of their shingles with all others; every second one is a near copy of its neighbour."""
+    rng = random.Random(percent)
+    template = [f"t{k}" for k in range(60)]
+    texts = []
+    for i in range(350):
+        body = [f"u{i}x{k}" for k in range(48)]
+        texts.append(" ".join(template + body))
+        cut = rng.randrange(3, 10)
+        texts.append(" ".join(template + body[:-cut]))
+    check(spark, list(enumerate(texts)), percent, node_limit=150)
+
+
 def test_borderline_similarity(spark):
     """Sets of 17 and 20 shingles with 17 in common stand exactly at 85 percent."""
     words = [f"b{i}" for i in range(24)]

@@ -6,9 +6,11 @@
 3. Independent trees branch the representatives: a root by one minwise token, and while a
    node is larger than ``node_limit``, each of its documents goes on along two further
    tokens that the node's own path chooses. Documents that agree on all chosen tokens meet.
-   A node that holds most of its parent is of documents alike throughout: branching would
-   only repeat them, so it is dealt into blocks with some members in common. Each level
-   thus has at most as many rows as the one before.
+   A node that holds most of its parent may be of documents alike throughout, which
+   branching would only repeat: it is dealt into blocks with some members in common, and
+   members that hang together with one of these, the hub, are a cluster. Those that don't
+   meet all members of the node, block against block, or where they are many the node is
+   branched on. A node that is still large at ``MAX_DEPTH`` is compared block against block.
    A pair at the threshold survives a tree with probability above 0.8 however deep it goes,
    so that eight trees miss about one pair in a million.
 4. Small nodes are compared exhaustively on their tokens. A node's likely links leave it as
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
@@ -39,6 +41,8 @@ TOKENS = 64
 TREES = 8
 MAX_DEPTH = 6
 PIVOTS = 32
+#: Up to so many node limits of members apart from a hub meet all others directly.
+FEW = 4
 _SEEDS = mix(np.arange(1, TOKENS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 
 
@@ -95,9 +99,14 @@ def forest(alike, n: int) -> np.ndarray:
     return label
 
 
+def _least(threshold: float) -> int:
+    """So many tokens of a pair at the threshold agree at least, but for 4.5 standard deviations."""
+    return int(np.floor(TOKENS * (threshold - 4.5 * (threshold * (1 - threshold) / TOKENS) ** 0.5)))
+
+
 def _likely(threshold: float):
     """For a node: a spanning forest of the pairs whose tokens agree nearly as often as the threshold asks."""
-    least = int(np.floor(TOKENS * (threshold - 4.5 * (threshold * (1 - threshold) / TOKENS) ** 0.5)))
+    least = _least(threshold)
 
     def run(node: pa.Table) -> pa.Table:
         ids = node.column("rid").to_numpy()
@@ -111,6 +120,27 @@ def _likely(threshold: float):
     return run
 
 
+def _around_hub(threshold: float):
+    """For a block of a dense node: its forest, and for each member whether it is apart from the hub."""
+    least = _least(threshold)
+
+    def run(block: pa.Table) -> pa.Table:
+        ids = block.column("rid").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        tokens = np.frombuffer(b"".join(block.column("tokens").to_pylist()), np.uint16).reshape(-1, TOKENS)[order]
+        pivots = np.flatnonzero(block.column("pivot").to_numpy(zero_copy_only=False)[order])
+        label = forest(lambda i, others: (tokens[others] == tokens[i]).sum(axis=1) >= least, len(ids))
+        apart = np.ones(len(ids), bool)
+        if len(pivots):
+            # Every block has the same pivots, so that all choose the same hub.
+            near = [int(((tokens[pivots] == tokens[i]).sum(axis=1) >= least).sum()) for i in pivots]
+            apart = label != label[pivots[int(np.argmax(near))]]
+        return pa.table({"node": pa.array(np.full(len(ids), block.column("node")[0].as_py())), "a": ids, "b": ids[label], "rest": apart})
+
+    return run
+
+
 def _exact(percent: int):
     """For the sets of a cluster, or of two of its blocks: the confirmed links, as stars on the smallest id."""
 
@@ -184,6 +214,7 @@ def _candidates(classes: DataFrame, threshold: float, node_limit: int) -> DataFr
         F.xxhash64("tree", "token").alias("node"), "rid", F.lit(None).cast("long").alias("parent_members")
     )
     leaves: DataFrame | None = None
+    hubs: DataFrame | None = None
     sets = classes.select("rid", "tokens")
     for depth in range(MAX_DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
@@ -194,26 +225,56 @@ def _candidates(classes: DataFrame, threshold: float, node_limit: int) -> DataFr
         if large.isEmpty():
             break
         dense = F.coalesce(2 * F.col("members") > F.col("parent_members"), F.lit(False)) | F.lit(depth == MAX_DEPTH)
-        leaves = leaves.unionByName(_blocks(large.where(dense), node_limit))
+        if not large.where(dense).isEmpty():
+            stars, across, large = _hubs(large, dense, sets, threshold, node_limit, depth == MAX_DEPTH)
+            hubs = stars if hubs is None else hubs.unionByName(stars)
+            leaves = leaves.unionByName(across)
+        if depth == MAX_DEPTH:
+            break
         # Two tokens, one even and one odd, that the path so far chooses; 2 bytes each, from 1 on.
         chosen = F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(TOKENS // 2)) * 2 + F.col("side")
         level = (
-            large.where(~dense)
-            .select("node", "rid", "members", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+            large.select("node", "rid", "members", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
             .join(sets, "rid")
             .select(F.xxhash64("node", "side", F.substring(F.col("tokens"), (chosen * 2 + 1).cast("int"), F.lit(2))).alias("node"), "rid", F.col("members").alias("parent_members"))
         )
-    return leaves.distinct().join(sets, "rid").groupBy("node").applyInArrow(_likely(threshold), "a long, b long").distinct()
+    edges = leaves.distinct().join(sets, "rid").groupBy("node").applyInArrow(_likely(threshold), "a long, b long")
+    return (edges if hubs is None else edges.unionByName(hubs)).distinct()
+
+
+def _hubs(large: DataFrame, dense: Column, sets: DataFrame, threshold: float, node_limit: int, last: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of the dense nodes to their hubs, small nodes in which the rest meets all members, and the nodes still to branch.
+
+    Blocks of a dense node share some members, the pivots. What hangs together with the hub,
+    the pivot that most pivots resemble, is one cluster; the rest, which doesn't, must still
+    meet every member of the node. A small rest does so block against block, and so does any
+    rest of the last level. With a larger rest, the whole node is branched.
+    """
+    blocks = _blocks(large.where(dense), node_limit)
+    found = staged(blocks.join(sets, "rid").groupBy("node", "block").applyInArrow(_around_hub(threshold), "node long, a long, b long, rest boolean"), "hubs")
+    rest = found.groupBy("node", F.col("a").alias("rid")).agg(F.min("rest").alias("rest")).where("rest").drop("rest")
+    counts = staged(rest.groupBy("node").agg(F.count(F.lit(1)).alias("n_rest")), "rests")
+    few = F.lit(last) | (F.col("n_rest") <= FEW * node_limit)
+    half = node_limit // 2
+    deal = lambda n: F.pmod(F.xxhash64("rid", "node"), F.ceil(F.col(n) / half).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / half).cast("long") - 1))
+    crossed = large.where(dense).join(counts.where(few), "node")
+    named = lambda i, j: F.xxhash64("node", F.lit("across"), i, j).alias("node")
+    all_members = crossed.select("node", "rid", deal("members").alias("i"), every("n_rest").alias("j")).select(named("i", "j"), "rid")
+    sizes = crossed.select("node", "members", "n_rest").distinct()
+    the_rest = rest.join(sizes, "node").select("node", "rid", deal("n_rest").alias("j"), every("members").alias("i")).select(named("i", "j"), "rid")
+    on = large.where(~dense).unionByName(large.where(dense).join(counts.where(~few), "node", "left_semi"))
+    return found.where("a <> b").select("a", "b"), all_members.unionByName(the_rest), on
 
 
 def _blocks(large: DataFrame, node_limit: int) -> DataFrame:
-    """Nodes that stay large are of documents alike in all chosen tokens: blocks that share some members, so that one forest spans them."""
+    """(node, block, rid, pivot): members dealt by hash, and some of them, the pivots, in every block of their node."""
     order = F.xxhash64("node", "rid")
     step = F.greatest(F.lit(1), F.ceil(F.col("members") / (node_limit - 4 * PIVOTS))).cast("long")
     dealt = large.withColumn("blocks", step).withColumn("order", order)
     pivot = F.pmod(F.col("order"), F.greatest(F.lit(1), (F.col("members") / PIVOTS).cast("long"))) == 0
     blocks = F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.shiftrightunsigned("order", 20), F.col("blocks"))))
-    return dealt.select("node", "rid", F.explode(blocks).alias("block")).select(F.xxhash64("node", "block").alias("node"), "rid")
+    return dealt.select("node", "rid", pivot.alias("pivot"), F.explode(blocks).alias("block"))
 
 
 def _confirmed(rows: DataFrame, classes: DataFrame, likely: DataFrame, words: int, percent: int, block_bytes: int) -> DataFrame:
