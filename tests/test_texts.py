@@ -152,3 +152,10 @@ def test_from_regulator_pages_to_sections(spark):
     assert {s.section_name: s.confidence for s in out.sections.collect() if s.confidence} == {"Eligibility": 1.0}
     crawl = page_links_of(visited.select(F.lit("https://h/").alias("root"), F.col("page_url").alias("url"), "html"))
     assert {r.target for r in crawl.collect()} == {"https://h/about", "https://h/p/plan.html"}
+
+
+def test_sections_of_all_documents_are_matched(spark):
+    sf = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 5 < 4 and trim(text) <> ''")
+    found = catalogue.queries()["match_sections_all"](spark, sf).where("doc_id >= 0")
+    assert found.select("doc_id").distinct().count() > 0.9 * documents.count() and "content" in found.columns

@@ -123,6 +123,13 @@ def match_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match(split(texts), texts.select("doc_id", "category")).drop("schema_version")
 
 
+@group.query(f"WITH {_ALL_DOCS}, {_DEFINED}, {SECTIONS_SQL}, {_MATCHED} SELECT doc_id, category, ordinal, section_name, content, confidence FROM matched")
+def match_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like ``match_sections``, but over the sections of all documents too."""
+    texts = _categorised(spark, sf_dir)
+    return match(split(texts), texts.select("doc_id", "category")).drop("schema_version")
+
+
 @group.query(f"WITH {_ALL_DOCS}, {_DEFINED}, {SECTIONS_SQL}, {_MATCHED} SELECT doc_id, section_name, length(content) AS chars, confidence FROM matched")
 def policy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sections_of(_categorised(spark, sf_dir))
