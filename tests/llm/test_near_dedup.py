@@ -122,6 +122,31 @@ def test_drop_keeps_one_of_each_group(spark):
     assert [i for null, i in kept if not null] == sorted(groups) and kept[-1] == (True, None)
 
 
+def test_drop_goes_by_rows_not_by_ids(spark):
+    """Different texts under one doc_id go or stay by their own groups, rows equal in id and text count once, in any order."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (7, b + " more", "s"), (7, c, "t"), (7, c, "s"), (8, "", "s"), (8, None, "s"), (8, None, "s"), (None, a, "s"), (None, a, "s")]
+    results = set()
+    for order in (rows, rows[::-1], rows[4:] + rows[:4]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+        kept = [tuple(r) for r in drop_near_duplicates(docs, percent=80).collect()]
+        assert sorted((str(i), str(t)) for i, t, _ in kept) == sorted((str(i), str(t)) for i, t in [(3, a), (5, b), (7, c), (8, ""), (8, None), (None, a), (None, a)])
+        results.add(str(sorted(map(str, kept))))
+    assert len(results) == 1
+
+
+def test_large_clusters_are_cut_by_rare_shingles(spark):
+    """A template family of more than one block, with near copies inside and one dense group larger than a block."""
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(160)]
+    texts = []
+    for i in range(150):
+        own_words = [f"u{i}x{k}" for k in range(44)]
+        texts += [" ".join(template + own_words), " ".join(template + own_words[: -rng.randrange(2, 9)])]
+    texts += family(11, 120, 8)
+    check(spark, list(enumerate(texts)), 85, node_limit=150, block_bytes=12_000)
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5), (None, 7), (2000, 2001), (2001, 2000)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

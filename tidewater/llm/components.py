@@ -2,7 +2,9 @@
 
 Both stars keep the components and only re-hang edges on smaller ids, and end in one star
 for each component after a logarithmic number of rounds. Each round works on edges alone,
-with a partial minimum before every shuffle; nothing goes to the driver but a checksum.
+with a partial minimum before every shuffle; nothing goes to the driver but a checksum. The
+minima are staged: joined as tables of known size they are broadcast if small, and otherwise
+Spark can split the edges of a star's centre over tasks.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from tidewater.llm.shared import staged
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return both.join(staged(least, "least"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     hung = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -34,7 +36,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        now = staged(_small_star(_large_star(now)).where("a <> b").distinct(), "stars")
+        now = staged(_small_star(staged(_large_star(now).distinct(), "hung")).where("a <> b").distinct(), "stars")
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             break

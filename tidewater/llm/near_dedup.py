@@ -16,9 +16,15 @@
 4. Small nodes are compared exhaustively on their tokens. A node's likely links leave it as
    a spanning forest, never as all pairs.
 5. Components of these forests are candidate clusters. Each member's full set goes to its
-   cluster once, and there every link is confirmed on full sets. A cluster whose sets exceed
-   ``block_bytes`` is dealt into blocks, and each pair of blocks meets in a task of its own:
-   all its links are tested and no task grows with the cluster.
+   cluster once, and there every link is confirmed on full sets. Two linked sets share one of
+   their rarest shingles: of a set of n, one of the first (1 - threshold) * n + 1 in order of
+   frequency. Only sets that do are compared, so that texts of one template cost no more than
+   their own near copies.
+6. A cluster whose sets exceed ``block_bytes`` is first cut by the same rule into parts that
+   share no such shingle. A part that is still too large is dealt into blocks that all have some
+   members, the pivots, in common. Members that hang together with the hub, the pivot that
+   most pivots are linked with, are done; the rest meets all members, block against block.
+   All links are found, and no task grows with the cluster.
 
 No step draws a sample or drops a partner. Results for the same rows are the same in any order.
 """
@@ -30,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
@@ -39,6 +45,12 @@ from tidewater.llm.shared import map_batches, own, staged
 
 TOKENS = 64
 TREES = 8
+#: Clusters of so few sets are compared without an index of rare shingles.
+FEW_SETS = 24
+#: The frequency of shingles in large clusters is counted in so many slots, in which rare ones may meet; any order is right.
+SLOTS = 1 << 20
+#: Members that the blocks of a large part have in common.
+COMMON = 8
 MAX_DEPTH = 6
 PIVOTS = 32
 #: Up to so many node limits of members apart from a hub meet all others directly.
@@ -57,25 +69,35 @@ def minwise(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _packed(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The bytes of each set."""
+    raw = hashes.tobytes()
+    return [raw[a * 8 : b * 8] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def _digest(packed: bytes) -> bytes:
+    return hashlib.blake2b(packed, digest_size=16).digest()
+
+
 def _signatures(words: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, texts = batch.column(0), batch.column(1)
         for start, part in chunks(texts):
             hashes, offsets = shingle_sets(part, words)
             tokens = minwise(hashes, offsets)
-            raw = hashes.tobytes()
-            digests = [hashlib.blake2b(raw[a * 8 : b * 8], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            digests = [_digest(x) for x in _packed(hashes, offsets)]
             short = mix(tokens).astype(np.uint16)
             roots = (tokens[:, :TREES] >> U64(1)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(start, len(part)),
+                    batch.column(2).slice(start, len(part)),
                     pa.array(np.diff(offsets)),
                     pa.array(digests, pa.binary()),
                     pa.array([row.tobytes() for row in short], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, roots.size + 1, TREES, dtype=np.int32), pa.array(roots.ravel())),
                 ],
-                ["doc_id", "n_shingles", "digest", "tokens", "roots"],
+                ["doc_id", "key", "n_shingles", "digest", "tokens", "roots"],
             )
 
     return run
@@ -141,41 +163,124 @@ def _around_hub(threshold: float):
     return run
 
 
+def _prefix(percent: int, size: np.ndarray) -> np.ndarray:
+    """So many of a set's shingles, in any order common to all sets, hold one of each set it is linked with."""
+    return (100 - percent) * size // 100 + 1
+
+
+def exact_forest(ids: np.ndarray, packed: list[bytes], percent: int) -> np.ndarray:
+    """The smallest index reachable from each set over links confirmed on full sets; equal ids are one."""
+    size = np.array([len(x) // 8 for x in packed], np.int64)
+    flat = np.frombuffer(b"".join(packed), U64)
+    _, term, count = np.unique(flat, return_inverse=True, return_counts=True)
+    first = np.concatenate([[0], np.cumsum(size)])
+    marked = np.zeros(len(count), bool)
+    twice = len(np.unique(ids)) < len(ids)
+
+    def alike(i: int, others: np.ndarray) -> np.ndarray:
+        """Reads the sets of the others, which dwindle as links are found, and of these only those of a fitting size."""
+        linked = np.zeros(len(others), bool)
+        fits = np.flatnonzero(100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others]))
+        near = others[fits]
+        if len(near):
+            mine = term[first[i] : first[i + 1]]
+            marked[mine] = True
+            done = np.cumsum(size[near])
+            places = np.repeat(first[near] - (done - size[near]), size[near]) + np.arange(int(done[-1]))
+            shared = np.add.reduceat(marked[term[places]], done - size[near], dtype=np.int64)
+            marked[mine] = False
+            linked[fits] = 100 * shared >= percent * (size[i] + size[near] - shared)
+        return linked | (ids[others] == ids[i]) if twice else linked
+
+    if len(ids) <= FEW_SETS:
+        return forest(alike, len(ids))
+    owner = np.repeat(np.arange(len(ids)), size)
+    order = np.lexsort((term, count[term], owner))
+    place = np.arange(len(term)) - first[owner]
+    kept = order[(place < _prefix(percent, size)[owner]) & (count[term[order]] > 1)]
+    rare, holder = term[kept], owner[kept]
+    begin = np.searchsorted(holder, np.arange(len(ids) + 1))
+    by_term = np.argsort(rare, kind="stable")
+    post = holder[by_term]
+    at = np.searchsorted(rare[by_term], np.arange(len(count) + 1))
+
+    def partners(i: int, others: np.ndarray) -> np.ndarray:
+        """Of the others, those that share a rare shingle."""
+        mine = rare[begin[i] : begin[i + 1]]
+        lengths = at[mine + 1] - at[mine]
+        done = np.cumsum(lengths)
+        met = np.zeros(len(ids), bool)
+        if len(done):
+            met[post[np.repeat(at[mine] - (done - lengths), lengths) + np.arange(int(done[-1]))]] = True
+        found = met[others]
+        if twice:
+            found |= ids[others] == ids[i]
+        found[found] = alike(i, others[found])
+        return found
+
+    return forest(partners, len(ids))
+
+
+def _sorted_sets(members: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    ids = members.column("rid").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    return ids[order], members.column("shingles").combine_chunks().take(pa.array(order)).to_pylist(), order
+
+
 def _exact(percent: int):
     """For the sets of a cluster, or of two of its blocks: the confirmed links, as stars on the smallest id."""
 
-    def run(key: tuple, members: pa.Table) -> pa.Table:
-        ids = members.column("rid").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        packed = members.column("shingles").combine_chunks().take(pa.array(order)).to_pylist()
-        size = np.array([len(x) // 8 for x in packed])
-        flat = np.frombuffer(b"".join(packed), U64)
-        _, term = np.unique(flat, return_inverse=True)
-        first = np.concatenate([[0], np.cumsum(size)])
-        marked = np.zeros(int(term.max(initial=-1)) + 1, bool)
-
-        def alike(i: int, others: np.ndarray) -> np.ndarray:
-            """Reads the sets of the others, which dwindle as links are found, and of these only those of a fitting size."""
-            linked = ids[others] == ids[i]
-            fits = np.flatnonzero(100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others]))
-            near = others[fits]
-            if len(near):
-                mine = term[first[i] : first[i + 1]]
-                marked[mine] = True
-                done = np.cumsum(size[near])
-                places = np.repeat(first[near] - (done - size[near]), size[near]) + np.arange(int(done[-1]))
-                shared = np.add.reduceat(marked[term[places]], done - size[near], dtype=np.int64)
-                marked[mine] = False
-                linked[fits] |= 100 * shared >= percent * (size[i] + size[near] - shared)
-            return linked
-
-        label = forest(alike, len(ids))
-        return pa.table({"a": ids, "b": ids[label]})
+    def run(members: pa.Table) -> pa.Table:
+        ids, packed, _ = _sorted_sets(members)
+        return pa.table({"a": ids, "b": ids[exact_forest(ids, packed, percent)]})
+
+    return run
+
+
+def _exact_around_hub(percent: int):
+    """For a block of a large part: its confirmed links as stars, and for each member whether it is apart from the hub."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, packed, order = _sorted_sets(block)
+        common = np.flatnonzero(block.column("pivot").to_numpy(zero_copy_only=False)[order])
+        label = exact_forest(ids, packed, percent)
+        # Every block has the same pivots; how these are linked among themselves is the same in all.
+        own_label = exact_forest(ids[common], [packed[i] for i in common], percent)
+        hub = common[int(own_label[np.bincount(own_label).argmax() if len(common) else 0])] if len(common) else 0
+        part = np.full(len(ids), block.column("part")[0].as_py())
+        return pa.table({"part": part, "a": ids, "b": ids[label], "rest": label != label[hub]})
 
     return run
 
 
+def _verdicts(docs: DataFrame, words: int, percent: int, node_limit: int, block_bytes: int) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, key (hash of the text), n_shingles, component_id, first.
+
+    A vertex is 64 bits of a set's digest, so that rows are linked by their own sets whatever
+    their ids. first: the least (doc_id, digest, key) of the row's group, null where it has none.
+    """
+    rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    schema = "doc_id long, key long, n_shingles long, digest binary, tokens binary, roots array<long>"
+    signed = staged(map_batches(rows, _signatures(words), schema), "signatures")
+    alike = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest")
+    least, one = F.min(F.struct("doc_id", "digest", "key")).alias("least"), lambda c: F.first(c).alias(c)
+    classes = staged(alike.agg(least, F.first("n_shingles").alias("n"), one("tokens"), one("roots")).withColumn("rid", F.xxhash64("digest")), "classes")
+    likely = components(_candidates(classes, percent / 100, node_limit))
+    likely = staged(likely.withColumnsRenamed({"id": "rid", "component": "cluster"}), "clusters")
+    links = _confirmed(rows, classes, likely, words, percent, block_bytes)
+    grouped = staged(classes.select("digest", "rid", "least").join(links, "rid"), "linked")
+    firsts = staged(grouped.groupBy("component").agg(F.min("least").alias("first")), "firsts")
+    named = grouped.join(firsts, "component").select("digest", "first")
+    alone = classes.join(links, "rid", "left_anti").select("digest", F.col("least").alias("first"))
+    members = staged(named.unionByName(alone), "groups")
+    whose = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")
+    return (
+        signed.select("doc_id", "key", "n_shingles", whose)
+        .join(members, "digest", "left")
+        .select("doc_id", "key", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "digest", "first")
+    )
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, node_limit: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text, any more): doc_id, n_shingles, component_id, kept.
 
@@ -186,26 +291,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, node_
     text are each linked by their own set. A row without doc_id is linked with nothing, has no
     component_id, and is kept. Extra columns are ignored.
     """
-    rows = own(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    signed = staged(
-        map_batches(rows, _signatures(words), "doc_id long, n_shingles long, digest binary, tokens binary, roots array<long>"), "signatures"
-    )
-    classes = staged(
-        signed.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("rid"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("roots").alias("roots")),
-        "classes",
-    )
-    likely = components(_candidates(classes, percent / 100, node_limit))
-    likely = staged(likely.withColumnsRenamed({"id": "rid", "component": "cluster"}), "clusters")
-    links = _confirmed(rows, classes, likely, words, percent, block_bytes)
-    named = classes.select("digest", "rid").join(links, "rid", "left").select("digest", F.coalesce("component", "rid").alias("component_id"))
-    return (
-        signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest"))
-        .join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    judged = _verdicts(docs, words, percent, node_limit, block_bytes)
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return judged.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def _candidates(classes: DataFrame, threshold: float, node_limit: int) -> DataFrame:
@@ -217,7 +305,8 @@ def _candidates(classes: DataFrame, threshold: float, node_limit: int) -> DataFr
     hubs: DataFrame | None = None
     sets = classes.select("rid", "tokens")
     for depth in range(MAX_DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        # Staged, so that the join meets a table of known size: broadcast if small, else split where a node is hot.
+        sizes = staged(level.groupBy("node").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
         level = staged(level.join(sizes, "node"), "nodes")
         small = level.where(F.col("members") <= node_limit).select("node", "rid")
         leaves = small if leaves is None else leaves.unionByName(small)
@@ -278,48 +367,129 @@ def _blocks(large: DataFrame, node_limit: int) -> DataFrame:
 
 
 def _confirmed(rows: DataFrame, classes: DataFrame, likely: DataFrame, words: int, percent: int, block_bytes: int) -> DataFrame:
-    """(rid, component) of every representative in a candidate cluster, from links confirmed on full sets."""
+    """(rid, component) of every representative with a link, from links confirmed on full sets."""
     spark = rows.sparkSession
-    sized = likely.join(classes.groupBy("rid").agg(F.sum("n").alias("n")), "rid")
-    blocks = sized.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("blocks"), F.count(F.lit(1)).alias("members"))
-    members = staged(likely.join(blocks, "cluster"), "members")
+    sized = likely.join(classes.select("rid", "n", "least.doc_id", "least.key"), "rid")
+    bytes_ = sized.groupBy("cluster").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("blocks"))
+    members = staged(sized.join(staged(bytes_, "bytes"), "cluster"), "members")
     n, most = members.agg(F.count(F.lit(1)), F.max("blocks")).first()
     if not n:
         return members.select("rid", F.col("cluster").alias("component"))
-    # A bit table of the members' ids: of at most 16 MB, whatever the input. A bit too many only moves a set in vain.
+    sets = _member_sets(rows, members, n, words).join(members.select("rid", "cluster", "n", "blocks"), "rid")
+    if most == 1:
+        stars = staged(sets.groupBy("cluster").applyInArrow(_exact(percent), "a long, b long"), "links")
+        return stars.groupBy(F.col("a").alias("rid")).agg(F.min("b").alias("component"))
+    sets = staged(sets, "sets")
+    small = sets.where("blocks = 1").select(F.col("cluster").alias("part"), "rid", "shingles")
+    parts = staged(_parts(spark, sets.where("blocks > 1"), percent), "parts")
+    larger = sets.where("blocks > 1").select("rid", "n", "shingles").join(parts, "rid")
+    weights = staged(larger.groupBy("part").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("blocks")), "weights")
+    larger = staged(larger.join(weights, "part"), "larger")
+    small = small.unionByName(larger.where("blocks = 1").select("part", "rid", "shingles"))
+    edges = small.groupBy("part").applyInArrow(_exact(percent), "a long, b long")
+    large = larger.where("blocks > 1")
+    if not large.isEmpty():
+        edges = edges.unionByName(_large_parts(large, percent, block_bytes))
+    return components(edges).withColumnsRenamed({"id": "rid"})
+
+
+def _member_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFrame:
+    """(rid, shingles) of the ``n`` members, each once, made from the texts anew.
+
+    A bit table of at most 16 MB, whatever the input, tells which texts to read; a bit too many
+    only moves a set in vain. Of other texts' sets 0.7 % move with a million members, 9 % with 13
+    million, 63 % with 134 million, nearly all beyond that.
+    """
     bits = min(1 << 27, max(1 << 16, 1 << int(16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64("rid"), F.lit(bits))
+    slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(bits))
     table = np.zeros(bits // 8, np.uint8)
     words64 = members.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("at")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
     for at, piece in words64.collect():
         table[at * 4096 : at * 4096 + len(piece)] = np.frombuffer(bytes(piece), np.uint8)[: max(0, len(table) - at * 4096)]
-    shared = spark.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
     def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        slots = batch.column(2).to_numpy()
+        slots = batch.column(1).to_numpy()
         batch = batch.filter(pa.array((shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1))
-        for start, part in chunks(batch.column(1)):
-            hashes, offsets = shingle_sets(part, words)
-            raw = hashes.tobytes()
-            packed = [raw[a * 8 : b * 8] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(packed, pa.binary())], ["rid", "shingles"])
-
-    marked = rows.where("doc_id is not null").select(F.col("doc_id").alias("rid"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("slot"))
-    whole = map_batches(marked, sets, "rid long, shingles binary").where(F.length("shingles") > 0)
-    place = F.pmod(F.xxhash64("rid"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("place")).alias("i"), F.greatest(x, F.col("place")).alias("j")))
-    tasks = whole.join(members.withColumn("place", place), "rid").select("cluster", F.explode(pairs).alias("pair"), "rid", "shingles").select("cluster", "pair.i", "pair.j", "rid", "shingles")
-    stars = staged(tasks.groupBy("cluster", "i", "j").applyInArrow(_exact(percent), "a long, b long"), "links")
-    if most == 1:
-        return stars.groupBy(F.col("a").alias("rid")).agg(F.min("b").alias("component"))
-    return components(stars).withColumnsRenamed({"id": "rid"})
+        for _, part in chunks(batch.column(0)):
+            packed = _packed(*shingle_sets(part, words))
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in packed], pa.binary()), pa.array(packed, pa.binary())], ["digest", "shingles"])
+
+    marked = rows.where("doc_id is not null").select("text", slot.alias("slot"))
+    whole = map_batches(marked, sets, "digest binary, shingles binary").where(F.length("shingles") > 0)
+    return whole.select(F.xxhash64("digest").alias("rid"), "shingles").dropDuplicates(["rid"])
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns; repeated rows of a doc_id count once.
+def _parts(spark, large: DataFrame, percent: int) -> DataFrame:
+    """(rid, part): members of large clusters that hang together by shared rare shingles; those that share none are left out.
+
+    Every link is inside a part: linked sets share a shingle of their prefixes, in the order
+    of how often a shingle's slot occurs.
+    """
 
-    Rows without doc_id stay.
+    def slots(cluster: int, terms: np.ndarray) -> np.ndarray:
+        return (mix(terms ^ np.array(cluster, np.int64).view(U64)) & U64(SLOTS - 1)).astype(np.int64)
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        every = [slots(c, np.frombuffer(x, U64)) for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        slot, n = np.unique(np.concatenate(every), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
+
+    counted = map_batches(large.select("cluster", "shingles"), count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(SLOTS, np.int64)  # one row for each slot at most
+    frequency[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast(frequency)
+
+    def prefixes(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for cluster, rid, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            terms = np.frombuffer(packed, U64)
+            rare = terms[np.lexsort((terms, shared.value[slots(cluster, terms)]))[: int(_prefix(percent, np.array(len(terms))))]]
+            size = len(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(size, cluster)), pa.array(rare.view(np.int64)), pa.array(np.full(size, rid))], ["cluster", "term", "rid"])
+
+    posts = staged(map_batches(large.select("cluster", "rid", "shingles"), prefixes, "cluster long, term long, rid long"), "prefixes")
+    least = posts.groupBy("cluster", "term").agg(F.min("rid").alias("least"), F.max("rid").alias("last")).where("least < last").drop("last")
+    edges = posts.join(staged(least, "least"), ["cluster", "term"]).select(F.col("rid").alias("a"), F.col("least").alias("b"))
+    return components(edges).withColumnsRenamed({"id": "rid", "component": "part"})
+
+
+def _large_parts(large: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Confirmed links (a, b) in parts (part, blocks, rid, n, shingles) of more than one block."""
+    order = F.xxhash64("rid", "part")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(order, "rid"))
+    common = staged(large.select("part", "rid").withColumn("nth", nth).where(F.col("nth") <= COMMON).select("part", "rid", F.lit(True).alias("pivot")), "pivots")
+    dealt = large.join(common, ["part", "rid"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
+    blocks = F.when(F.col("pivot"), every("blocks")).otherwise(F.array(place("blocks")))
+    sent = dealt.select("part", F.explode(blocks).alias("block"), "rid", "pivot", "shingles")
+    found = staged(sent.groupBy("part", "block").applyInArrow(_exact_around_hub(percent), "part long, a long, b long, rest boolean"), "hubs")
+    rest = found.groupBy("part", F.col("a").alias("rid")).agg(F.min("rest").alias("rest")).where("rest").drop("rest")
+    rest = staged(large.join(rest, ["part", "rid"]), "rest")
+    weights = staged(rest.groupBy("part").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("rests")), "rests")
+    ours = rest.join(weights, "part").select("part", "rid", "shingles", place("rests").alias("i"), F.explode(every("blocks")).alias("j"))
+    theirs = large.join(weights, "part").select("part", "rid", "shingles", F.explode(every("rests")).alias("i"), place("blocks").alias("j"))
+    crossed = ours.unionByName(theirs).groupBy("part", "i", "j").applyInArrow(_exact(percent), "a long, b long")
+    return found.select("a", "b").unionByName(crossed)
+
+
+def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, node_limit: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the smallest (doc_id, set digest, text hash).
+
+    Verdicts are by row, so that different texts under one doc_id go or stay each by their
+    own group. Rows equal in doc_id and text count once: the one whose columns' hash is smallest
+    stays. Rows without doc_id stay.
     """
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    named = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    judged = _verdicts(docs, words, percent, node_limit, block_bytes).where("doc_id is not null")
+    mine = F.struct("doc_id", "digest", "key")
+    gone = judged.where(F.col("first").isNotNull() & (mine != F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+    twice = judged.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    id_, key = F.col("doc_id").cast("long"), F.xxhash64("text")
+    match = (id_ == F.col("_doc")) & (key == F.col("_key"))
+    named = docs.where("doc_id is not null").join(gone, match, "left_anti")
+    twice = staged(twice, "repeats")
+    if not twice.isEmpty():
+        columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        every = named.join(twice, match, "left_semi").groupBy(id_.alias("_doc"), key.alias("_key")).agg(F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("_row"))
+        named = named.join(twice, match, "left_anti").unionByName(every.select("_row.*"))
+    return named.unionByName(docs.where("doc_id is null"))
