@@ -7,7 +7,9 @@ from tidewater.operators import catalog as K
 from tidewater.operators import relational as R
 from tidewater.plans import jobs
 from tidewater.sources import files as S
-from tidewater.streaming.upserts import upsert_stream
+from tidewater.sources.staging import staged, unstaged
+from tidewater.sources.tables import StoredTable
+from tidewater.streaming.upserts import streamed_table, upsert_stream
 
 PRODUCT = "product_id string, insurer_id string, name string, category string, product_url string, description string, discovered_from_url string, tags_json string, metadata_json string, updated_at string"
 
@@ -40,6 +42,9 @@ def test_merges(spark):
     rows = [("p", 1, "i1", "n1", "c", "u1", "", ["a", "b"], {"k": "1", "z": "1"}), ("p", 2, "i2", "n2", "c", "u2", "text", ["b", "c"], {"k": "2"})]
     merged = R.PRODUCTS.apply(spark.createDataFrame(rows, "product_id string, seq long, insurer_id string, name string, category string, product_url string, description string, tags array<string>, metadata map<string,string>").repartition(2)).first()
     assert (merged.insurer_id, merged.name, merged.description, merged.tags, merged.metadata) == ("i1", "n1", "text", ["a", "b", "c"], {"k": "2", "z": "1"})
+    bare = [("q", 1, "i", "n", "c", "u", "", None, None), (None, 1, "i", "n", "c", "u", "", ["t"], {"k": None})]
+    merged = R.PRODUCTS.apply(spark.createDataFrame(bare, "product_id string, seq long, insurer_id string, name string, category string, product_url string, description string, tags array<string>, metadata map<string,string>")).collect()
+    assert {r.product_id: (r.tags, r.metadata) for r in merged} == {"q": ([], {}), None: (["t"], {"k": None})}
 
 
 def test_first_match_within_a_page(spark):
@@ -49,10 +54,17 @@ def test_first_match_within_a_page(spark):
 
 
 def test_pages_without_products_borrow_earlier_ones(spark):
-    pages = spark.createDataFrame([("i", "p0", 0), ("i", "p1", 1), ("i", "p2", 2), ("j", "p3", 3)], "insurer_id string, page_url string, visit long")
-    products = spark.createDataFrame([("i", "p0", 0, 0, "a", "A"), ("i", "p2", 2, 0, "b", "B")], "insurer_id string, page_url string, visit long, pos int, product_id string, name string")
-    found = {(r.page_url, r.product_id) for r in R.with_scope_products(pages, products).collect()}
-    assert found == {("p0", "a"), ("p1", "a"), ("p2", "b")}
+    products = spark.createDataFrame([("i", "p0", 0, 0, "a", "Alpha"), ("i", "p2", 2, 1, "b", "Beta"), ("i", "p2", 2, 0, "c", "Gamma")], "insurer_id string, page_url string, visit long, pos int, product_id string, name string")
+    docs = [("i", "p0", 0, "d0", "x"), ("i", "p1", 1, "d1", "x"), ("i", "p1", 1, "d2", "beta"), ("i", "p3", 3, "d3", "beta and gamma"), ("i", "p3", 3, "d4", None), ("i", "p2", 2, "d5", "beta"), ("j", "p4", 4, "d6", "alpha"), ("i", "p-", -1, "d7", "alpha")]
+    frame = spark.createDataFrame(docs, "insurer_id string, page_url string, visit long, document_id string, anchor_text string")
+    found = {r.document_id: r.product_id for r in R.match_in_scope(frame, products).collect()}
+    assert found == {"d0": "a", "d1": "a", "d2": "a", "d3": "c", "d4": None, "d5": "b", "d6": None, "d7": None}
+
+
+def test_lookups_without_a_key(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("", 3), ("z", 4)], "k string, n int")
+    found = R.lookup(rows, spark.createDataFrame([("a", "A"), ("", "blank")], "k string, v string"), "k", "v")
+    assert found.columns == ["k", "n", "v"] and {r.n: r.v for r in found.collect()} == {1: "A", 2: "", 3: "", 4: ""}
 
 
 def test_crawl_order_depth_and_budget(spark):
@@ -118,9 +130,46 @@ def test_files_come_back(spark, tmp_path):
     (tmp_path / "queue.json").write_text('{"documents": [{"document_id": "d", "insurer_id": "i", "product_id": ""}]}')
     entry = S.read_queue(spark, f"{tmp_path}/queue.json").first()
     assert (entry.insurer_name, entry.product_id) == ("i", None)
-    for n in (2, 5):
-        S.atomic_write(spark.range(n), f"file://{tmp_path}/table")
-        assert spark.read.parquet(f"{tmp_path}/table").count() == n
+
+
+def test_commits_are_seen_at_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    stored = StoredTable(f"file://{tmp_path}/table", ("id",), 4)
+    assert stored.read(spark) is None
+    folders = lambda: sorted(p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("data-"))
+    stored.replace(spark.range(100))
+    assert stored.read(spark).count() == 100
+    first = stored.read(spark)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(StoredTable, "_publish", die)  # the data are written, the manifest is not
+        with pytest.raises(RuntimeError):
+            stored.replace(spark.range(7))
+    assert stored.read(spark).count() == 100 and len(folders()) == 2
+    stored.replace(spark.range(50))
+    assert stored.read(spark).count() == 50 and first.count() == 100 and len(folders()) == 2
+    only = [r[0] for r in spark.range(1).select(stored.bucket()).collect()]
+    kept = stored.read(spark, only).count()
+    stored.rewrite(spark.range(1), only)
+    assert stored.read(spark).count() == 50 - kept + 1 and stored.read(spark, only).count() == 1
+    stored.rewrite(spark.range(0), only)
+    assert stored.read(spark).count() == 50 - kept and stored.read(spark, only).count() == 0
+    with pytest.raises(ValueError):
+        StoredTable(f"file://{tmp_path}/table", ("id",), 5).read(spark)
+    with monkeypatch.context() as m:
+        m.setattr(StoredTable, "_last", lambda self, _: (2, None))  # a second writer that missed a commit
+        with pytest.raises(RuntimeError):
+            stored.replace(spark.range(3))
+
+
+def test_staged_tables_go_when_asked(spark):
+    kept, gone = staged(spark.range(3), "kept"), staged(spark.range(4), "gone")
+    unstaged(gone, spark.range(2))
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist|FILE_NOT_EXIST"):
+        gone.collect()
 
 
 def test_retry_rounds_carry_failures_only(spark):
@@ -148,9 +197,10 @@ def test_stream_of_upserts(spark, tmp_path):
     changes = f"{tmp_path}/changes"
     rows = lambda *x: spark.createDataFrame(list(x), PRODUCT + ", seq long").write.mode("append").parquet(changes)
     rows(product("a", 1, name="one"), product("b", 2))
-    run = lambda: upsert_stream(spark.readStream.schema(PRODUCT + ", seq long").parquet(changes), f"file://{tmp_path}/table", R.PRODUCT_ROWS, "seq", f"{tmp_path}/check").awaitTermination()
+    run = lambda: upsert_stream(spark.readStream.schema(PRODUCT + ", seq long").parquet(changes), f"file://{tmp_path}/table", R.PRODUCT_ROWS, "seq", f"{tmp_path}/check", buckets=4).awaitTermination()
     run()
     rows(product("a", 3, name="two", insurer_id="late"))
     run()
-    table = {r.product_id: r for r in spark.read.parquet(f"{tmp_path}/table").collect()}
+    run()
+    table = {r.product_id: r for r in streamed_table(f"file://{tmp_path}/table", R.PRODUCT_ROWS, 4).read(spark).collect()}
     assert set(table) == {"a", "b"} and (table["a"].name, table["a"].insurer_id) == ("two", "x")

@@ -6,18 +6,23 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from tidewater.sources.staging import staged
 
-#: Sides of at most so many rows are broadcast; larger ones are joined by shuffling.
-MAX_BROADCAST_ROWS = 200_000
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "") -> DataFrame:
+    """``rows`` with ``value`` of the ``table`` row of equal ``key``, or the default.
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "", few: bool = False) -> DataFrame:
-    """``rows`` with ``value`` of the ``table`` row of equal ``key``, or the default. ``few``: the table's size is known to be small."""
-    side = table.select(key, value)
-    joined = rows.join(F.broadcast(side) if few else side, key, "left")
-    return joined.withColumn(value, F.coalesce(value, F.lit(default)))
+    Rows without a key, null or empty, have no partner and may be most rows: each is dealt by a
+    hash of its plain columns, so that they don't meet in one task.
+    """
+    blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if isinstance(f.dataType, AtomicType)]
+    apart = F.when(blank, F.xxhash64(*plain)).otherwise(F.lit(0).cast("long"))
+    side = table.where(~blank).select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_a"), value)
+    joined = rows.withColumn("_apart", apart).join(side, (F.col(key) == F.col("_k")) & (F.col("_apart") == F.col("_a")), "left")
+    return joined.withColumn(value, F.coalesce(value, F.lit(default))).drop("_apart", "_k", "_a")
 
 
 def absent(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
@@ -60,17 +65,30 @@ def match_products(documents: DataFrame, products: DataFrame, scope: tuple[str,
     return joined.withColumn("product_id", F.coalesce("_hit", F.when(F.col("_n") == 1, F.col("_only")))).drop("_n", "_only", "_hit")
 
 
-def with_scope_products(pages: DataFrame, products: DataFrame) -> DataFrame:
-    """Candidate products of each page (insurer_id, page_url, visit): its own, or where it has none, all its insurer's found up to then.
+def match_in_scope(documents: DataFrame, products: DataFrame) -> DataFrame:
+    """``match_products`` by page, and for documents of pages without products, by all that their insurer's pages had up to then.
 
-    Returns insurer_id, page_url, product_id, name, pos (order of first sight).
+    ``documents`` (insurer_id, page_url, visit, document_id, anchor_text, any more), ``products``
+    (insurer_id, page_url, visit, pos, product_id, name). The fallback is an equi-join by
+    insurer with a condition; pages and products are never paired without a hit.
     """
-    found = products.select("insurer_id", F.col("page_url").alias("_from"), "product_id", "name", F.col("visit").alias("_seen"), "pos")
-    own = pages.join(found, (pages.page_url == F.col("_from")) & (pages.insurer_id == found.insurer_id)).select(pages.insurer_id, pages.page_url, "product_id", "name", "pos")
-    bare = pages.join(products.select("insurer_id", "page_url").distinct(), ["insurer_id", "page_url"], "left_anti")
-    earlier = bare.join(found, "insurer_id").where(F.col("_seen") <= F.col("visit"))
-    first = earlier.groupBy("insurer_id", "page_url", "product_id").agg(F.min_by(F.struct("name", "pos"), F.struct("_seen", "pos")).alias("_p"), F.min(F.struct("_seen", "pos")).alias("_o"))
-    borrowed = first.select("insurer_id", "page_url", "product_id", "_p.name", (F.col("_o._seen") * 1_000_000 + F.col("_o.pos")).alias("pos"))
+    pages = products.select("insurer_id", "page_url").distinct()
+    own = match_products(documents.join(pages, ["insurer_id", "page_url"], "left_semi"), products)
+    at = F.struct("visit", "pos")
+    firsts = products.groupBy("insurer_id", "product_id").agg(F.min(at).alias("_at"), F.min_by("name", at).alias("_name")).withColumnRenamed("product_id", "_product")
+    bare = documents.join(pages, ["insurer_id", "page_url"], "left_anti")
+    anchor = F.coalesce("anchor_text", F.lit(""))
+    seen = F.col("_at.visit") <= F.col("visit")
+    hits = bare.select("insurer_id", "document_id", "visit", "anchor_text").where(anchor != "").join(firsts, "insurer_id").where(seen & F.contains(F.lower(anchor), F.lower("_name")))
+    first = hits.groupBy("insurer_id", "document_id", "visit", "anchor_text").agg(F.min_by("_product", "_at").alias("_hit"))
+    # A page has a single candidate if the insurer's second product was seen after it.
+    nth = F.row_number().over(Window.partitionBy("insurer_id").orderBy("_at", "_product"))
+    two = firsts.withColumn("_nth", nth).where(F.col("_nth") <= 2).groupBy("insurer_id").agg(F.min_by("_product", "_nth").alias("_only"), F.min("_at").alias("_one"), F.max(F.when(F.col("_nth") == 2, F.col("_at"))).alias("_two"))
+    first = first.withColumnsRenamed({c: f"_{c}" for c in ("insurer_id", "document_id", "visit", "anchor_text")})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("insurer_id", "document_id", "visit", "anchor_text")]
+    found = bare.join(first, same, "left").select(*bare.columns, "_hit").join(two, "insurer_id", "left")
+    sole = (F.col("_one.visit") <= F.col("visit")) & (F.col("_two").isNull() | (F.col("_two.visit") > F.col("visit")))
+    borrowed = found.withColumn("product_id", F.coalesce("_hit", F.when(sole, F.col("_only")))).drop("_hit", "_only", "_one", "_two")
     return own.unionByName(borrowed)
 
 
@@ -86,26 +104,30 @@ class Merge:
     later_wins: tuple[str, ...] = ()
 
     def apply(self, rows: DataFrame) -> DataFrame:
+        """One row for each key. Lists and maps are merged by element, with a partial aggregate before each shuffle, so that versions are never gathered."""
         at = F.col(self.order)
-        made = [F.min_by(F.struct(*self.first), at).alias("_first")] if self.first else []
+        made = [F.min_by(F.struct(*self.first), at).alias("_first"), F.count(F.lit(1)).alias("_n")] if self.first else [F.count(F.lit(1)).alias("_n")]
         for c in self.first_filled:
             filled = F.coalesce(F.col(c), F.lit("")) != ""
             made.append(F.coalesce(F.min_by(F.when(filled, F.col(c)), F.when(filled, at)), F.min_by(c, at)).alias(c))
-        for c in (*self.united, *self.later_wins):
-            made.append(F.array_sort(F.collect_list(F.struct(at.alias("o"), (F.map_entries(c) if c in self.later_wins else F.col(c)).alias("v")))).alias(c))
-        out = rows.groupBy(self.key).agg(*made)
-        columns: list[Column] = [F.col(self.key)]
-        columns += [F.col(f"_first.{c}").alias(c) for c in self.first]
-        columns += [F.col(c) for c in self.first_filled]
-        columns += [F.array_distinct(F.flatten(F.transform(c, lambda x: x["v"]))).alias(c) for c in self.united]
-        columns += [_last_entries(F.flatten(F.transform(c, lambda x: x["v"]))).alias(c) for c in self.later_wins]
-        return out.select(*columns)
-
-
-def _last_entries(entries: Column) -> Column:
-    """A map of key-value entries, of equal keys the last."""
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
-    return F.map_from_entries(last)
+        out = rows.groupBy(F.col(self.key).alias("_key")).agg(*made)
+        for c in self.united:
+            each = rows.select(F.col(self.key).alias("_of"), at.alias("_at"), F.posexplode(c).alias("_p", "_v"))
+            first = each.groupBy("_of", "_v").agg(F.min(F.struct("_at", "_p")).alias("_o"))
+            listed = first.groupBy("_of").agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda x: x["_v"]).alias(c))
+            empty = F.array().cast(rows.schema[c].dataType)
+            out = self._joined(out, listed).withColumn(c, F.coalesce(c, empty))
+        for c in self.later_wins:
+            each = rows.select(F.col(self.key).alias("_of"), at.alias("_at"), F.explode(c).alias("_k", "_v"))
+            last = each.groupBy("_of", "_k").agg(F.max_by(F.struct("_v"), "_at").alias("_l"))
+            listed = last.groupBy("_of").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_l._v")))).alias(c))
+            out = self._joined(out, listed).withColumn(c, F.coalesce(c, F.create_map().cast(rows.schema[c].dataType)))
+        columns: list[Column] = [F.col("_key").alias(self.key), *[F.col(f"_first.{c}").alias(c) for c in self.first]]
+        return out.select(*columns, *self.first_filled, *self.united, *self.later_wins)
+
+    @staticmethod
+    def _joined(out: DataFrame, listed: DataFrame) -> DataFrame:
+        return out.join(listed, F.col("_key").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 #: Products: metadata later wins, tags united, description first non-empty, all else as first seen.

@@ -71,23 +71,28 @@ def document_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def section_array(text: Column) -> Column:
     """array<struct<title, content>>: the lines below each heading, joined; headings without lines vanish.
 
-    One fold over the text's own lines, so that neither a window nor a shuffle is needed.
+    The places of the headings cut the text's own array of lines, in time linear in the lines:
+    neither a window nor a shuffle is needed. A null text gives null.
     """
-    start = F.struct(F.lit(FIRST_TITLE).alias("title"), F.array().cast("array<string>").alias("body"), F.array().cast("array<struct<title:string,content:string>>").alias("done"))
 
-    def flush(state: Column) -> Column:
-        made = F.struct(state["title"].alias("title"), F.array_join(state["body"], "\n").alias("content"))
-        return F.when(F.size(state["body"]) > 0, F.array_append(state["done"], made)).otherwise(state["done"])
+    def cut(rows: Column, heads: Column) -> Column:
+        def section(k: Column) -> Column:
+            start, end = F.coalesce(F.get(heads, k - 1), F.lit(-1)), F.coalesce(F.get(heads, k), F.size(rows))
+            title = F.when(k == 0, FIRST_TITLE).otherwise(heading_title(F.get(rows, start)))
+            return F.struct(title.alias("title"), F.array_join(F.slice(rows, start + 2, end - start - 1), "\n").alias("content"))
 
-    def add(state: Column, line: Column) -> Column:
-        heading = F.struct(heading_title(line).alias("title"), F.array().cast("array<string>").alias("body"), flush(state).alias("done"))
-        more = F.struct(state["title"].alias("title"), F.array_append(state["body"], line).alias("body"), state["done"].alias("done"))
-        return F.when(is_clean_heading(line), heading).otherwise(more)
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(heads)), section), lambda s: s["content"] != "")
 
-    return F.aggregate(lines(text), start, add, flush)
+    places = lambda rows: F.filter(F.transform(rows, lambda x, i: F.when(is_clean_heading(x), i)), lambda i: i.isNotNull())
+    return F.when(text.isNotNull(), _let(lines(text), lambda rows: _let(places(rows), lambda heads: cut(rows, heads))))
 
 
 def split_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +109,7 @@ def _matched(rows: DataFrame, key: str, schemas: Schemas) -> DataFrame:
     first = lambda d: F.get(F.transform(fits(d), lambda s: F.struct(s["content"].alias("content"), F.when(exact(s, d), EXACT).otherwise(BY_ALIAS).alias("confidence"))), F.lit(0))
     joined = rows.join(F.broadcast(defined), "category")
     each = F.transform("defined", lambda d: F.struct(d["ordinal"].alias("ordinal"), d["section_name"].alias("section_name"), first(d).alias("hit")))
-    # Not a filter on the sections: that would be pushed below them and fold every text twice.
+    # Not a filter on the sections: that would be pushed below them and cut every text twice.
     found = joined.select(key, "category", "version", F.explode(F.when(F.size("sections") > 0, each)).alias("m"))
     content, confidence = F.coalesce("m.hit.content", F.lit("")), F.coalesce("m.hit.confidence", F.lit(0.0))
     return found.select(key, "category", F.col("version").alias("schema_version"), "m.ordinal", "m.section_name", content.alias("content"), confidence.alias("confidence"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from tidewater.functions.text import clean_text, slugify
 from tidewater.functions.urls import absolute_url, detect_extension, ensure_scheme, media_type, primary_url, stem
 from tidewater.operators import classifying
-from tidewater.operators.relational import DOCUMENTS, PRODUCTS, match_products, with_scope_products
+from tidewater.operators.relational import DOCUMENTS, PRODUCTS, match_in_scope
 from tidewater.operators.sections import SCHEMAS, policy_sections
-from tidewater.sources.html import page_headings, page_links, page_text, table_rows
+from tidewater.sources.html import page_links, page_scan, table_rows
+from tidewater.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -110,9 +111,14 @@ def page_links_of(pages: DataFrame) -> DataFrame:
     return resolved.where((F.col("href") != "") & classifying.is_crawlable(F.col("href"), F.col("target"), F.col("root"))).select("root", "url", "pos", "target")
 
 
-def product_candidates(pages: DataFrame) -> DataFrame:
-    """(insurer_id, page_url, visit, html) to products in page order, from headings that sound like one."""
-    read = pages.select("insurer_id", "page_url", "visit", page_text("html").alias("page_text"), page_headings("html").alias("headings"))
+def scanned(pages: DataFrame) -> DataFrame:
+    """(insurer_id, page_url, visit, html) with text, headings and links instead of the html, each page parsed once."""
+    return pages.select("insurer_id", "page_url", "visit", page_scan("html").alias("scan")).select("insurer_id", "page_url", "visit", "scan.*")
+
+
+def product_candidates(scans: DataFrame) -> DataFrame:
+    """Scanned pages to products in page order, from headings that sound like one."""
+    read = scans.select("insurer_id", "page_url", "visit", F.col("text").alias("page_text"), "headings")
     found = read.select("insurer_id", "page_url", "visit", "page_text", F.posexplode("headings").alias("pos", "h")).where(classifying.potential_product(F.col("h.title")))
     title = F.col("h.title")
     link = F.when(F.col("h.href") != "", absolute_url(F.col("page_url"), F.col("h.href"))).otherwise(F.col("page_url"))
@@ -135,9 +141,9 @@ def document_id(insurer_id: Column, url: Column, kind: Column) -> Column:
     return slugify(F.concat_ws("-", insurer_id, stem(url), kind))
 
 
-def document_candidates(pages: DataFrame) -> DataFrame:
-    """(insurer_id, page_url, visit, html) to links to documents of a required type that look like downloads."""
-    read = pages.select("insurer_id", "page_url", "visit", F.posexplode(page_links("html")).alias("pos", "link")).where(F.col("link.href") != "")
+def document_candidates(scans: DataFrame) -> DataFrame:
+    """Scanned pages to links to documents of a required type that look like downloads."""
+    read = scans.select("insurer_id", "page_url", "visit", F.posexplode("links").alias("pos", "link")).where(F.col("link.href") != "")
     found = read.withColumn("source_url", absolute_url(F.col("page_url"), F.col("link.href"))).withColumn("anchor_text", clean_text(F.col("link.text")))
     kind = classifying.document_type(F.col("anchor_text"), F.col("source_url"))
     wanted = found.where(classifying.is_document_link(F.col("anchor_text"), F.col("source_url"))).withColumn("document_type", kind).where(F.col("document_type").isin(*classifying.REQUIRED_TYPES))
@@ -166,11 +172,11 @@ class Harvest:
 
 def harvest(pages: DataFrame, texts: DataFrame, limits: Limits = Limits()) -> Harvest:  # noqa: B008 - frozen
     """Visited pages (insurer_id, page_url, visit, html) and texts of documents (source_url, extracted_text) to merged products, documents and sections."""
-    sequence = (F.col("visit") * 1_000_000 + F.col("pos")).alias("seq")
-    candidates = product_candidates(pages)
+    sequence = F.struct("visit", "pos")
+    scans = staged(scanned(pages), "scans")
+    candidates = product_candidates(scans)
     products = PRODUCTS.apply(candidates.withColumn("seq", sequence))
-    scope = with_scope_products(pages.select("insurer_id", "page_url", "visit"), candidates)
-    matched = match_products(document_candidates(pages), scope).join(texts, "source_url", "left")
+    matched = match_in_scope(document_candidates(scans), candidates).join(texts, "source_url", "left")
     metadata = F.map_from_arrays(
         F.array(*map(F.lit, ("anchor_text", "page_url", "extension", "discovery_method"))), F.array(F.col("anchor_text"), F.col("page_url"), F.col("extension"), F.lit("crawl"))
     )

@@ -35,7 +35,7 @@ def document_mappings(documents: DataFrame, insurers: DataFrame, products: DataF
 def download_jobs(documents: DataFrame, insurers: DataFrame, products: DataFrame) -> DataFrame:
     """Documents of known insurers, with the product's name where there is a product."""
     known = documents.join(insurers.select("insurer_id", F.col("name").alias("insurer_name")), "insurer_id")
-    return known.join(products.select("product_id", F.col("name").alias("product_name")), "product_id", "left")
+    return lookup(known, products.select("product_id", F.col("name").alias("product_name")), "product_id", "product_name", None)
 
 
 def pending_downloads(documents: DataFrame, insurers: DataFrame, products: DataFrame, files: DataFrame) -> DataFrame:

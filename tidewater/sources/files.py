@@ -110,19 +110,3 @@ def _pdf_extractor() -> dict[str, Callable[[bytes], str]]:
     except ImportError:
         return {}
     return {".pdf": lambda content: read(BytesIO(content))}
-
-
-def atomic_write(df: DataFrame, path: str) -> None:
-    """Replaces a table at once: written beside it first, then renamed."""
-    spark = df.sparkSession
-    fresh, old = f"{path}.new", f"{path}.old"
-    df.write.mode("overwrite").parquet(fresh)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    aside = jvm.org.apache.hadoop.fs.Path(old)
-    fs.delete(aside, True)
-    if fs.exists(target):
-        fs.rename(target, aside)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(fresh), target)
-    fs.delete(aside, True)

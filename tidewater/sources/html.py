@@ -173,6 +173,22 @@ def page_links(html: pd.Series) -> pd.Series:
     return html.map(lambda x: links(tree(x)))
 
 
+@F.pandas_udf(
+    StructType(
+        [
+            StructField("text", StringType()),
+            StructField("headings", _records("level", "title", "href", "description")),
+            StructField("links", _records("href", "text", attributes=_TEXTS, ancestors=_TEXTS)),
+        ]
+    )
+)
+def page_scan(html: pd.Series) -> pd.DataFrame:
+    """Text, headings and links of a page that is parsed once."""
+    roots = [tree(x) for x in html]
+    parts = {"text": [r.text() for r in roots], "headings": [headings(r) for r in roots], "links": [links(r) for r in roots]}
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in parts.items()})
+
+
 def page_table(html: Column, table_id: str) -> Column:
     """struct<headers, rows> of the table with that id, or null."""
 

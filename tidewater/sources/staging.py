@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -12,7 +11,7 @@ _made: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, for this application; removed when the application ends.
+    """The folder in spark.checkpoint.dir, for this application; removed when the driver's JVM ends.
 
     Where the setting is unset, a local session gets a temporary folder; on a cluster that
     would lose data, so it is an error there.
@@ -26,20 +25,31 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewater-")
     folder = f"{root.rstrip('/')}/tidewater-{context.applicationId}"
+    fs, path = _files(spark, folder)
+    fs.mkdirs(path)
+    # The file system does this as the JVM ends, whether or not the session was stopped before.
+    fs.deleteOnExit(path)
     _made[context.applicationId] = folder
-    atexit.register(_remove, spark, folder)
     return folder
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
+def _files(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there, and executors may be lost."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    vars(out)["_staged_at"] = path
+    return out
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing will read any more; others are left alone."""
+    for df in tables:
+        if "_staged_at" in vars(df):
+            fs, folder = _files(df.sparkSession, vars(df)["_staged_at"])
+            fs.delete(folder, True)
