@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import catalog as K
 from tidewater.operators import relational as R
-from tidewater.plans import jobs
+from tidewater.plans import ingest, jobs, options
+from tidewater.sources import fetch as H
 from tidewater.sources import files as S
 from tidewater.sources.staging import staged, unstaged
 from tidewater.sources.tables import StoredTable
@@ -193,6 +194,33 @@ def test_reprocess(spark):
     assert jobs.Reprocess().sections(docs, products).where("confidence = 1").count() == 1
 
 
+def test_fetches_take_turns_and_fail_as_data(spark):
+    def get(url):
+        if "bad" in url:
+            raise OSError("down")
+        return (200, "text/html", b"<p>" + url.encode()) if "page" in url else (200, "application/pdf", b"x" * 50) if "pdf" in url else (500, "", b"")
+
+    rows = spark.createDataFrame([("a", "page1"), ("a", "bad"), ("b", "pdf"), ("b", ""), ("c", None), ("c", "err")], "insurer_id string, url string")
+    found = {r.url: r for r in H.fetch(rows, get, throttle=H.Throttle(2, 0, 0.01), most=40).select("*", H.html_of().alias("html")).collect()}
+    assert (found["page1"].html, found["page1"].error) == ("<p>page1", None) and found["bad"].error == "OSError: down"
+    assert found["pdf"].error == "too large" and found["pdf"].html is None and found["err"].error == "status 500" and found[""].error == found[None].error == "no address"
+    assert H.fetch(rows, get, throttle=H.Throttle(3, 0, 0)).rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError):
+        H.Throttle(1, 2, 1)
+    with pytest.raises(Exception, match="down"):
+        H.strict(H.fetch(rows.limit(2), get, throttle=H.Throttle(1, 0, 0))).collect()
+
+
+def test_options():
+    assert options.ingest_options([]) == ingest.Limits() and options.reprocess_options([]) == jobs.Reprocess()
+    given = options.reprocess_options(["--insurer", "a", "--insurer", "b", "--max-documents", "3", "--only-missing-text", "--skip-policy-sections"])
+    assert given == jobs.Reprocess(("a", "b"), only_missing_text=True, limit=3, with_sections=False)
+    assert options.ingest_options(["--no-download-documents", "--max-depth", "2"]) == ingest.Limits(max_depth=2, download=False)
+    assert options.download_options(["--min-delay", "0", "--max-parallel-insurers", "0"]).throttle == H.Throttle(1, 0, 4) and options.download_options([]) == jobs.Download()
+    with pytest.raises(ValueError):
+        options.download_options(["--min-delay", "5"])
+
+
 def test_stream_of_upserts(spark, tmp_path):
     changes = f"{tmp_path}/changes"
     rows = lambda *x: spark.createDataFrame(list(x), PRODUCT + ", seq long").write.mode("append").parquet(changes)

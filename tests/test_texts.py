@@ -40,7 +40,7 @@ def test_slugs(spark):
 def test_whole_texts_are_slugged(spark):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    slugs = {r.id: r.slug for r in catalogue.queries()["slugify_text"](spark, sf).collect() if r.id >= 0}
+    slugs = {r.id: r.slug for r in catalogue.queries()["slugify"](spark, sf).collect() if r.id >= 0}
     assert slugs == {i: python_slug(x) for i, x in texts.items()} and sum("\n" in x.strip() for x in texts.values()) > len(texts) / 2
 
 
@@ -157,5 +157,5 @@ def test_from_regulator_pages_to_sections(spark):
 def test_sections_of_all_documents_are_matched(spark):
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 5 < 4 and trim(text) <> ''")
-    found = catalogue.queries()["match_sections_all"](spark, sf).where("doc_id >= 0")
+    found = catalogue.queries()["match_sections"](spark, sf).where("doc_id >= 0")
     assert found.select("doc_id").distinct().count() > 0.9 * documents.count() and "content" in found.columns

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewater.queries import products, tables, texts
+from tidewater.queries import products, sites, tables, texts
 from tidewater.queries.base import Query
 from tidewater.queries.products import flagship
 
-GROUPS = (products.group, texts.group, tables.group)
+GROUPS = (products.group, texts.group, tables.group, sites.group)
 
 
 def queries() -> dict[str, Query]:

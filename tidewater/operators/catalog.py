@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.functions.text import highlight
 
@@ -44,6 +45,35 @@ class Page:
         return max(1, min(wanted, self.pages))
 
 
+def clamped_page(wanted: Column, total: Column, page_size: int = PAGE_SIZE) -> Column:
+    """``Page.clamped`` for columns."""
+    return F.greatest(F.lit(1).cast("long"), F.least(wanted, F.ceil(total / page_size)))
+
+
+def query_string(fields: dict[str, Column]) -> Column:
+    """A form-encoded query string: nulls are left out, arrays repeat their key; empty without any value."""
+
+    def pairs(name: str, values: Column) -> Column:
+        return F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(f"{name}="), F.url_encode(x.cast("string"))))
+
+    said = F.array_join(F.flatten(F.array(*[F.coalesce(pairs(n, c), F.array().cast("array<string>")) for n, c in fields.items()])), "&")
+    return F.when(said != "", F.concat(F.lit("?"), said)).otherwise("")
+
+
+INSURERS = "id string, name string, logoUrl string, rating double, totalProducts int"
+CATEGORIES = "id string, label string, icon string, productCount int"
+PRODUCTS = (
+    "id string, name string, insurer string, rating double, priceFrom int, coverageType string, coverageAmount string, tags array<string>, categoryId string, policyExcerpt string, "
+    "policyDocumentUrl string, highlights array<string>, policyWording string, reviews array<struct<id:string,rating:int>>"
+)
+
+
+def in_memory(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of the catalogue from records, with ``ordinal`` for their order; fields that are missing are null."""
+    kinds = T.StructType.fromDDL(schema)
+    return spark.createDataFrame([(i, *[r.get(n) for n in kinds.names]) for i, r in enumerate(rows)], T.StructType([T.StructField("ordinal", T.IntegerType()), *kinds.fields]))
+
+
 def haystack(columns: tuple[str, ...] = SEARCHED) -> Column:
     """All searched fields in lower case, joined by spaces; stored beside the products it saves lowering them anew."""
     return F.lower(F.concat_ws(" ", *columns))

@@ -189,6 +189,17 @@ def violations(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -
     return child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
+def without_parents(child: DataFrame, deleted: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """What is left of ``child`` when the deletion of its parents cascades; rows without a parent stay."""
+    return child.join(deleted.select(F.col(parent_key).alias(key)), key, "left_anti")
+
+
+def parents_set_null(child: DataFrame, deleted: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """``child`` with ``key`` null where its parent is deleted."""
+    gone = deleted.select(F.col(parent_key).alias("_gone")).distinct()
+    return child.join(gone, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+
+
 def crawl(roots: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 80) -> DataFrame:
     """Breadth-first visits (root, url, depth, visit) along ``links`` (url, pos, target), each url once, at most ``max_pages`` a root.
 

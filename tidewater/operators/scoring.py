@@ -1,11 +1,13 @@
 """Explainable scores: eleven parameters, each a rating, a score and a rationale; a weighted sum and a grade.
 
-Each parameter is a declarative row of SQL over a normalised product's struct columns, kept in
-a struct column of its own so that neither the score nor its text is computed twice.
+Each parameter is a declarative row of SQL over a normalised product's struct columns. Numbers
+that texts quote, scores and texts are arrays, staged as columns: each is computed once, and
+what is done to all of them is one small expression over the array.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -195,19 +197,18 @@ PARAMETERS = (
 )
 
 
-def _short_sql(placeholder: str) -> str:
-    """SQL of ``functions.numbers.short_number``."""
-    x, missing = placeholder.rsplit("|", 1)
-    plain = f"regexp_replace(regexp_replace(cast(cast({x} as decimal(30,6)) as string), '0+$', ''), '[.]$', '')"
-    return f"coalesce(CASE WHEN {x} = floor({x}) AND abs({x}) < 1e15 THEN cast(cast({x} as bigint) as string) WHEN abs({x}) >= 1e7 THEN {plain} ELSE cast({x} as string) END, '{missing}')"
+#: Placeholders of all rationales, each once: the numbers that texts quote, in their short form.
+QUOTED = tuple(dict.fromkeys(x for p in PARAMETERS for part in p.rationale for x in re.findall(r"{([^{}]*)[|][^{}|]*}", part)))
+
+
+def quoted_numbers() -> Column:
+    """array<string>: the short forms of ``QUOTED``, by one expression over all of them."""
+    return F.transform(F.array(*[F.expr(x).cast("double") for x in QUOTED]), lambda x: short_number(x, None))
 
 
 def _expanded(sql: str) -> str:
-    while "{" in sql:
-        head, rest = sql.split("{", 1)
-        inside, tail = rest.split("}", 1)
-        sql = head + _short_sql(inside) + tail
-    return sql
+    """SQL whose placeholders are read from the column ``_quoted``."""
+    return re.sub(r"{([^{}]*)[|]([^{}|]*)}", lambda m: f"coalesce(_quoted[{QUOTED.index(m[1])}], '{m[2]}')", sql)
 
 
 def rate(score: Column) -> Column:
@@ -226,12 +227,21 @@ def grade(weighted: Column) -> Column:
     return ladder.otherwise(LOWEST_GRADE)
 
 
-def parameter(name: str) -> Column:
-    """struct<parameter, score, rating, rationale> of one parameter."""
-    spec = next(p for p in PARAMETERS if p.name == name)
-    score = F.expr(spec.score).cast("double")
-    text = F.trim(F.concat_ws("", *[F.expr(_expanded(part)) for part in spec.rationale]))
-    return F.struct(F.lit(name).alias("parameter"), score.alias("score"), rate(score).alias("rating"), text.alias("rationale"))
+def scores_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
+    """array<double>: the score of each parameter."""
+    return F.array(*[F.expr(p.score).cast("double") for p in parameters])
+
+
+def rationales_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
+    """array<string>: the text of each parameter, beside the column ``_quoted``."""
+    return F.array(*[F.trim(F.concat_ws("", *[F.expr(_expanded(part)) for part in p.rationale])) for p in parameters])
+
+
+def judged(scores: Column, rationales: Column, parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
+    """array<struct<parameter, score, rating, rationale>>."""
+    names = F.array(*[F.lit(p.name) for p in parameters])
+    rows = F.arrays_zip(names.alias("parameter"), scores.alias("score"), rationales.alias("rationale"))
+    return F.transform(rows, lambda x: F.struct(x["parameter"].alias("parameter"), x["score"].alias("score"), rate(x["score"]).alias("rating"), x["rationale"].alias("rationale")))
 
 
 def weighted_sum(scores: dict[str, Column]) -> Column:
@@ -252,10 +262,10 @@ def overall_notes() -> Column:
 
 def score_products(products: DataFrame) -> DataFrame:
     """Adds productRef, scores (in the order of ``WEIGHTS``), overall<weightedScore, grade, notes> and version."""
-    names = list(WEIGHTS)
-    detailed = products.withColumns({f"_{n}": parameter(n) for n in names})
-    summed = detailed.withColumn("_sum", weighted_sum({n: F.col(f"_{n}.score") for n in names}))
+    names = [p.name for p in PARAMETERS]
+    detailed = products.withColumns({"_quoted": quoted_numbers(), "_score": scores_of()}).withColumn("_text", rationales_of())
+    summed = detailed.withColumn("_sum", weighted_sum({n: F.col("_score")[names.index(n)] for n in WEIGHTS}))
     overall = F.struct(two_places(F.col("_sum")).alias("weightedScore"), grade(F.col("_sum")).alias("grade"), overall_notes().alias("notes"))
     reference = F.struct("product.insurer", "product.planName", "product.variant")
-    scored = summed.withColumns({"productRef": reference, "scores": F.array(*[F.col(f"_{n}") for n in names]), "overall": overall, "version": F.lit(VERSION)})
-    return scored.drop("_sum", *[f"_{n}" for n in names])
+    scored = summed.withColumns({"productRef": reference, "scores": judged(F.col("_score"), F.col("_text")), "overall": overall, "version": F.lit(VERSION)})
+    return scored.drop("_sum", "_quoted", "_score", "_text")

@@ -162,8 +162,10 @@ def _each(keys: Column, text: str) -> Column:
 
 def value_errors() -> Column:
     """Broken rules of typed product columns, as array<string>, in the order of ``RULES``."""
-    said = F.array(*[F.when(~F.coalesce(F.expr(r.holds), F.lit(False)), F.lit(f"{r.path}: {r.message}")) for r in RULES])
-    return F.filter(said, lambda x: x.isNotNull())
+    holds = F.array(*[F.coalesce(F.expr(r.holds), F.lit(False)) for r in RULES])
+    said = F.array(*[F.lit(f"{r.path}: {r.message}") for r in RULES])
+    broken = F.filter(F.arrays_zip(holds.alias("holds"), said.alias("said")), lambda x: ~x["holds"])
+    return F.transform(broken, lambda x: x["said"])
 
 
 def validate(products: DataFrame, payload: str | None = None) -> DataFrame:

@@ -69,6 +69,7 @@ class Limits:
     documents_dir: str = "data/documents"
     section_types: tuple[str, ...] = ("policy_wording",)
     schemas: dict = field(default_factory=lambda: SCHEMAS)
+    download: bool = True
 
 
 def insurer_rows(rows: DataFrame, source: Source, cells: str = "cells") -> DataFrame:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.urls import MEDIA_TYPES
+from tidewater.functions.text import slugify
+from tidewater.functions.urls import MEDIA_TYPES, detect_extension, ensure_scheme, local_path, media_type, suffix
 from tidewater.operators.relational import absent, by_insurers, lookup
 from tidewater.operators.sections import SCHEMAS, policy_sections
+from tidewater.sources.fetch import Throttle
+from tidewater.sources.files import MAX_BYTES, read_queue, text_of
 from tidewater.sources.staging import staged
 
+Extractors = dict[str, Callable[[bytes], str]]
+
 MAPPED_TYPES = ("policy_wording", "brochure")
 MAPPING = ("insurer_id", "insurer_name", "product_id", "product_name", "document_id", "document_type", "source_url", "local_path", "anchor_text", "discovered_from_url", "discovery_method")
 PENDING = ("insurer_id", "insurer_name", "document_id", "document_type", "product_id", "product_name", "source_url", "page_url", "anchor_text", "discovery_method", "extension")
@@ -49,6 +55,52 @@ def jobs_by_insurer(jobs: DataFrame, order: str = "document_id") -> DataFrame:
     return jobs.groupBy("insurer_id").agg(F.array_sort(F.collect_list(order)).alias("jobs"))
 
 
+def flattened(groups: DataFrame) -> DataFrame:
+    """(insurer_id, pos, document_id): the groups of ``jobs_by_insurer`` as single jobs again, in order."""
+    return groups.select("insurer_id", F.posexplode("jobs").alias("pos", "document_id"))
+
+
+def job_source(spark: SparkSession, queue: str, documents: DataFrame) -> DataFrame:
+    """The entries of the queue file where there is one, else ``documents``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(queue)
+    exists = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return read_queue(spark, queue) if exists else documents
+
+
+@dataclass(frozen=True)
+class Download:
+    folder: str = "data/documents"
+    queue: str = "data/document_download_queue.json"
+    throttle: Throttle = Throttle()
+    retries: int = 2
+    timeout: float = 30.0
+
+
+def process_documents(documents: DataFrame, contents: DataFrame | None, extractors: Extractors | None = None, folder: str = Download.folder, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``documents`` (document_id, insurer_id, source_url, local_path, content_hash, extracted_text, any more) after download.
+
+    ``contents``: (document_id, content) that was fetched, or None where nothing is downloaded.
+    Adds extension and content_type. Without an address a document stays as it is; of a kind that isn't supported it
+    gets these two only; without download its path is null and its text empty; with content
+    of a fitting size it gets path, hash and text, and otherwise stays as it was.
+    """
+    url = ensure_scheme(F.coalesce("source_url", F.lit("")))
+    kind = F.when(url != "", detect_extension(url))
+    known = documents.withColumn("extension", kind).withColumn("content_type", F.when(kind.isNotNull(), F.coalesce(media_type(kind), F.lit(""))))
+    supported = F.coalesce(F.col("extension").isin(*MEDIA_TYPES), F.lit(False))
+    if contents is None:
+        return known.withColumns({"local_path": F.when(~supported, F.col("local_path")), "extracted_text": F.when(supported, F.lit("")).otherwise(F.col("extracted_text"))})
+    fetched = contents.select("document_id", F.col("content").alias("_content"))
+    joined = known.join(fetched, "document_id", "left")
+    size = F.octet_length("_content")
+    taken = F.coalesce(supported & (size > 0) & (size <= max_bytes), F.lit(False))
+    place = local_path(folder, F.col("insurer_id"), F.coalesce(F.nullif(slugify(F.col("document_id")), F.lit("")), F.col("document_id")), F.col("extension"))
+    made = joined.withColumns({"_taken": taken, "_path": place}).withColumn("_text", text_of(F.col("_path"), F.when(F.col("_taken"), F.col("_content")), extractors))
+    pick = lambda new, old: F.when(F.col("_taken"), new).otherwise(F.col(old))
+    done = {"local_path": pick(F.col("_path"), "local_path"), "content_hash": pick(F.sha2("_content", 256), "content_hash"), "extracted_text": pick(F.col("_text"), "extracted_text")}
+    return made.withColumns(done).drop("_content", "_taken", "_path", "_text")
+
+
 def missing_text(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("extracted_text").isNull() | (F.col("extracted_text") == ""))
 
@@ -59,12 +111,24 @@ def newest(documents: DataFrame, most: int | None = None) -> DataFrame:
     return ranked.limit(most) if most is not None else ranked
 
 
+@dataclass(frozen=True)
+class Reprocessed:
+    """Documents with new hash and text, their sections and mappings, what is left to download, and one row of counters."""
+
+    documents: DataFrame
+    sections: DataFrame
+    mappings: DataFrame
+    pending: DataFrame
+    stats: DataFrame
+
+
 @dataclass(frozen=True)
 class Reprocess:
     insurers: tuple[str, ...] = ()
     strict_filters: bool = False
     only_missing_text: bool = False
     limit: int | None = None
+    with_sections: bool = True
 
     def documents(self, documents: DataFrame, insurers: DataFrame) -> DataFrame:
         out = by_insurers(documents, insurers, list(self.insurers), self.strict_filters) if self.insurers else documents
@@ -77,6 +141,26 @@ class Reprocess:
         return policy_sections(known.select(F.col("document_id").alias("doc_id"), "category", F.col("extracted_text").alias("text")), schemas)
 
 
+    def run(self, documents: DataFrame, insurers: DataFrame, products: DataFrame, files: DataFrame, extractors: Extractors | None = None, schemas=SCHEMAS) -> Reprocessed:
+        """Hash and text of the chosen documents anew from ``files`` (path, content), joined by local_path.
+
+        A document without a file is pending, one whose file has no supported suffix is skipped;
+        the others are processed, mapped, and those with a product cut into sections.
+        """
+        chosen = self.documents(documents, insurers)
+        joined = chosen.join(files.select(F.col("path").alias("local_path"), F.col("content").alias("_content")), "local_path", "left")
+        kind = suffix(F.col("local_path"))
+        joined = staged(joined.withColumn("_state", F.when(F.col("_content").isNull(), "missing").when(kind.isin(*MEDIA_TYPES), "processed").otherwise("skipped")), "chosen")
+        text = text_of(F.col("local_path"), F.col("_content"), extractors)
+        ready = joined.where("_state = 'processed'").withColumns({"content_hash": F.sha2("_content", 256), "extracted_text": text, "extension": kind})
+        ready = staged(ready.select(*documents.columns, *[c for c in ("content_hash",) if c not in documents.columns]), "processed")
+        sections = self.sections(ready, products, schemas) if self.with_sections else self.sections(ready.limit(0), products, schemas)
+        pending = _named(joined.where("_state = 'missing'"), insurers, products).select(*_blank(PENDING))
+        counts = joined.agg(*[F.count_if(F.col("_state") == s).alias(f"documents_{s}") for s in ("processed", "missing", "skipped")])
+        stats = counts.withColumn("sections_written", F.lit(sections.count()))
+        return Reprocessed(ready, sections, document_mappings(ready, insurers, products, every=True), pending, stats)
+
+
 def reprocess_stats(documents: DataFrame) -> DataFrame:
     """One row of counters over (document_id, product_id, insurer_id, extension, local_path, extracted_text)."""
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""

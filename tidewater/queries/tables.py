@@ -117,23 +117,16 @@ def _categorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(policies(spark))
 
 
-@group.query(f"WITH {POLICY_SQL}, wanted AS (SELECT doc_id, category FROM policies), said AS (SELECT doc_id, text FROM policies), {_DEFINED}, {SECTIONS_SQL}, {_MATCHED} SELECT doc_id, category, ordinal, section_name, content, confidence FROM matched")
-def match_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = policies(spark)
-    return match(split(texts), texts.select("doc_id", "category")).drop("schema_version")
-
-
 @group.query(f"WITH {_ALL_DOCS}, {_DEFINED}, {SECTIONS_SQL}, {_MATCHED} SELECT doc_id, category, ordinal, section_name, content, confidence FROM matched")
-def match_sections_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Like ``match_sections``, but over the sections of all documents too."""
+def match_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of all documents, and of policies."""
     texts = _categorised(spark, sf_dir)
     return match(split(texts), texts.select("doc_id", "category")).drop("schema_version")
 
 
-@group.query(f"WITH {_ALL_DOCS}, {_DEFINED}, {SECTIONS_SQL}, {_MATCHED} SELECT doc_id, section_name, length(content) AS chars, confidence FROM matched")
+@group.query(f"WITH {_ALL_DOCS}, {_DEFINED}, {SECTIONS_SQL}, {_MATCHED} SELECT doc_id, section_name, content, confidence FROM matched")
 def policy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sections_of(_categorised(spark, sf_dir))
-    return found.select("doc_id", "section_name", F.length("content").alias("chars"), "confidence")
+    return sections_of(_categorised(spark, sf_dir)).select("doc_id", "section_name", "content", "confidence")
 
 
 @group.query("SELECT unnest(['health', 'life_savings', 'life_term', 'motor']) AS category")

@@ -75,14 +75,19 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
 
 
+def within_size(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Files (path, length, content) up to the size limit; of others not a byte is read."""
+    return files.where(F.col("length") <= max_bytes)
+
+
 def file_hashes(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, content_hash) of files up to the size limit."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes)
-    return files.select("path", F.sha2("content", 256).alias("content_hash"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return within_size(files, max_bytes).select("path", F.sha2("content", 256).alias("content_hash"))
 
 
-def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """(path, content) to (path, extracted_text): by suffix; empty where there is no extractor or it fails.
+def text_of(path: Column, content: Column, extractors: dict[str, Callable[[bytes], str]] | None = None) -> Column:
+    """A file's text by its suffix; empty where there is no extractor or it fails.
 
     By default ``.pdf`` is read with pdfminer where that is installed.
     """
@@ -99,7 +104,12 @@ def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]]
 
         return pd.Series([one(p, c) for p, c in zip(path, content, strict=True)])
 
-    return files.select("path", strip_script(run("path", "content")).alias("extracted_text"))
+    return strip_script(run(path, content))
+
+
+def extract_text(files: DataFrame, extractors: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """(path, content) to (path, extracted_text)."""
+    return files.select("path", text_of(F.col("path"), F.col("content"), extractors).alias("extracted_text"))
 
 
 def _pdf_extractor() -> dict[str, Callable[[bytes], str]]:
