@@ -12,20 +12,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import staged
+from tidewater.llm.shared import staged, unstaged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Each vertex hangs its larger neighbours on the least of its own."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(staged(least, "least"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
+    hung = staged(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "hung")
+    unstaged(least)
+    return hung
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
+    """Each vertex hangs its smaller neighbours, and itself, on the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = staged(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     hung = down.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return hung.unionByName(least.select("a", F.col("m").alias("b")))
+    stars = staged(hung.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
+    unstaged(least, edges)
+    return stars
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -36,7 +42,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
-        now = staged(_small_star(staged(_large_star(now).distinct(), "hung")).where("a <> b").distinct(), "stars")
+        earlier, now = now, _small_star(_large_star(now))
+        unstaged(earlier)
         sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             break

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.sources.staging import staged
+from tidewater.sources.staging import staged, unstaged
 
 #: What separates words, for Spark's regular expressions and for DuckDB's.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,4 +34,4 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["SPACES", "WORD", "documents", "map_batches", "own", "staged"]
+__all__ = ["SPACES", "WORD", "documents", "map_batches", "own", "staged", "unstaged"]
