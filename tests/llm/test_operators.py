@@ -187,6 +187,31 @@ def test_fingerprints_by_brute_force(spark, sparse):
         assert rows[i].n_near == (near if i % 50 == 0 else None)
 
 
+def test_one_far_id_leaves_ranges_even(spark):
+    ids = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text"))
+    rows = simhash.with_next(ids.unionByName(spark.createDataFrame([(1 << 62, "far"), (-(1 << 63), "low")], "doc_id long, text string")))
+    counts = rows.where("not orphan").groupBy("range").count().collect()
+    assert len(counts) > 50 and max(r["count"] for r in counts) < 4 * simhash.RANGE_ROWS
+    by_id = {r.doc_id: r.next_text for r in rows.where("not copy").collect()}
+    assert by_id[19_999] == "far" and by_id[1 << 62] == "low" and by_id[-(1 << 63)] == "x y" and len(by_id) == 20_002
+
+
+@pytest.mark.parametrize("ids", ["one", "half", "few"])
+def test_rows_under_one_id_follow_each_other_in_many_ranges(spark, monkeypatch, ids):
+    monkeypatch.setattr(simhash, "RANGE_ROWS", 16)
+    texts = [f"text {k * 7919 % 1000} of its own" for k in range(1000)]
+    id_of = {"one": lambda k: 5, "half": lambda k: 5 if k % 2 else k, "few": lambda k: k % 3 - 1}[ids]
+    pairs = [(id_of(k), t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    _, hot = simhash.range_starts(frame)
+    rows = simhash.with_next(frame)
+    assert hot and max(r["count"] for r in rows.groupBy("range").count().collect()) < 200
+    tie = lambda i, t: ((xxhash.xxh64(t.encode(), seed=42).intdigest() ^ (1 << 63)) - (1 << 63)) % simhash.TIES if i in hot else 0
+    order = sorted((i, tie(i, t), t) for i, t in pairs)
+    follows = {t: order[(k + 1) % len(order)][2] for k, (_, _, t) in enumerate(order)}
+    assert {r.text: r.next_text for r in rows.where("not copy").collect()} == follows
+
+
 def test_block_tables_find_all_neighbours(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(40)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewater.llm.chat_format import format_chats, read_chats, turns_of_records, turns_of_table
+from tidewater.llm.hash_sql import fingerprints as fingerprints_sql
 from tidewater.llm.license_scan import COPYRIGHT_LINE, NOT_WORDS, license_scan
 from tidewater.llm.licence_texts import EQUIVALENTS, LICENCES, NOTICES
 from tidewater.llm.mixing import mix_sources
@@ -18,7 +19,7 @@ from tidewater.llm.near_dedup import near_duplicates
 from tidewater.llm.pii import find_pii
 from tidewater.llm.quality import quality_rules
 from tidewater.llm.sentencepiece_codec import round_trip
-from tidewater.llm.shared import documents
+from tidewater.llm.shared import WORD, documents
 from tidewater.llm.simhash import document_fingerprints
 from tidewater.llm.token_counts import token_counts
 from tidewater.llm.url_filter import Rule, url_filter
@@ -170,6 +171,23 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM documents LEFT JOIN (SELECT doc_id, any_value(n) AS n FROM sized GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(via) AS low FROM reach GROUP BY 1) USING (doc_id)
 """
 
+_PRINTS = f"""
+WITH ordered AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER w, first(coalesce(text, '')) OVER w) AS following, coalesce(lead(doc_id) OVER w, first(doc_id) OVER w) AS following_id
+  FROM documents WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edits AS (SELECT *, left(text, n - n // 2) || left(following, n // 2) AS edited FROM ordered),
+sides AS (SELECT doc_id, 0 AS side, text AS said FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+words AS (SELECT doc_id, side, unnest(regexp_extract_all(said, '{WORD}')) AS word FROM sides),
+{fingerprints_sql("words", "doc_id, side")},
+both_sides AS (
+  SELECT e.*, coalesce(a.fp, 0) AS own, coalesce(b.fp, 0) AS edit, coalesce(c.fp, 0) AS ahead FROM edits e LEFT JOIN prints a ON a.doc_id = e.doc_id AND a.side = 0
+  LEFT JOIN prints b ON b.doc_id = e.doc_id AND b.side = 1 LEFT JOIN prints c ON c.doc_id = e.following_id AND c.side = 0),
+near AS (SELECT q.doc_id, count(*) AS n_near FROM both_sides q JOIN both_sides t ON bit_count(xor(q.own, t.own)) <= 3 WHERE q.doc_id % 50 = 0 GROUP BY 1)
+SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, lower(lpad(hex(own), 16, '0')) AS fingerprint, lower(lpad(hex(edit), 16, '0')) AS edited_fingerprint,
+  1 - bit_count(xor(own, edit)) / 64 AS near_edited, 1 - bit_count(xor(own, ahead)) / 64 AS near_next, n_near
+FROM both_sides LEFT JOIN near USING (doc_id)
+"""
+
 _MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
@@ -196,4 +214,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _LICENSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX}
+    return {"op1_license_scan": _LICENSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "op9_fingerprints": _PRINTS}

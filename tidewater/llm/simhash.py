@@ -12,8 +12,10 @@ from tidewater.llm.shared import SPACES, own, staged
 
 #: A term's weight is its length in code points, up to this.
 MAX_WEIGHT = 12
-#: Neighbours are found by id ranges; so many at most, and each of about so many documents or more.
+#: Neighbours are found by id ranges; about so many at most, and each of about so many documents or more.
 MAX_RANGES, RANGE_ROWS = 1 << 16, 256
+#: Ids that are sampled for each range to place its bounds, and hash values by which the rows of a frequent id are dealt.
+SAMPLES, TIES = 16, 1 << 16
 _LANES = 0x0000000100000001
 
 
@@ -66,29 +68,71 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int = 3, blo
     return met.select("query", "fingerprint", distance.alias("distance")).where(F.col("distance") <= radius).distinct()
 
 
+def range_starts(docs: DataFrame) -> tuple[list[tuple[int, int]], list[int]]:
+    """Where ranges of about equal numbers of rows begin, as (doc_id, tie), and the ids that fill several ranges.
+
+    Rows of each id are counted; of the counts, a hash of the id picks ``SAMPLES`` for each range, a
+    million at most, and all ids of more than four ranges' rows are kept. Their running sum places the
+    starts. Only the balance of the ranges, never a result, depends on what is picked.
+    """
+    total = docs.agg(F.count("doc_id")).first()[0]
+    ranges = min(MAX_RANGES, max(1, total // RANGE_ROWS))
+    if ranges == 1:
+        return [], []
+    step, every = -(-total // ranges), max(1, total // (SAMPLES * ranges))
+    heavy = F.col("n") > 4 * step
+    sizes = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    picked = sizes.where(heavy | (F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)).withColumn("heavy", heavy)
+    order = Window.orderBy("doc_id")
+    weight = F.when(heavy, F.col("n")).otherwise(F.col("n") * every)
+    placed = picked.withColumn("upto", F.sum(weight).over(order)).withColumn("at", F.floor(F.coalesce(F.lag("upto").over(order), F.lit(0)) / step))
+    first = F.col("at") > F.coalesce(F.lag("at").over(order), F.lit(0))
+    found = placed.withColumn("first", first).where("first or heavy").select("doc_id", "n", "heavy").orderBy("doc_id").collect()
+    starts = []
+    for doc_id, n, hot in found:
+        parts = min(TIES, -(-n // step)) if hot else 1
+        starts += [(doc_id, TIES * k // parts) for k in range(parts)]
+    return starts, [doc_id for doc_id, _, hot in found if hot]
+
+
+def _range(starts: list[tuple[int, int]], doc_id: Column, tie: Column) -> Column:
+    """How many ranges begin up to a row, by binary search."""
+    if not starts:
+        return F.lit(0).cast("long")
+    ids, ties = (F.split(F.lit(",".join(str(s[i]) for s in starts)), ",").cast("array<bigint>") for i in (0, 1))
+    top = len(starts).bit_length() - 1
+
+    def step(upto: Column, size: Column) -> Column:
+        at = upto + size - 1
+        begun = (F.get(ids, at) < doc_id) | ((F.get(ids, at) == doc_id) & (F.get(ties, at) <= tie))
+        return F.when(begun, upto + size).otherwise(upto)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(top, -1, -1)]), F.lit(0), step).cast("long")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row of (doc_id, text) with the next document's text, in ascending doc_id, after the last the first.
 
-    Ids are cut into ranges of equal width, at most ``MAX_RANGES``; the first document of each
+    Ids are cut into ranges of about equal numbers of rows, however they lie. The first document of each
     range is also sent to the range before, so that every next text is at hand after a single
-    shuffle by range. The broadcast table has a row for each range: 1 MB at most. Returns range,
+    shuffle by range. The broadcast table has a row for each range: a few MB at most. Returns range,
     orphan, nth (which together tell rows apart), copy, doc_id, text, next_text. Ties in
-    doc_id follow the text. Rows without doc_id (orphan) have no next document.
+    doc_id follow the text, those of an id that fills several ranges a hash of the text first;
+    only rows equal in both stay together. Rows without doc_id (orphan) have no next document.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id")).first()
-    ranges = min(MAX_RANGES, max(1, (n or 0) // RANGE_ROWS))
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // ranges))
-    by_range = docs.select("doc_id", "text", F.expr(f"doc_id div {min(width, 2**63 - 1)}L").alias("range"))
-    firsts = by_range.where("doc_id is not null").groupBy("range").agg(F.min("doc_id").alias("first"))
+    starts, hot = range_starts(docs)
+    tie = F.when(F.col("doc_id").isin(hot), F.pmod(F.xxhash64("text"), F.lit(TIES))).otherwise(0).cast("long") if hot else F.lit(0).cast("long")
+    by_range = docs.select("doc_id", "text", tie.alias("tie")).withColumn("range", F.when(F.col("doc_id").isNotNull(), _range(starts, F.col("doc_id"), F.col("tie"))))
+    firsts = by_range.where("doc_id is not null").groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))
     places = F.when(F.col("first").isNotNull(), F.array(F.struct("range", F.lit(False).alias("copy")), F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))))
     alone = F.array(F.struct(F.coalesce("range", F.pmod(F.xxhash64("text"), F.lit(MAX_RANGES))).alias("range"), F.lit(False).alias("copy")))
-    sent = by_range.join(F.broadcast(firsts.select("first", before.alias("before"))), F.col("doc_id") == F.col("first"), "left").select(
-        "doc_id", "text", F.col("doc_id").isNull().alias("orphan"), F.explode(F.coalesce(places, alone)).alias("place")
+    sent = by_range.join(F.broadcast(firsts.select("first", before.alias("before"))), F.struct("doc_id", "tie") == F.col("first"), "left").select(
+        "doc_id", "text", "tie", F.col("doc_id").isNull().alias("orphan"), F.explode(F.coalesce(places, alone)).alias("place")
     )
-    order = Window.partitionBy("range", "orphan").orderBy("copy", "doc_id", "text")
-    rows = sent.select("place.range", "orphan", "place.copy", "doc_id", "text").withColumn("nth", F.row_number().over(order))
-    return rows.withColumn("next_text", F.when(~F.col("orphan"), F.lead("text").over(order)))
+    order = Window.partitionBy("range", "orphan").orderBy("copy", "doc_id", "tie", "text")
+    rows = sent.select("place.range", "orphan", "place.copy", "doc_id", "tie", "text").withColumn("nth", F.row_number().over(order))
+    return rows.withColumn("next_text", F.when(~F.col("orphan"), F.lead("text").over(order))).drop("tie")
 
 
 def near_counts(queries: DataFrame, table: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
