@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewater.llm import chat_format, pii, quality, sentencepiece_codec, simhash
-from tidewater.llm.licence_texts import LICENCES, MIT
+from tidewater.llm.licence_texts import LICENCES, MIT, NOTICES
 from tidewater.llm.license_scan import license_scan
 from tidewater.llm.url_filter import Rule, UrlTrie, url_filter
 
@@ -51,6 +51,17 @@ def test_licences_in_any_dress(spark):
     assert [r.license for r in sorted(found, key=lambda r: r.doc_id)] == names
 
 
+def test_catalogues_may_be_iterators_of_any_length(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, MIT), (1, MIT), (None, "x\nLicensed under the MIT License.\nlicensed under the mit license\n"), (2, "Licensed under CC BY 4.0.\nReleased under the MIT License"), (3, None)], "doc_id long, text string")
+    wanted = license_scan(docs).collect()
+    by_id = {(r.doc_id, r.license, r.notices, r.n_notices) for r in wanted}
+    assert by_id == {(1, "MIT", "", 0), (None, None, "MIT", 2), (2, None, "CC-BY-4.0,MIT", 2), (3, None, "", 0)} and len(wanted) == 5
+    monkeypatch.setattr("tidewater.llm.license_scan.MAX_BROADCAST_ROWS", 1)
+    joined = license_scan(docs, iter(LICENCES), iter(NOTICES))
+    assert sorted(map(str, joined.collect())) == sorted(map(str, wanted)) and "ResolvedHint" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r.license is None and r.n_notices == 0 for r in license_scan(docs, (), ()).collect())
+
+
 # URL filters.
 
 LABELS, SEGMENTS = st.sampled_from(["a", "b", "org", "", "x.y"]), st.sampled_from(["", "e", "en", "en1", "fr"])

@@ -1,4 +1,6 @@
-"""Public licence texts and notices by SPDX identifier, without their copyright lines. Fixed values."""
+"""Public licence texts and notices by SPDX identifier. Fixed values; longer texts are files of the folder ``licences``."""
+
+from pathlib import Path
 
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
 associated documentation files (the "Software"), to deal in the Software without restriction, including
@@ -71,8 +73,27 @@ Unless required by applicable law or agreed to in writing, software distributed
 distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See
 the License for the specific language governing permissions and limitations under the License."""
 
+ZERO_BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+hereby granted.
+
+""" + ISC[ISC.index("THE SOFTWARE") :]
+
+#: The line that ends some licences before advice on how to apply them.
+LAST_LINE = "END OF TERMS AND CONDITIONS"
+
+
+def _filed() -> tuple[tuple[str, str], ...]:
+    """The texts of the folder, and those with advice behind their terms without it, and without their last line, too."""
+    texts = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted(Path(__file__).with_name("licences").glob("*.txt"))]
+    ends = [(name, text[: text.index(LAST_LINE)]) for name, text in texts if LAST_LINE in text]
+    return (*texts, *((name, part + LAST_LINE) for name, part in ends), *ends)
+
+
 #: (identifier, text): whole licences, and headers that stand for one.
 LICENCES = (
+    *_filed(),
+    ("0BSD", "BSD Zero Clause License\n\n" + ZERO_BSD),
+    ("0BSD", ZERO_BSD),
     ("MIT", "MIT License\n\n" + MIT),
     ("MIT", "The MIT License (MIT)\n\n" + MIT),
     ("MIT", MIT),

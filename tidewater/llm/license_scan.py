@@ -10,21 +10,30 @@ from pyspark.sql import functions as F
 from tidewater.llm.licence_texts import EQUIVALENTS, LICENCES, NOTICES
 from tidewater.llm.shared import own
 
-#: Longest catalogues that are broadcast; a longer one is joined by shuffling.
+#: Longest catalogue that is broadcast; a longer one is joined by shuffling.
 MAX_BROADCAST_ROWS = 100_000
 #: A line that begins with a copyright statement, behind any comment marks.
 COPYRIGHT_LINE = r"\n[\x20\t/*#;>.-]*(copyright[\x20\t:,]*(\(c\)|©|[0-9]{4}|<|\[)|\(c\)[\x20\t]*(copyright|[0-9]{4})|©|all rights reserved)[^\n]*"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
+_VARIANTS = " (" + "|".join(ours.replace(" ", "  ") for ours, _ in EQUIVALENTS) + ") "
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def canonical(text: Column) -> Column:
-    """A text without case, copyright lines and punctuation, in one spelling; each word between single blanks of its own."""
+    """A text without case, copyright lines and punctuation, in one spelling; each word between single blanks of its own.
+
+    Spellings are replaced only in texts that have one of the others.
+    """
     lower = F.concat(F.lit("\n"), F.translate(text, _UPPER, _UPPER.lower()))
     words = F.concat(F.lit(" "), F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, "\n"), NOT_WORDS, "  "), F.lit(" "))
-    for ours, theirs in EQUIVALENTS:
-        words = F.replace(words, F.lit(f" {ours.replace(' ', '  ')} "), F.lit(f" {theirs.replace(' ', '  ')} "))
-    return F.trim(words)
+
+    def spelled(given: Column) -> Column:
+        out = given
+        for ours, theirs in EQUIVALENTS:
+            out = F.replace(out, F.lit(f" {ours.replace(' ', '  ')} "), F.lit(f" {theirs.replace(' ', '  ')} "))
+        return F.trim(F.when(given.rlike(_VARIANTS), out).otherwise(given))
+
+    return F.get(F.transform(F.array(words), spelled), F.lit(0))
 
 
 def digest(text: Column) -> Column:
@@ -32,9 +41,11 @@ def digest(text: Column) -> Column:
 
 
 def catalogue(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> DataFrame:
-    """(digest, license) of known texts; of one digest under two identifiers, the first in order."""
-    rows = spark.createDataFrame(list(texts), "license string, text string")
-    return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    """(digest, license) of known texts; of one digest under two identifiers, the first in order. Broadcast while it is short."""
+    known = list(texts)
+    rows = spark.createDataFrame(known, "license string, text string")
+    named = rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    return F.broadcast(named) if len(known) <= MAX_BROADCAST_ROWS else named
 
 
 def license_scan(docs: DataFrame, licences: Iterable[tuple[str, str]] = LICENCES, notices: Iterable[tuple[str, str]] = NOTICES) -> DataFrame:
@@ -43,19 +54,17 @@ def license_scan(docs: DataFrame, licences: Iterable[tuple[str, str]] = LICENCES
     digest: SHA-256 of the whole text's canonical form. license: the known licence with that
     digest, else null. notices: identifiers, each once and in order, comma-joined, of the
     licences that a line names whose own canonical digest is known; n_notices counts such
-    lines. Lines without "licen" in any case are never notices. A null text counts as empty,
-    and an empty canonical form is no licence. Repeated rows get the same result each; extra
-    columns are ignored.
+    lines. Both are hash joins with catalogues of digests. Lines without "licen" in any case are
+    never notices. A null text counts as empty, and an empty canonical form is no licence.
+    Repeated rows get the same result each; extra columns are ignored.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    known = {r.digest: r.license for r in catalogue(spark, notices).collect()}
-    lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen")), digest)
-    hits = F.filter(lines, lambda d: d.isin(list(known))) if known else F.array().cast("array<string>")
-    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if known else F.create_map().cast("map<string,string>")
-    marked = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    marked = marked.select("doc_id", digest(F.col("text")).alias("digest"), hits.alias("hits"))
-    whole = catalogue(spark, licences)
-    whole = F.broadcast(whole) if len(list(licences)) <= MAX_BROADCAST_ROWS else whole
-    found = F.array_join(F.array_sort(F.array_distinct(F.transform("hits", lambda d: F.try_element_at(names, d)))), ",")
-    return marked.join(whole, "digest", "left").select("doc_id", "digest", "license", found.alias("notices"), F.size("hits").cast("long").alias("n_notices"))
+    rows = own(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("key"))
+    said = F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen")))
+    lines = rows.where(F.lower("text").contains("licen")).select("doc_id", "key", said.alias("pos", "line")).select("doc_id", "key", "pos", digest(F.col("line")).alias("digest"))
+    hits = lines.join(catalogue(spark, notices), "digest")
+    # By text, so that repeated rows are counted once, and found again together.
+    named = hits.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.countDistinct("pos").alias("n_notices"))
+    whole = rows.select("doc_id", "key", digest(F.col("text")).alias("digest")).join(catalogue(spark, licences), "digest", "left")
+    joined = whole.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key")), "left")
+    return joined.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

@@ -37,6 +37,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def licence_dresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every known licence as it is, in upper case, as a comment with a copyright line, in another spelling, and with one clause more."""
+    known = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(LICENCES)], "i long, name string, text string")
+    text = F.col("text")
+    comment = F.concat(F.lit(" * Copyright 2024, Somebody\n"), F.regexp_replace(text, "(?m)^", " * "))
+    dresses = F.array(text, F.upper(text), comment, F.regexp_replace(text, r"\blicense\b", "licence"), F.concat(text, F.lit("\nThis clause is new.")))
+    docs = known.select("i", F.posexplode(dresses).alias("dress", "text")).select((F.col("i") * 5 + F.col("dress")).alias("doc_id"), "text")
+    return license_scan(docs).select("doc_id", "license")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(documents(spark, sf_dir, "pages"), RULES)
 
@@ -96,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_license_scan,
+            licence_dresses,
             op2_url_filter,
             op3_near_dedup,
             op4_chat_format,
@@ -134,6 +145,10 @@ SELECT doc_id, digest, d.license, coalesce(notices, '') AS notices, coalesce(n,
 FROM whole LEFT JOIN digests d USING (digest) LEFT JOIN named USING (doc_id) WHERE coalesce(d.kind, 'text') = 'text'
 """
 
+_DRESSES = f"""
+SELECT 5 * i + dress AS doc_id, CASE WHEN dress < 4 THEN name END AS license FROM (VALUES {", ".join(f"({i}, {_quoted(n)})" for i, (n, _) in enumerate(LICENCES))}) v(i, name), range(5) r(dress)
+"""
+
 _URLS = f"""
 WITH urls AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -214,4 +229,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _LICENSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "op9_fingerprints": _PRINTS}
+    return {"op1_license_scan": _LICENSES, "licence_dresses": _DRESSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "op9_fingerprints": _PRINTS}
