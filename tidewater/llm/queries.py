@@ -89,6 +89,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_pii that rest on the base patterns alone."""
+    return find_pii(documents(spark, sf_dir)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(documents(spark, sf_dir))
 
@@ -97,6 +102,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_quality_rules that rest on counts alone."""
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -114,8 +124,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_mixing,
             op7_sentencepiece,
             op8_pii,
+            pii_base_spans,
             op9_fingerprints,
             op10_quality_rules,
+            quality_base_counts,
             pipeline,
         )
     }
@@ -186,6 +198,42 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(low, doc_id)
 FROM documents LEFT JOIN (SELECT doc_id, any_value(n) AS n FROM sized GROUP BY 1) USING (doc_id) LEFT JOIN (SELECT id AS doc_id, min(via) AS low FROM reach GROUP BY 1) USING (doc_id)
 """
 
+#: The base patterns as they are stated.
+_PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+# Matches are put between two marks that no text has; what lies between the marks tells where they stand.
+_SPANS = " UNION ALL ".join(
+    f"SELECT doc_id, {k} AS kind, unnest(string_split(regexp_replace(coalesce(text, ''), '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344))) AS piece,"
+    f" generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '({pattern})', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)), 1) AS i FROM documents"
+    for k, (_, pattern) in enumerate(_PATTERNS)
+)
+_BASE_SPANS = f"""
+WITH pieces AS ({_SPANS}),
+placed AS (SELECT *, coalesce(sum(length(piece) - (i > 1)::INT) OVER (PARTITION BY doc_id, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, split_part(piece, chr(57345), 1) AS said FROM pieces),
+matched AS (SELECT *, start + length(said) AS ends, regexp_replace(said, '[^0-9]', '', 'g') AS digits FROM placed WHERE i > 1),
+luhn AS (SELECT *, list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(digits, -j, 1)::INT ELSE substr(digits, -j, 1)::INT * 2 - CASE WHEN substr(digits, -j, 1)::INT > 4 THEN 9 ELSE 0 END END)) AS total
+  FROM matched WHERE kind <> 2 OR length(digits) BETWEEN 14 AND 19),
+kept AS (SELECT doc_id, kind, start, ends FROM luhn WHERE kind = 0 OR (kind = 1 AND list_bool_and(list_transform(string_split(said, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 256) <= 255))) OR (kind = 2 AND total % 10 = 0) OR (kind = 3 AND length(digits) BETWEEN 10 AND 15)),
+summed AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, (name, _) in enumerate(_PATTERNS))},
+  string_agg([{", ".join(f"'{name}'" for name, _ in _PATTERNS)}][kind + 1] || ':' || start || ':' || ends, ',' ORDER BY start, kind) AS spans FROM kept GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{name}, 0) AS n_{name}" for name, _ in _PATTERNS)}, sha256(coalesce(spans, '')) AS base_sha256 FROM documents LEFT JOIN summed USING (doc_id)
+"""
+
+_COUNTS = f"""
+WITH worded AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+trios AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2]))) AS trio FROM worded),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, trio) AS k FROM trios) WHERE k > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM repeated, range(3) r(d) GROUP BY 1),
+lined AS (SELECT doc_id, sum(k - 1)::BIGINT AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM worded) WHERE regexp_matches(line, '{WORD}') GROUP BY 1, 2) GROUP BY 1),
+counted AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM worded LEFT JOIN lined USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+"""
+
 _PRINTS = f"""
 WITH ordered AS (
   SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, coalesce(lead(coalesce(text, '')) OVER w, first(coalesce(text, '')) OVER w) AS following, coalesce(lead(doc_id) OVER w, first(doc_id) OVER w) AS following_id
@@ -229,4 +277,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _LICENSES, "licence_dresses": _DRESSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "op9_fingerprints": _PRINTS}
+    return {"op1_license_scan": _LICENSES, "licence_dresses": _DRESSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "pii_base_spans": _BASE_SPANS, "op9_fingerprints": _PRINTS, "quality_base_counts": _COUNTS}
