@@ -272,7 +272,7 @@ def _verdicts(docs: DataFrame, words: int, percent: int, node_limit: int, block_
     firsts = staged(grouped.groupBy("component").agg(F.min("least").alias("first")), "firsts")
     named = grouped.join(firsts, "component").select("digest", "first")
     alone = classes.join(links, "rid", "left_anti").select("digest", F.col("least").alias("first"))
-    members = staged(named.unionByName(alone), "groups")
+    members = named.unionByName(alone)
     whose = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest")
     return (
         signed.select("doc_id", "key", "n_shingles", whose)
@@ -480,7 +480,7 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80,
     own group. Rows equal in doc_id and text count once: the one whose columns' hash is smallest
     stays. Rows without doc_id stay.
     """
-    judged = _verdicts(docs, words, percent, node_limit, block_bytes).where("doc_id is not null")
+    judged = staged(_verdicts(docs, words, percent, node_limit, block_bytes).where("doc_id is not null"), "judged")
     mine = F.struct("doc_id", "digest", "key")
     gone = judged.where(F.col("first").isNotNull() & (mine != F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
     twice = judged.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
