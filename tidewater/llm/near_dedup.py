@@ -393,6 +393,21 @@ def _confirmed(rows: DataFrame, classes: DataFrame, likely: DataFrame, words: in
     return components(edges).withColumnsRenamed({"id": "rid"})
 
 
+def _bits(n: int) -> int:
+    """Size of a bit table for ``n`` keys: 16 bits a key, of 16 MB at most."""
+    return min(1 << 27, max(1 << 16, 1 << int(16 * n).bit_length()))
+
+
+def _slot(bits: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), "key"), F.lit(bits))
+
+
+def _bit_table(keys: DataFrame, bits: int) -> DataFrame:
+    """(_at, _bits): the bits of (doc_id, key) rows, 32,768 in a row."""
+    slots = keys.select(_slot(bits).alias("slot"))
+    return slots.groupBy(F.shiftright("slot", 15).alias("_at")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("_bits"))
+
+
 def _member_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> DataFrame:
     """(rid, shingles) of the ``n`` members, each once, made from the texts anew.
 
@@ -400,11 +415,9 @@ def _member_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> Dat
     only moves a set in vain. Of other texts' sets 0.7 % move with a million members, 9 % with 13
     million, 63 % with 134 million, nearly all beyond that.
     """
-    bits = min(1 << 27, max(1 << 16, 1 << int(16 * n).bit_length()))
-    slot = F.pmod(F.xxhash64("doc_id", "key"), F.lit(bits))
+    bits = _bits(n)
     table = np.zeros(bits // 8, np.uint8)
-    words64 = members.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("at")).agg(F.expr("bitmap_construct_agg(slot % 32768)").alias("bits"))
-    for at, piece in words64.collect():
+    for at, piece in _bit_table(members, bits).collect():
         table[at * 4096 : at * 4096 + len(piece)] = np.frombuffer(bytes(piece), np.uint8)[: max(0, len(table) - at * 4096)]
     shared = rows.sparkSession.sparkContext.broadcast(table)
 
@@ -415,7 +428,7 @@ def _member_sets(rows: DataFrame, members: DataFrame, n: int, words: int) -> Dat
             packed = _packed(*shingle_sets(part, words))
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in packed], pa.binary()), pa.array(packed, pa.binary())], ["digest", "shingles"])
 
-    marked = rows.where("doc_id is not null").select("text", slot.alias("slot"))
+    marked = rows.where("doc_id is not null").select("text", _slot(bits).alias("slot"))
     whole = map_batches(marked, sets, "digest binary, shingles binary").where(F.length("shingles") > 0)
     return whole.select(F.xxhash64("digest").alias("rid"), "shingles").dropDuplicates(["rid"])
 
@@ -483,13 +496,32 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80,
     judged = staged(_verdicts(docs, words, percent, node_limit, block_bytes).where("doc_id is not null"), "judged")
     mine = F.struct("doc_id", "digest", "key")
     gone = judged.where(F.col("first").isNotNull() & (mine != F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+    gone = staged(gone, "gone")
     twice = judged.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     id_, key = F.col("doc_id").cast("long"), F.xxhash64("text")
     match = (id_ == F.col("_doc")) & (key == F.col("_key"))
-    named = docs.where("doc_id is not null").join(gone, match, "left_anti")
+    named = _without(docs, gone, match)
     twice = staged(twice, "repeats")
     if not twice.isEmpty():
         columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
         every = named.join(twice, match, "left_semi").groupBy(id_.alias("_doc"), key.alias("_key")).agg(F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("_row"))
         named = named.join(twice, match, "left_anti").unionByName(every.select("_row.*"))
-    return named.unionByName(docs.where("doc_id is null"))
+    return named
+
+
+def _without(docs: DataFrame, gone: DataFrame, match: Column) -> DataFrame:
+    """``docs`` but the rows (_doc, _key) of ``gone``; of the texts that stay hardly any is moved.
+
+    A broadcast bit table, as in ``_member_sets``, passes the rows that are surely not gone.
+    """
+    keys = gone.select(F.col("_doc").alias("doc_id"), F.col("_key").alias("key"))
+    bits = _bits(keys.count())
+    spots = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    placed = docs.withColumn("_spot", spots).withColumn("_slot", F.pmod(F.xxhash64("_spot.doc_id", "_spot.key"), F.lit(bits)))
+    marked = placed.join(F.broadcast(_bit_table(keys, bits)), F.shiftright("_slot", 15) == F.col("_at"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.col("_slot") % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce(F.expr("shiftright(_byte, cast(_slot % 8 as int))").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    maybe = marked.withColumn("_byte", byte).select(*columns, set_.alias("_maybe"))
+    tested = maybe.where("_maybe").drop("_maybe").join(gone.hint("merge"), match, "left_anti")
+    return maybe.where("not _maybe").drop("_maybe").unionByName(tested)
