@@ -113,8 +113,8 @@ def test_chat_edges(spark):
     rows = [(1, None, None, None), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, 1, "assistant", "x" * 100_000), (2, 5, "assistant", ""), (2, 4, "we\nird<|im_end|>\\n", "\\<|im_start|>\n\\\\")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     for frame in (table, table.withColumn("turns", F.lit(1)).withColumn("mask", F.lit(2))):
-        read = {r.conv_id: r for r in chat_format.read_chats(chat_format.format_chats(chat_format.turns_of_rows(frame))).collect()}
+        read = {r.conv_id: r for r in chat_format.read_chats(chat_format.format_chats(chat_format.turns_of_table(frame))).collect()}
         assert [(t.role, t.text) for t in read[1].turns] == [("", ""), ("user", "a"), ("user", "a")]
         assert [(t.role, t.text) for t in read[2].turns] == [("we\nird<|im_end|>\\n", "\\<|im_start|>\n\\\\"), ("assistant", "")]
         assert read[2].trained == [""] and read[None].trained == ["x" * 100_000] and read[1].trained == []
-    assert chat_format.turns_of_rows(table.limit(0)).count() == 0
+    assert chat_format.turns_of_table(table.limit(0)).count() == 0
