@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import chat_format, license_scan, mixing, near_dedup, pii, quality, sentencepiece_codec, simhash, token_counts, url_filter
+from tidewater.llm import chat_format, importance, license_scan, manifest, mixing, near_dedup, pii, quality, sentencepiece_codec, simhash, token_counts, url_filter
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -38,6 +38,8 @@ OPERATORS = {
     "pii": pii.find_pii,
     "simhash": simhash.document_fingerprints,
     "quality": quality.quality_rules,
+    "importance": lambda d: importance.importance_ranks(d, d, percent=50),
+    "manifest": manifest.verify_tampering,
 }
 
 

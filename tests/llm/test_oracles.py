@@ -17,7 +17,7 @@ def test_query(spark, name):
 
 def test_all_are_registered():
     names = [n for n in __spark_entry__.queries() if n == "pipeline" or n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", ["op1_license_scan", "op4_chat_format", "op6_mixing", "op9_fingerprints"])

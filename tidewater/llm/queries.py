@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidewater.llm.chat_format import format_chats, read_chats, turns_of_records, turns_of_table
+from tidewater.llm.graph_index import build_index
 from tidewater.llm.hash_sql import fingerprints as fingerprints_sql
+from tidewater.llm.importance import importance_ranks
 from tidewater.llm.license_scan import COPYRIGHT_LINE, NOT_WORDS, license_scan
 from tidewater.llm.licence_texts import EQUIVALENTS, LICENCES, NOTICES
 from tidewater.llm.mixing import mix_sources
@@ -22,6 +24,8 @@ from tidewater.llm.sentencepiece_codec import round_trip
 from tidewater.llm.shared import WORD, documents
 from tidewater.llm.simhash import document_fingerprints
 from tidewater.llm.token_counts import token_counts
+from tidewater.llm.manifest import verify_tampering
+from tidewater.llm.selection_sql import IMPORTANCE, MANIFEST, NEIGHBOURS
 from tidewater.llm.url_filter import Rule, url_filter
 
 RULES = [
@@ -107,6 +111,20 @@ def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = documents(spark, sf_dir, "embeddings")
+    return build_index(vectors).search(vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = importance_ranks(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"), percent=5, min_words=20, seed=42)
+    return ranks.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_tampering(documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -128,6 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_fingerprints,
             op10_quality_rules,
             quality_base_counts,
+            op11_neighbours,
+            op12_importance,
+            op13_manifest,
             pipeline,
         )
     }
@@ -277,4 +298,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _LICENSES, "licence_dresses": _DRESSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "pii_base_spans": _BASE_SPANS, "op9_fingerprints": _PRINTS, "quality_base_counts": _COUNTS}
+    return {"op1_license_scan": _LICENSES, "licence_dresses": _DRESSES, "op2_url_filter": _URLS, "op3_near_dedup": _NEAR, "op4_chat_format": _CHATS, "op6_mixing": _MIX, "pii_base_spans": _BASE_SPANS, "op9_fingerprints": _PRINTS, "quality_base_counts": _COUNTS, "op11_neighbours": NEIGHBOURS, "op12_importance": IMPORTANCE, "op13_manifest": MANIFEST}
