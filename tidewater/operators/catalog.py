@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions.text import highlight
+from tidewater.operators.search_index import SearchIndex, build_search_index
 
 PAGE_SIZE, SUGGESTIONS, RECENT = 8, 6, 6
 SUMMARY = ("id", "name", "insurer", "rating", "priceFrom", "coverageType", "coverageAmount", "tags", "categoryId", "policyExcerpt", "policyDocumentUrl", "highlights")
@@ -93,10 +95,17 @@ def facets(products: DataFrame, query: ProductQuery) -> DataFrame:
     return out
 
 
-def matching(products: DataFrame, query: ProductQuery) -> DataFrame:
-    """Facets, and the query as one contiguous substring of the haystack."""
+def matching(products: DataFrame, query: ProductQuery, index: SearchIndex | None = None) -> DataFrame:
+    """Facets, and the query as one contiguous substring of the haystack, by an index of it where there is one."""
     out = facets(products, query)
-    return out.where(haystack().contains(query.search.lower())) if query.search else out
+    if not query.search:
+        return out
+    return out.join(index.matching(query.search), "ordinal", "left_semi") if index else out.where(haystack().contains(query.search.lower()))
+
+
+def build_index(products: DataFrame, folder: str) -> SearchIndex:
+    """An index of the haystacks of ``products`` (ordinal, searched fields)."""
+    return build_search_index(products, haystack(), folder)
 
 
 def order(query: ProductQuery) -> list[Column]:
@@ -109,14 +118,43 @@ def summary() -> list[Column]:
     return [*map(F.col, SUMMARY), F.get("reviews", F.lit(0)).alias("lastReview")]
 
 
-def page_rows(products: DataFrame, query: ProductQuery) -> DataFrame:
+def page_rows(products: DataFrame, query: ProductQuery, index: SearchIndex | None = None) -> DataFrame:
     """The products of one page in order: a single top-k of offset plus limit, never a full sort."""
+    return _page(matching(products, query, index), query)
+
+
+def _page(found: DataFrame, query: ProductQuery) -> DataFrame:
     start = (max(1, query.page) - 1) * query.page_size
-    return matching(products, query).orderBy(*order(query)).offset(start).limit(query.page_size)
+    return found.orderBy(*order(query)).offset(start).limit(query.page_size)
+
+
+def search(products: DataFrame, query: ProductQuery, index: SearchIndex | None = None) -> Page:
+    """One page and the number of all products that match, both from one job: the matches are counted as they pass into the top-k."""
+    total = Observation()
+    rows = _page(matching(products, query, index).observe(total, F.count(F.lit(1)).alias("n")), query).select(*summary())
+    items = rows.collect()  # a page
+    return Page(products.sparkSession.createDataFrame(items, rows.schema), total.get["n"], max(1, query.page), query.page_size, query)
+
+
+#: What ``facet_counts`` counts by default: names, and what they stand for.
+FACETS = {"category": "categoryId", "insurer": "insurer", "coverage": "coverageType", "tag": "tags"}
+
+
+def facet_counts(products: DataFrame, query: ProductQuery, index: SearchIndex | None = None, columns: dict[str, str] | None = None) -> DataFrame:
+    """(facet, value, n): the number of matches for each value of each facet, lists by element, and their total as the facet ``total``.
+
+    One scan and one shuffle for all facets, counted in part before it. A value that repeats in a list counts once; nulls aren't counted.
+    """
+    named = columns or FACETS
+    kinds = dict(products.dtypes)
 
+    def pair(facet: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(facet).alias("facet"), x.cast("string").alias("value"))
 
-def search(products: DataFrame, query: ProductQuery) -> Page:
-    return Page(page_rows(products, query).select(*summary()), matching(products, query).count(), max(1, query.page), query.page_size, query)
+    pairs = [F.transform(F.array_distinct(F.col(c)) if kinds[c].startswith("array") else F.array(F.col(c)), pair(f)) for f, c in named.items()]
+    total = F.array(F.struct(F.lit("total").alias("facet"), F.lit("").alias("value")))
+    each = matching(products, query, index).select(F.explode(F.flatten(F.filter(F.array(total, *pairs), lambda x: x.isNotNull()))).alias("x")).select("x.*")
+    return each.where(F.col("value").isNotNull()).groupBy("facet", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def detail(products: DataFrame, product_id: str) -> DataFrame:

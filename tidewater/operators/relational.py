@@ -11,23 +11,32 @@ from pyspark.sql.types import AtomicType
 from tidewater.sources.staging import staged
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "") -> DataFrame:
-    """``rows`` with ``value`` of the ``table`` row of equal ``key``, or the default.
+def _apart(rows: DataFrame, key: str, blank: Column) -> Column:
+    """A hash of the key, but for rows that have no partner one of their plain columns: they may be most rows and must not meet in one task."""
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if isinstance(f.dataType, AtomicType)]
+    return F.when(blank, F.xxhash64(*plain)).otherwise(F.xxhash64(key))
 
-    Rows without a key, null or empty, have no partner and may be most rows: each is dealt by a
-    hash of its plain columns, so that they don't meet in one task.
-    """
+
+_SAME = "_apart = _a"
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str = "") -> DataFrame:
+    """``rows`` with ``value`` of the ``table`` row of equal ``key``, or the default. Rows without a key, null or empty, have no partner."""
     blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
-    plain = [F.col(f"`{f.name}`") for f in rows.schema if isinstance(f.dataType, AtomicType)]
-    apart = F.when(blank, F.xxhash64(*plain)).otherwise(F.lit(0).cast("long"))
-    side = table.where(~blank).select(F.col(key).alias("_k"), F.lit(0).cast("long").alias("_a"), value)
-    joined = rows.withColumn("_apart", apart).join(side, (F.col(key) == F.col("_k")) & (F.col("_apart") == F.col("_a")), "left")
+    side = table.where(~blank).select(F.col(key).cast(rows.schema[key].dataType).alias("_k"), F.xxhash64(F.col(key).cast(rows.schema[key].dataType)).alias("_a"), value)
+    joined = rows.withColumn("_apart", _apart(rows, key, blank)).join(side, (F.col(key) == F.col("_k")) & F.expr(_SAME), "left")
     return joined.withColumn(value, F.coalesce(value, F.lit(default))).drop("_apart", "_k", "_a")
 
 
+def _by_key(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """``rows`` joined with the distinct ``keys`` (_k); null keys have no partner and are dealt."""
+    side = keys.where("_k IS NOT NULL").distinct().withColumn("_a", F.xxhash64("_k"))
+    return rows.withColumn("_apart", _apart(rows, key, F.col(key).isNull())).join(side, (F.col(key) == F.col("_k")) & F.expr(_SAME), how).drop("_apart", "_a")
+
+
 def absent(rows: DataFrame, listing: DataFrame, key: str) -> DataFrame:
     """Rows whose ``key`` is not in the listing; null keys are absent."""
-    return rows.join(listing.select(key), key, "left_anti")
+    return _by_key(rows, listing.select(F.col(key).cast(rows.schema[key].dataType).alias("_k")), key, "left_anti")
 
 
 def resolve_names(names: DataFrame, needles: list[str]) -> DataFrame:
@@ -48,18 +57,68 @@ def by_insurers(rows: DataFrame, names: DataFrame, needles: list[str], strict: b
     return rows.join(resolved.select("insurer_id"), "insurer_id", "left_semi")
 
 
+#: Characters of the pieces by which names and texts meet.
+PIECE = 4
+#: Names of a scope that are held against each of its texts directly, and texts that one piece may lead to before they are dealt over tasks.
+FEW_NAMES, HEAVY = 32, 10_000
+
+
+def _pieces(text: Column, width: int) -> Column:
+    """The different pieces of ``width`` characters; none of a shorter text."""
+    n = F.char_length(text) - width + 1
+    if width == 0:
+        return F.array(F.lit(""))
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(width))))).otherwise(F.array().cast("array<string>"))
+
+
+def substring_pairs(texts: DataFrame, names: DataFrame, keys: list[str], text: str, name: str, few: int = FEW_NAMES, heavy: int = HEAVY) -> DataFrame:
+    """Each row of ``texts`` with each row of ``names`` that has the same ``keys`` and whose ``name`` the ``text`` contains, ignoring case.
+
+    Columns besides the keys must have different names. Null names, and null or empty texts, match nothing; an empty name is part of any text.
+    In a scope of few names each is held against each text. In others a text meets only the names
+    whose rarest piece of four characters it has (shorter names: the whole name), rarest by the
+    number of texts that have it, and a name with a piece that no text has meets none. A piece that leads to very many texts is
+    salted. So work follows the hits and near hits, not the product of texts and names.
+    """
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    low_text, low_name = F.lower(F.col(f"t.{text}")), F.lower(F.col(f"n.{name}"))
+    said = texts.where(F.coalesce(F.col(text), F.lit("")) != "").select(F.struct(*texts.columns).alias("t"))
+    known = names.where(F.col(name).isNotNull()).select(F.struct(*names.columns).alias("n"))
+    out = [F.col(f"t.{c}").alias(c) for c in texts.columns] + [F.col(f"n.{c}").alias(c) for c in names.columns if c not in keys]
+    sizes = staged(known.groupBy(*[F.col(f"n.{k}").alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("size")).select(F.struct(*keys).alias("s"), "size"), "scopes")
+    sized = known.join(sizes, same("n", "s"))
+    direct = said.join(sized.where(F.col("size") <= few), same("t", "n")).where(F.contains(low_text, low_name)).select(*out)
+    large = sizes.where(F.col("size") > few)
+    if large.isEmpty():
+        return direct
+    crowd = staged(sized.where(F.col("size") > few).select("n", low_name.alias("low"), F.least(F.char_length(low_name), F.lit(PIECE)).alias("width")), "names")
+    widths = [r[0] for r in crowd.select("width").distinct().collect()]  # at most five
+    scoped = said.join(large, same("t", "s"), "left_semi")
+    each = scoped.select("t", F.explode(F.array_distinct(F.flatten(F.array(*[_pieces(low_text, w) for w in widths])))).alias("piece"))
+    posts = each.groupBy(F.struct(*[f"t.{k}" for k in keys]).alias("s"), F.col("piece").alias("p")).agg(F.count(F.lit(1)).alias("texts"))
+    own = F.coalesce(*[F.when(F.col("width") == w, _pieces(F.col("low"), w)) for w in widths])
+    distinct = crowd.select(F.struct(*[f"n.{k}" for k in keys]).alias("n"), "low", own.alias("pieces")).distinct()
+    counted = distinct.select("n", "low", F.size("pieces").alias("all"), F.explode("pieces").alias("piece")).join(posts, [*same("n", "s"), F.col("piece") == F.col("p")])
+    rarest = counted.groupBy("n", "low").agg(F.min_by("piece", F.struct("texts", "piece")).alias("p"), F.min("texts").alias("texts"), F.count(F.lit(1)).alias("found"), F.first("all").alias("all"))
+    keyed = rarest.where(F.col("found") == F.col("all")).select(F.col("n").alias("k"), F.col("low").alias("low_"), "p", F.ceil(F.col("texts") / heavy).cast("int").alias("salts"))
+    keyed = staged(keyed, "keyed")
+    chosen = staged(keyed.select(F.col("k").alias("c"), "p", "salts").distinct(), "pieces")
+    met = each.join(chosen, [*same("t", "c"), F.col("piece") == F.col("p")]).select("t", "piece", F.pmod(F.xxhash64("t"), F.col("salts")).cast("int").alias("salt"))
+    spread = crowd.join(keyed, [*same("n", "k"), F.col("low") == F.col("low_")]).select("n", "low", "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_"))
+    pairs = met.join(spread, [*same("t", "n"), F.col("piece") == F.col("p"), F.col("salt") == F.col("salt_")]).where(F.contains(low_text, F.col("low")))
+    return direct.unionByName(pairs.select(*out))
+
+
 def match_products(documents: DataFrame, products: DataFrame, scope: tuple[str, ...] = ("insurer_id", "page_url")) -> DataFrame:
     """``documents`` (scope, document_id, anchor_text) with product_id of the first product whose name the anchor contains.
 
     Within its scope products are in the order of ``pos``. A scope's only product needs no match;
-    otherwise a document without one gets null. Names are compared as a join within the scope, an
-    equi-join with a condition, and the first is a minimum rather than a sort.
+    otherwise a document without one gets null. The first is a minimum rather than a sort.
     """
     keys = list(scope)
     named = products.select(*keys, "product_id", "name", "pos")
     single = products.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min_by("product_id", "pos").alias("_only"))
-    inside = F.contains(F.lower(F.coalesce("anchor_text", F.lit(""))), F.lower("name"))
-    hits = documents.select(*keys, "document_id", "anchor_text").join(named, keys).where(inside & (F.coalesce("anchor_text", F.lit("")) != ""))
+    hits = substring_pairs(documents.select(*keys, "document_id", "anchor_text"), named, keys, "anchor_text", "name")
     first = hits.groupBy(*keys, "document_id").agg(F.min_by("product_id", "pos").alias("_hit"))
     joined = documents.join(first, [*keys, "document_id"], "left").join(single, keys, "left")
     return joined.withColumn("product_id", F.coalesce("_hit", F.when(F.col("_n") == 1, F.col("_only")))).drop("_n", "_only", "_hit")
@@ -69,17 +128,16 @@ def match_in_scope(documents: DataFrame, products: DataFrame) -> DataFrame:
     """``match_products`` by page, and for documents of pages without products, by all that their insurer's pages had up to then.
 
     ``documents`` (insurer_id, page_url, visit, document_id, anchor_text, any more), ``products``
-    (insurer_id, page_url, visit, pos, product_id, name). The fallback is an equi-join by
-    insurer with a condition; pages and products are never paired without a hit.
+    (insurer_id, page_url, visit, pos, product_id, name). Pages and products are never paired
+    without a hit.
     """
     pages = products.select("insurer_id", "page_url").distinct()
     own = match_products(documents.join(pages, ["insurer_id", "page_url"], "left_semi"), products)
     at = F.struct("visit", "pos")
     firsts = products.groupBy("insurer_id", "product_id").agg(F.min(at).alias("_at"), F.min_by("name", at).alias("_name")).withColumnRenamed("product_id", "_product")
     bare = documents.join(pages, ["insurer_id", "page_url"], "left_anti")
-    anchor = F.coalesce("anchor_text", F.lit(""))
-    seen = F.col("_at.visit") <= F.col("visit")
-    hits = bare.select("insurer_id", "document_id", "visit", "anchor_text").where(anchor != "").join(firsts, "insurer_id").where(seen & F.contains(F.lower(anchor), F.lower("_name")))
+    asked = bare.select("insurer_id", "document_id", "visit", "anchor_text").distinct()
+    hits = substring_pairs(asked, firsts, ["insurer_id"], "anchor_text", "_name").where(F.col("_at.visit") <= F.col("visit"))
     first = hits.groupBy("insurer_id", "document_id", "visit", "anchor_text").agg(F.min_by("_product", "_at").alias("_hit"))
     # A page has a single candidate if the insurer's second product was seen after it.
     nth = F.row_number().over(Window.partitionBy("insurer_id").orderBy("_at", "_product"))
@@ -191,13 +249,13 @@ def violations(child: DataFrame, parent: DataFrame, key: str, parent_key: str) -
 
 def without_parents(child: DataFrame, deleted: DataFrame, key: str, parent_key: str) -> DataFrame:
     """What is left of ``child`` when the deletion of its parents cascades; rows without a parent stay."""
-    return child.join(deleted.select(F.col(parent_key).alias(key)), key, "left_anti")
+    return _by_key(child, deleted.select(F.col(parent_key).cast(child.schema[key].dataType).alias("_k")), key, "left_anti")
 
 
 def parents_set_null(child: DataFrame, deleted: DataFrame, key: str, parent_key: str) -> DataFrame:
     """``child`` with ``key`` null where its parent is deleted."""
-    gone = deleted.select(F.col(parent_key).alias("_gone")).distinct()
-    return child.join(gone, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+    joined = _by_key(child, deleted.select(F.col(parent_key).cast(child.schema[key].dataType).alias("_k")), key, "left")
+    return joined.withColumn(key, F.when(F.col("_k").isNull(), F.col(key))).drop("_k")
 
 
 def crawl(roots: DataFrame, links: DataFrame, max_depth: int = 3, max_pages: int = 80) -> DataFrame:

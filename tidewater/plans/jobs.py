@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import slugify
 from tidewater.functions.urls import MEDIA_TYPES, detect_extension, ensure_scheme, local_path, media_type, suffix
 from tidewater.operators.relational import absent, by_insurers, lookup
 from tidewater.operators.sections import SCHEMAS, policy_sections
-from tidewater.sources.fetch import Throttle
-from tidewater.sources.files import MAX_BYTES, read_queue, text_of
-from tidewater.sources.staging import staged
+from tidewater.sources.documents import stored_documents, write_documents
+from tidewater.sources.fetch import Answer, Throttle, fetch, http_get
+from tidewater.sources.files import MAX_BYTES, read_queue, text_of, write_envelope
+from tidewater.sources.staging import staged, unstaged
 
 Extractors = dict[str, Callable[[bytes], str]]
 
@@ -76,6 +78,28 @@ class Download:
     timeout: float = 30.0
 
 
+def known_kinds(documents: DataFrame) -> DataFrame:
+    """``documents`` with extension and content_type by their address; null without one."""
+    url = ensure_scheme(F.coalesce("source_url", F.lit("")))
+    kind = F.when(url != "", detect_extension(url))
+    return documents.withColumn("extension", kind).withColumn("content_type", F.when(kind.isNotNull(), F.coalesce(media_type(kind), F.lit(""))))
+
+
+def _supported() -> Column:
+    return F.coalesce(F.col("extension").isin(*MEDIA_TYPES), F.lit(False))
+
+
+def with_contents(rows: DataFrame, extractors: Extractors | None = None, folder: str = Download.folder, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``rows`` of ``process_documents`` that carry their ``content`` (null: nothing fetched), which stays: no byte is moved."""
+    size = F.octet_length("content")
+    taken = F.coalesce(_supported() & (size > 0) & (size <= max_bytes), F.lit(False))
+    place = local_path(folder, F.col("insurer_id"), F.coalesce(F.nullif(slugify(F.col("document_id")), F.lit("")), F.col("document_id")), F.col("extension"))
+    made = known_kinds(rows).withColumns({"_taken": taken, "_path": place}).withColumn("_text", text_of(F.col("_path"), F.when(F.col("_taken"), F.col("content")), extractors))
+    pick = lambda new, old: F.when(F.col("_taken"), new).otherwise(F.col(old))
+    done = {"local_path": pick(F.col("_path"), "local_path"), "content_hash": pick(F.sha2("content", 256), "content_hash"), "extracted_text": pick(F.col("_text"), "extracted_text")}
+    return made.withColumns(done).drop("_taken", "_path", "_text")
+
+
 def process_documents(documents: DataFrame, contents: DataFrame | None, extractors: Extractors | None = None, folder: str = Download.folder, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``documents`` (document_id, insurer_id, source_url, local_path, content_hash, extracted_text, any more) after download.
 
@@ -84,21 +108,59 @@ def process_documents(documents: DataFrame, contents: DataFrame | None, extracto
     gets these two only; without download its path is null and its text empty; with content
     of a fitting size it gets path, hash and text, and otherwise stays as it was.
     """
-    url = ensure_scheme(F.coalesce("source_url", F.lit("")))
-    kind = F.when(url != "", detect_extension(url))
-    known = documents.withColumn("extension", kind).withColumn("content_type", F.when(kind.isNotNull(), F.coalesce(media_type(kind), F.lit(""))))
-    supported = F.coalesce(F.col("extension").isin(*MEDIA_TYPES), F.lit(False))
     if contents is None:
+        known, supported = known_kinds(documents), _supported()
         return known.withColumns({"local_path": F.when(~supported, F.col("local_path")), "extracted_text": F.when(supported, F.lit("")).otherwise(F.col("extracted_text"))})
-    fetched = contents.select("document_id", F.col("content").alias("_content"))
-    joined = known.join(fetched, "document_id", "left")
-    size = F.octet_length("_content")
-    taken = F.coalesce(supported & (size > 0) & (size <= max_bytes), F.lit(False))
-    place = local_path(folder, F.col("insurer_id"), F.coalesce(F.nullif(slugify(F.col("document_id")), F.lit("")), F.col("document_id")), F.col("extension"))
-    made = joined.withColumns({"_taken": taken, "_path": place}).withColumn("_text", text_of(F.col("_path"), F.when(F.col("_taken"), F.col("_content")), extractors))
-    pick = lambda new, old: F.when(F.col("_taken"), new).otherwise(F.col(old))
-    done = {"local_path": pick(F.col("_path"), "local_path"), "content_hash": pick(F.sha2("_content", 256), "content_hash"), "extracted_text": pick(F.col("_text"), "extracted_text")}
-    return made.withColumns(done).drop("_content", "_taken", "_path", "_text")
+    joined = documents.join(contents.select("document_id", "content"), "document_id", "left")
+    return with_contents(joined, extractors, folder, max_bytes).drop("content")
+
+
+@dataclass(frozen=True)
+class Downloaded:
+    """documents: what was stored, with local_path, content_hash, extracted_text and round; left: the jobs that failed in every round, which is what the queue holds now."""
+
+    documents: DataFrame
+    left: DataFrame
+
+
+def live_answers(settings: Download, get: Callable[[str], Answer] | None = None, journal: str | None = None) -> Callable[[DataFrame, int], DataFrame]:
+    """Jobs and the round's number to the same jobs with ``content``, over HTTP; with a journal, a task that starts anew asks for nothing twice."""
+
+    def ask(left: DataFrame, n: int) -> DataFrame:
+        answers = fetch(left, get or http_get(settings.timeout), "source_url", "insurer_id", settings.throttle, journal=journal and f"{journal}/{n}")
+        return answers.select(*left.columns, "content")
+
+    return ask
+
+
+def download(spark: SparkSession, settings: Download, documents: DataFrame, insurers: DataFrame, products: DataFrame, answers: Callable[[DataFrame, int], DataFrame] | None = None, extractors: Extractors | None = None) -> Downloaded:
+    """Fetches what is pending, stores it as files, tries failures again, and leaves the rest in the queue.
+
+    Jobs are the entries of ``settings.queue`` where there is one, else the documents whose file isn't
+    below ``settings.folder``. Each round asks once for what is left (``answers``, by default over HTTP
+    as the throttle allows), keeps the answers in a table, and stores those of a supported kind and
+    size as files, all of a round or none. Only failures go on; after ``settings.retries`` more rounds
+    the queue is written anew.
+    """
+    ask = answers or live_answers(settings)
+    files = stored_documents(spark, settings.folder).select(F.concat(F.lit(f"{settings.folder}/"), "path").alias("local_path"))
+    jobs = job_source(spark, settings.queue, pending_downloads(documents, insurers, products, files))
+    left, done = staged(jobs.select(*PENDING), "jobs"), None
+    for n in range(settings.retries + 1):
+        if left.isEmpty():
+            break
+        blank = {c: F.lit(None).cast("string") for c in ("local_path", "content_hash", "extracted_text")}
+        fetched = staged(with_contents(ask(left, n).withColumns(blank), extractors, settings.folder, MAX_BYTES), "answers")
+        stored = fetched.where("local_path IS NOT NULL")
+        write_documents(stored.withColumn("path", F.expr(f"substring(local_path, {len(settings.folder) + 2})")), settings.folder)
+        now = staged(stored.drop("content").withColumn("round", F.lit(n)), "stored")
+        done = now if done is None else done.unionByName(now)
+        left = staged(fetched.where("local_path IS NULL").select(*PENDING), "left")
+        unstaged(fetched)
+    write_envelope(left, settings.queue, datetime.now(UTC).isoformat(timespec="seconds"), "documents", ["insurer_id", "document_id"])
+    if done is None:
+        done = left.select(*PENDING, *[F.lit(None).cast("string").alias(c) for c in ("local_path", "content_hash", "extracted_text", "content_type")], F.lit(None).cast("int").alias("round")).limit(0)
+    return Downloaded(done, left)
 
 
 def missing_text(documents: DataFrame) -> DataFrame:
@@ -106,9 +168,8 @@ def missing_text(documents: DataFrame) -> DataFrame:
 
 
 def newest(documents: DataFrame, most: int | None = None) -> DataFrame:
-    """Latest first; equal stamps in order of id."""
-    ranked = documents.orderBy(F.desc("updated_at"), "document_id")
-    return ranked.limit(most) if most is not None else ranked
+    """The latest ``most``, equal stamps in order of id, or all, whose order doesn't matter then."""
+    return documents if most is None else documents.orderBy(F.desc("updated_at"), "document_id").limit(most)
 
 
 @dataclass(frozen=True)
@@ -140,7 +201,6 @@ class Reprocess:
         known = documents.join(products.select("product_id", "category"), "product_id").where(F.coalesce("extracted_text", F.lit("")) != "")
         return policy_sections(known.select(F.col("document_id").alias("doc_id"), "category", F.col("extracted_text").alias("text")), schemas)
 
-
     def run(self, documents: DataFrame, insurers: DataFrame, products: DataFrame, files: DataFrame, extractors: Extractors | None = None, schemas=SCHEMAS) -> Reprocessed:
         """Hash and text of the chosen documents anew from ``files`` (path, content), joined by local_path.
 
@@ -148,17 +208,21 @@ class Reprocess:
         the others are processed, mapped, and those with a product cut into sections.
         """
         chosen = self.documents(documents, insurers)
-        joined = chosen.join(files.select(F.col("path").alias("local_path"), F.col("content").alias("_content")), "local_path", "left")
         kind = suffix(F.col("local_path"))
-        joined = staged(joined.withColumn("_state", F.when(F.col("_content").isNull(), "missing").when(kind.isin(*MEDIA_TYPES), "processed").otherwise("skipped")), "chosen")
-        text = text_of(F.col("local_path"), F.col("_content"), extractors)
-        ready = joined.where("_state = 'processed'").withColumns({"content_hash": F.sha2("_content", 256), "extracted_text": text, "extension": kind})
-        ready = staged(ready.select(*documents.columns, *[c for c in ("content_hash",) if c not in documents.columns]), "processed")
-        sections = self.sections(ready, products, schemas) if self.with_sections else self.sections(ready.limit(0), products, schemas)
+        # Files are hashed and read where they lie; what moves is a hash and a text.
+        read = files.select(F.col("path").alias("local_path"), F.col("content"))
+        ready = F.when(kind.isin(*MEDIA_TYPES), F.col("content"))
+        read = read.select("local_path", F.sha2(ready, 256).alias("_hash"), text_of(F.col("local_path"), ready, extractors).alias("_text"), F.lit(True).alias("_found"))
+        joined = chosen.join(read, "local_path", "left")
+        joined = staged(joined.withColumn("_state", F.when(F.col("_found").isNull(), "missing").when(kind.isin(*MEDIA_TYPES), "processed").otherwise("skipped")), "chosen")
+        done = joined.where("_state = 'processed'").withColumns({"content_hash": F.col("_hash"), "extracted_text": F.col("_text"), "extension": kind})
+        done = done.select(*documents.columns, *[c for c in ("content_hash",) if c not in documents.columns])
+        cut = self.sections(done, products, schemas)
+        sections = staged(cut if self.with_sections else cut.limit(0), "sections")
         pending = _named(joined.where("_state = 'missing'"), insurers, products).select(*_blank(PENDING))
         counts = joined.agg(*[F.count_if(F.col("_state") == s).alias(f"documents_{s}") for s in ("processed", "missing", "skipped")])
         stats = counts.withColumn("sections_written", F.lit(sections.count()))
-        return Reprocessed(ready, sections, document_mappings(ready, insurers, products, every=True), pending, stats)
+        return Reprocessed(done, sections, document_mappings(done, insurers, products, every=True), pending, stats)
 
 
 def reprocess_stats(documents: DataFrame) -> DataFrame:

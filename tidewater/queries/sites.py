@@ -11,12 +11,13 @@ from tidewater.operators import catalog as K
 from tidewater.operators import relational as R
 from tidewater.operators.sections import SCHEMAS
 from tidewater.operators.sections import policy_sections as sections_of
-from tidewater.plans import ingest, jobs
+from tidewater.plans import crawling, ingest, jobs
 from tidewater.queries.base import Group, table
 from tidewater.queries.tables import _ALL_DOCS, _DEFINED, _MATCHED, _TABLES, _categorised, documents, insurers, products, stored_files
 from tidewater.queries.texts import SECTIONS_SQL
 from tidewater.sources import fetch as H
 from tidewater.sources import files as S
+from tidewater.sources.documents import stored_documents
 from tidewater.sources.staging import shared_folder
 from tidewater.sources.tables import StoredTable
 
@@ -122,6 +123,36 @@ def crawl_budget_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _budgeted(spark, sf_dir, 500)
 
 
+# A crawl that fetches: the pages are the web, five sites of them, with links behind their own (which lead nowhere).
+
+_BUDGET = 30
+_PLANTED = ("'<a href=\"/p/' || (page_id + 5) || '\">n</a>'", "'<a href=\"' || (page_id * 6) || '\">s</a>'", "'<a href=\"../p/./' || (page_id + 5 * (page_id % 7 + 2)) || '\">f</a>'")
+
+
+def _level(k: int) -> str:
+    return (
+        f"l{k} AS (SELECT s, p, {k} AS depth, before + row_number() OVER (PARTITION BY s ORDER BY o) - 1 AS visit FROM"
+        f" (SELECT x.s, t AS p, min(10 * visit + pos) AS o, any_value((SELECT count(*) FROM v{k - 1} z WHERE z.s = x.s)) AS before FROM l{k - 1} x JOIN links USING (p) WHERE t NOT IN (SELECT p FROM v{k - 1}) GROUP BY 1, 2)"
+        f" QUALIFY visit < {_BUDGET}), v{k} AS (FROM v{k - 1} UNION ALL FROM l{k})"
+    )
+
+
+@group.query(
+    "WITH web AS (SELECT page_id AS p, page_id % 5 AS s, len(regexp_extract_all(html, '<a href=\"[^\"]*\"')) + 3 AS n_links FROM pages),"
+    " links AS (SELECT p, pos, t FROM (SELECT p, 0 AS pos, p + 5 AS t FROM web UNION ALL SELECT p, 1, p * 6 FROM web UNION ALL SELECT p, 2, p + 5 * (p % 7 + 2) FROM web) WHERE t IN (SELECT p FROM web)),"
+    f" l0 AS (SELECT s, p, 0 AS depth, 0::BIGINT AS visit FROM web WHERE p < 5), v0 AS (FROM l0), {', '.join(map(_level, (1, 2, 3)))}"
+    " SELECT 'https://s' || s || '.example/p/' || s AS root, 'https://s' || s || '.example/p/' || p AS url, depth, visit, n_links FROM v3 JOIN web USING (s, p)"
+)
+def crawl_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level by level within the budget; a request that brings no page costs nothing of it."""
+    address = lambda n: F.concat(F.lit("https://s"), (n % 5).cast("string"), F.lit(".example/p/"), n.cast("string"))
+    pages = table(spark, sf_dir, "pages")
+    web = pages.select(address(F.col("page_id")).alias("url"), F.concat("html", F.expr(" || ".join(_PLANTED))).alias("html"))
+    roots = pages.where("page_id < 5").select(address(F.col("page_id")).alias("root"), address(F.col("page_id")).alias("url"))
+    found = crawling.crawl_sites(roots, crawling.stored_web(web), max_depth=3, max_pages=_BUDGET)
+    return found.visits.select("root", "url", "depth", "visit", F.size("links").cast("long").alias("n_links"))
+
+
 # Fetching: a stand-in answers by the address, so that no network is needed.
 
 
@@ -224,6 +255,45 @@ def reprocess_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reprocessed(spark, sf_dir).pending.select("document_id", "source_url", "extension")
 
 
+# Downloads: what is pending is fetched, stored as files, tried again, and what still fails is the queue.
+
+_ENDS = "['.pdf', '.docx', '.zip', '.doc'][doc_id % 4 + 1]"
+
+
+@group.query(
+    f"WITH d AS (SELECT *, 'D ' || doc_id AS document_id, {_ENDS} AS ext, CASE WHEN doc_id % 11 <> 0 THEN 0 WHEN doc_id % 22 = 0 THEN 1 ELSE 9 END AS round FROM documents), k AS (SELECT *, ext <> '.zip' AND round < 2 AND coalesce(text, '') <> '' AS ok FROM d)"
+    " SELECT document_id, CASE WHEN ok THEN 'stored' ELSE 'left' END AS state, CASE WHEN ok THEN round END AS round, CASE WHEN ok THEN 'i' || doc_id % 7 || '/d-' || doc_id || ext END AS path, CASE WHEN ok THEN sha256(text) END AS content_hash FROM k"
+)
+def download_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, of which every eleventh has no answer at first, as files: hashed again as they lie in the folder, with the queue that is left, and nothing else pending."""
+    ends = F.element_at(F.array(*map(F.lit, (".pdf", ".docx", ".zip", ".doc"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("https://h/"), F.col("doc_id").cast("string"), ends).alias("source_url"), F.encode("text", "UTF-8").alias("content"))
+    blank = {c: F.lit(None).cast("string") for c in ("product_id", "local_path", "page_url", "anchor_text", "discovery_method", "extension", "document_type")}
+    docs = texts.select(F.concat(F.lit("D "), F.col("doc_id").cast("string")).alias("document_id"), F.concat(F.lit("i"), (F.col("doc_id") % 7).cast("string")).alias("insurer_id"), "source_url").withColumns(blank)
+    since = F.when(F.col("doc_id") % 11 != 0, 0).when(F.col("doc_id") % 22 == 0, 1).otherwise(9)
+    answers = lambda left, n: left.join(texts.where(since <= n).select("source_url", "content"), "source_url", "left").select(*left.columns, "content")
+    folder = _place(spark, "files")
+    settings = jobs.Download(folder, folder + "-queue", retries=1)
+    done = jobs.download(spark, settings, docs, insurers(spark, sf_dir), products(spark, sf_dir), answers, {})
+    there = stored_documents(spark, folder).select(F.concat(F.lit(folder + "/"), "path").alias("local_path"), "path", F.sha2("content", 256).alias("content_hash"))
+    stored = done.documents.select("document_id", "local_path", "round").join(there, "local_path").select("document_id", F.lit("stored").alias("state"), "round", "path", "content_hash")
+    left = S.read_queue(spark, settings.queue)
+    now = docs.drop("local_path").join(done.documents.select("document_id", "local_path"), "document_id", "left")
+    again = jobs.pending_downloads(now, insurers(spark, sf_dir), products(spark, sf_dir), there).join(left.select("document_id"), "document_id", "left_anti")
+    nothing = [F.lit(None).cast("int").alias("round"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content_hash")]
+    return stored.unionByName(left.select("document_id", F.lit("left").alias("state"), *nothing)).unionByName(again.select("document_id", F.lit("pending").alias("state"), *nothing))
+
+
+@group.query("SELECT l_orderkey, l_linenumber, l_partkey, 'say \"' || l_shipdate::DATE || '\", [' || chr(10) || ']}' AS said FROM lineitem")
+def envelope_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as one JSON document in parts, and back."""
+    said = F.concat(F.lit('say "'), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit('", [\n]}'))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", said.alias("said"))
+    path = _place(spark, "envelope")
+    S.write_envelope(rows, path, "2024-01-01T00:00:00+00:00", "lines", ["l_orderkey", "l_linenumber"])
+    return S.read_envelope(spark, path, rows.schema)
+
+
 # Jobs: a queue file, or the table where there is none; groups, and back.
 
 _QUEUED = "SELECT o_orderkey::VARCHAR AS document_id, o_custkey::VARCHAR AS insurer_id, 'queue' AS origin FROM orders UNION ALL SELECT l_orderkey || '-' || l_linenumber, (l_suppkey + l_linenumber % 2 * 1000000)::VARCHAR, 'table' FROM lineitem"
@@ -234,9 +304,7 @@ def job_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = documents(spark, sf_dir)
     entries = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), F.col("o_custkey").cast("string").alias("insurer_id"))
     path = _place(spark, "queue")
-    # An envelope for each eighth of the insurers, and a file for each envelope.
-    dealt = entries.groupBy(F.pmod(F.xxhash64("insurer_id"), F.lit(8)).alias("eighth")).agg(F.collect_list(F.struct("document_id", "insurer_id")).alias("documents"))
-    dealt.select("documents").write.option("maxRecordsPerFile", 1).json(path)
+    S.write_envelope(entries, path, "2024-01-01T00:00:00+00:00", "documents", ["insurer_id", "document_id"])
     from_queue = jobs.job_source(spark, path, stored).select("document_id", "insurer_id", F.lit("queue").alias("origin"))
     return from_queue.unionByName(jobs.job_source(spark, path + "-none", stored).select("document_id", "insurer_id", F.lit("table").alias("origin")))
 

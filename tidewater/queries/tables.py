@@ -6,6 +6,9 @@ versions and searches.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,7 @@ from tidewater.plans import ingest, jobs
 from tidewater.queries.base import Group, table
 from tidewater.queries.texts import POLICY_SQL, SECTIONS_SQL, policies, sql_text
 from tidewater.sources import files as S
+from tidewater.sources.staging import shared_folder
 
 group = Group()
 
@@ -339,6 +343,27 @@ def search_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.items.select("id", F.lit(page.total).cast("long").alias("total"), F.lit(page.pages).cast("long").alias("pages"))
 
 
+_SEARCHES = ("ring brand#2", "Size 4", "ng", "WORDING b", "no such words", "bolt bolt")
+_HAYSTACK = "lower(p_name || ' ' || p_brand || ' size ' || p_size || ' Wording ' || p_name)"
+
+
+@group.query(" UNION ALL ".join(f"SELECT '{x}' AS search, p_partkey AS ordinal FROM part WHERE contains({_HAYSTACK}, '{x.lower()}')" for x in _SEARCHES))
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All matches of several searches, by the stored index."""
+    rows = catalogue(spark, sf_dir)
+    index = K.build_index(rows, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    found = [K.matching(rows, K.ProductQuery(search=x), index).select(F.lit(x).alias("search"), F.col("ordinal").cast("long").alias("ordinal")) for x in _SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@group.query(
+    f"WITH found AS (SELECT * FROM part WHERE contains({_HAYSTACK}, 'ing')) SELECT 'total' AS facet, '' AS value, count(*) AS n FROM found HAVING count(*) > 0 UNION ALL SELECT 'category', p_type, count(*) FROM found GROUP BY 2"
+    " UNION ALL SELECT 'insurer', p_brand, count(*) FROM found GROUP BY 2 UNION ALL SELECT 'coverage', lower(p_type), count(*) FROM found GROUP BY 2 UNION ALL SELECT 'tag', unnest(list_distinct(string_split(p_name, ' '))) AS tag, count(*) FROM found GROUP BY 2"
+)
+def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.facet_counts(catalogue(spark, sf_dir), K.ProductQuery(search="ING"))
+
+
 @group.query("SELECT row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place, 'p' || p_partkey AS id FROM part ORDER BY 1 LIMIT 100")
 def sort_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = K.page_rows(catalogue(spark, sf_dir), K.ProductQuery(sort="rating", page_size=100))

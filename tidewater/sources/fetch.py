@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.sources.files import MAX_BYTES
+from tidewater.sources.journal import Entry, Journal
 
 #: Status, content type and body of an answer.
 Answer = tuple[int, str, bytes]
@@ -52,20 +53,32 @@ def http_get(timeout: float = 30, most: int = MAX_BYTES) -> Callable[[str], Answ
     return get
 
 
-def fetch(requests: DataFrame, get: Callable[[str], Answer] | None = None, url: str = "url", group: str = "insurer_id", throttle: Throttle = Throttle(), most: int = MAX_BYTES) -> DataFrame:  # noqa: B008 - frozen
+def fetch(requests: DataFrame, get: Callable[[str], Answer] | None = None, url: str = "url", group: str = "insurer_id", throttle: Throttle = Throttle(), most: int = MAX_BYTES, journal: str | None = None) -> DataFrame:  # noqa: B008 - frozen
     """``requests`` with status, content_type, content and error.
 
     A group's requests are in one task, one after the other; there are as many tasks as may run
     in parallel. Answers other than 2xx, bodies of more than ``most`` bytes, and what ``get`` raises
-    have an error and no content. A null or empty url isn't asked for.
+    have an error and no content. A null or empty url isn't asked for. With ``journal``, a folder
+    that all executors share, each answer is kept there as soon as it is there: a task that starts
+    again, and any later action, takes it from the folder, without a pause.
     """
     ask = get or http_get(most=most)
     added = [T.StructField("status", T.IntegerType()), T.StructField("content_type", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())]
     schema = T.StructType([*requests.schema.fields, *added])
 
-    def one(address: str | None) -> tuple[int | None, str | None, bytes | None, str | None]:
+    kept = Journal(journal) if journal else None
+
+    def one(address: str | None) -> Entry:
         if not address:
             return None, None, None, "no address"
+        answer = kept.read(address) if kept else None
+        if answer is None:
+            answer = asked(address)
+            if kept:
+                kept.write(address, answer)
+        return answer
+
+    def asked(address: str) -> Entry:
         throttle.wait()
         try:
             status, kind, body = ask(address)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from tidewater.functions.text import strip_script
+from tidewater.operators.ranks import ranked
 
 MAX_BYTES = 25 * 1024 * 1024
 QUEUE = (
@@ -59,14 +61,48 @@ def envelope(records: DataFrame, stamp: str, label: str, order: str, **more: Col
     return records.agg(*parts)
 
 
+def write_envelope(records: DataFrame, path: str, stamp: str, label: str, order: list[str]) -> None:
+    """One JSON document around all records, in order, as the parts of a folder, whatever their number.
+
+    The parts' lines, put one after the other, are what ``envelope`` would give: a first line with the stamp and the
+    number of records, a line for each record, and a last one that closes. Records are dealt
+    by ranges of ``order``, so that no task holds them all.
+    """
+    body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in records.columns]))
+    lines = ranked(records.select(*order, body.alias("record")), [F.col(c) for c in order], "envelope")
+    n = lines.count()
+    head = json.dumps({"generated_at": stamp, "record_count": n})[:-1] + f', "{label}": ['
+    ends = records.sparkSession.createDataFrame([(-1, head), (n, "]}")], "rank long, line string")
+    each = lines.select("rank", F.concat(F.when(F.col("rank") > 0, ",").otherwise(""), "record").alias("line"))
+    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ends.unionByName(each).repartitionByRange(parts, "rank").sortWithinPartitions("rank").select("line").write.mode("overwrite").text(path)
+
+
+def read_envelope(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The records of a folder that ``write_envelope`` has written, each line by itself."""
+    record = F.regexp_replace("value", "^,", "")
+    inside = ~(F.col("value").startswith('{"generated_at": ') & F.col("value").endswith("[")) & (F.col("value") != "]}")
+    return spark.read.text(path).where(inside).select(F.from_json(record, schema).alias("r")).select("r.*")
+
+
+def _in_parts(spark: SparkSession, path: str) -> bool:
+    parts = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part-*.txt")
+    return len(parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(parts) or []) > 0
+
+
 def read_queue(spark: SparkSession, path: str) -> DataFrame:
-    """Queue entries of an envelope file."""
+    """Queue entries of an envelope: one file, or the parts that ``write_envelope`` has written."""
+    if _in_parts(spark, path):
+        return _filled(read_envelope(spark, path, QUEUE))
     return queue_entries(spark.read.option("multiLine", True).schema(f"documents array<struct<{QUEUE.replace(' string', ':string')}>>").json(path))
 
 
 def queue_entries(envelopes: DataFrame) -> DataFrame:
     """The name falls back on the id, and an empty product is none."""
-    rows = envelopes.select(F.explode("documents").alias("d")).select("d.*")
+    return _filled(envelopes.select(F.explode("documents").alias("d")).select("d.*"))
+
+
+def _filled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"insurer_name": F.coalesce("insurer_name", "insurer_id"), "product_id": F.nullif("product_id", F.lit(""))})
 
 

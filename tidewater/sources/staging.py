@@ -47,6 +47,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def kept_at(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as the table at ``path``: written there, or, where an earlier run has written it whole, read without being computed."""
+    fs, marker = _files(df.sparkSession, f"{path}/_SUCCESS")
+    if not fs.exists(marker):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unstaged(*tables: DataFrame) -> None:
     """Removes staged tables that nothing will read any more; others are left alone."""
     for df in tables:
