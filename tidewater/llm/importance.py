@@ -2,7 +2,8 @@
 
 1. Each text becomes one row of a sparse matrix: how often each bucket is hit by its runs of
    one to three words. The matrix is persisted as blocks of compressed sparse rows (CSR): a
-   table row holds the ids, row starts, bucket numbers and counts of some dozens of documents.
+   table row holds the ids, row starts, bucket numbers and counts of some dozens of documents,
+   numbers packed in as few bytes as hold them.
 2. Column sums of the blocks give the raw distribution, those of the target's texts the other
    one; both are one number for each bucket, whatever the size of the corpus.
 3. The blocks times the vector of gains (log ratios) give each document's weight.
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.ranks import ranked
 from tidewater.llm.shared import map_batches, own, staged
+from tidewater.operators.ranks import ranked
 
 BUCKETS, LONGEST = 10_000, 3
 #: A block is closed when it has so many entries.
@@ -34,7 +35,7 @@ BLOCK_ENTRIES = 1 << 16
 _PIECE = 1 << 20
 #: Bytes that stand in words: digits, a to z and everything beyond ASCII; all others separate them.
 _SEPARATED = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
-_MATRIX = "doc_ids array<long>, digests array<long>, n_words array<long>, starts array<int>, buckets array<int>, counts array<long>"
+_MATRIX = "doc_ids array<long>, digests array<long>, n_words array<long>, starts binary, buckets binary, counts binary, widths array<int>"
 
 
 def _words(text: str) -> Iterator[list[bytes]]:
@@ -71,18 +72,25 @@ def row_counts(text: str | None, longest: int = LONGEST, buckets: int = BUCKETS)
     return n, hit, total[hit]
 
 
+def _packed(numbers: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the fewest bytes."""
+    most = int(numbers.max(initial=0))
+    return numbers.astype(f"<u{next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w))}")
+
+
 def count_matrix(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS, name: str = "matrix") -> DataFrame:
     """``docs`` (doc_id, text, any more) to a persisted matrix: one table row for each block of documents.
 
-    Row i of a block has the entries ``starts[i]:starts[i + 1]`` of ``buckets`` and ``counts``.
-    digests tell texts apart where a doc_id repeats.
+    Row i of a block has the entries ``starts[i]:starts[i + 1]`` of ``buckets`` and ``counts``;
+    widths has their numbers' bytes. digests tell texts apart where a doc_id repeats.
     """
 
     def block(rows: list[tuple]) -> pa.RecordBatch:
         ids, digests, n_words, hits, counts = zip(*rows, strict=True)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in hits])]).astype(np.int32)
-        lists = [pa.array(ids, pa.int64()), pa.array(digests, pa.int64()), pa.array(n_words, pa.int64()), pa.array(starts), pa.array(np.concatenate(hits).astype(np.int32)), pa.array(np.concatenate(counts))]
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], ["doc_ids", "digests", "n_words", "starts", "buckets", "counts"])
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, pa.int64())) for x in (ids, digests, n_words)]
+        packed = [_packed(x) for x in (np.concatenate([[0], np.cumsum([len(x) for x in hits])]), np.concatenate(hits), np.concatenate(counts))]
+        widths = pa.array([[x.itemsize for x in packed]], pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([*lists, *(pa.array([x.tobytes()], pa.binary()) for x in packed), widths], ["doc_ids", "digests", "n_words", "starts", "buckets", "counts", "widths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, entries = [], 0
@@ -101,8 +109,10 @@ def count_matrix(docs: DataFrame, longest: int = LONGEST, buckets: int = BUCKETS
     return staged(texts.mapInArrow(run, _MATRIX), name)
 
 
-def _column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+def _entries(batch: pa.RecordBatch, i: int) -> list[np.ndarray]:
+    """starts, buckets and counts of a block."""
+    widths = batch.column("widths")[i].as_py()
+    return [np.frombuffer(batch.column(c)[i].as_buffer(), f"<u{w}").astype(np.int64) for c, w in zip(("starts", "buckets", "counts"), widths, strict=True)]
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
@@ -112,12 +122,13 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
+                _, hit, times = _entries(batch, i)
                 # Sums of a block are far below 2^53, so that doubles are exact.
-                total += np.bincount(_column(batch, "buckets", i), _column(batch, "counts", i), buckets).astype(np.int64)
+                total += np.bincount(hit, times, buckets).astype(np.int64)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["bucket", "n"])
 
-    found = matrix.select("buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = matrix.select("starts", "buckets", "counts", "widths").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     total = np.zeros(buckets, np.int64)
     total[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return total
@@ -134,8 +145,8 @@ def row_weights(matrix: DataFrame, gains: np.ndarray) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
-            starts, counts = _column(batch, "starts", i), _column(batch, "counts", i)
-            sums = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (counts, counts * gains[_column(batch, "buckets", i)])]
+            starts, hit, counts = _entries(batch, i)
+            sums = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (counts, counts * gains[hit])]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c)[i].values for c in ("doc_ids", "digests", "n_words")), *(pa.array(np.diff(x)) for x in sums)],
                 ["doc_id", "digest", "n_words", "n_features", "weight"],
