@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.ranks import ranked
 from tidewater.llm.shared import own, staged
+from tidewater.operators.ranks import ranked
 
 #: Lengths of key prefixes: a digit that tells null ids from others, and 4, 7, 10 and 13 digits of the id.
 PREFIXES = (5, 8, 11, 14)
@@ -193,20 +193,21 @@ def _layers(leaves: DataFrame, fanout: int) -> list[DataFrame]:
     layers = [leaves]
     for step in range(-(-height(most, fanout) // LEVELS)):
         nodes = layers[-1].select("tree", "n", "idx", "hash")
-        layers.append(staged(nodes.groupBy("tree", _up(fanout)).applyInArrow(_reduced(step, fanout), "tree string, n long, idx long, hash string"), f"layer{step + 1}"))
+        layers.append(staged(nodes.groupBy(_above(fanout)).applyInArrow(_reduced(step, fanout), "tree string, n long, idx long, hash string"), f"layer{step + 1}"))
     return layers
 
 
-def _up(fanout: int) -> Column:
-    return F.expr(f"idx div {fanout**LEVELS}")
+def _above(fanout: int) -> Column:
+    """The node three levels above. One key, so that rows that lie together by their tree don't stay so."""
+    return F.struct("tree", F.expr(f"idx div {fanout**LEVELS}").alias("idx"))
 
 
 def _paths(layers: list[DataFrame], top: DataFrame, fanout: int, last: int = 0) -> DataFrame:
     """Paths (tree, idx, lefts, rights, subroot, root) of the nodes of layer ``last``, from those of the last layer."""
     paths = top
     for step in range(len(layers) - 2, last - 1, -1):
-        nodes = layers[step].select("tree", "n", "idx", "hash").groupBy("tree", _up(fanout))
-        paths = staged(nodes.cogroup(paths.groupBy("tree", "idx")).applyInArrow(_lowered(step, fanout), "tree string, idx long, lefts array<string>, rights array<string>, subroot string, root string"), f"paths{step}")
+        nodes = layers[step].select("tree", "n", "idx", "hash").groupBy(_above(fanout))
+        paths = staged(nodes.cogroup(paths.groupBy(F.struct("tree", "idx"))).applyInArrow(_lowered(step, fanout), "tree string, idx long, lefts array<string>, rights array<string>, subroot string, root string"), f"paths{step}")
     return paths
 
 
@@ -246,8 +247,8 @@ class Manifest:
     def verified(self) -> DataFrame:
         """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified: each row as it is seen now, folded up its original proof."""
         above = _paths(self.layers, self._language_paths(), self.fanout, 1)
-        leaves = self.layers[0].groupBy("tree", _up(self.fanout))
-        return leaves.cogroup(above.groupBy("tree", "idx")).applyInArrow(
+        leaves = self.layers[0].groupBy(_above(self.fanout))
+        return leaves.cogroup(above.groupBy(F.struct("tree", "idx"))).applyInArrow(
             _checked(self.fanout), "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
         )
 
@@ -270,7 +271,8 @@ def build_manifest(docs: DataFrame, seen: Callable[[Column, Column], Column] | N
     placed = radix_ranks(once.withColumn("key", _key()))
     leaves = placed.select("tree", "doc_id", F.col("leaf").alias("hash"), "seen", "idx", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")).withColumn("idx", F.col("idx") + F.col("copy"))
     leaves = staged(leaves.drop("copy"), "placed")
-    sizes = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
+    # Staged, so that the join knows its size and leaves are not dealt by tree.
+    sizes = staged(leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")), "sizes")
     layers = _layers(leaves.join(sizes, "tree"), fanout)
     trees = ranked(layers[-1].select(F.col("tree").alias("name"), "hash"), [F.col("name")], "languages")
     n = trees.count()
