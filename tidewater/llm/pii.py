@@ -69,7 +69,7 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[Span]:
     """The base patterns' spans by begin, then kind; matches that fail their check are dropped."""
     spans = [(a, b, 0) for a, b in _emails(text)]
-    spans += [(*m.span(), 1) for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split("."))]
+    spans += [(*m.span(), 1) for m in IP.finditer(text) if all(len(x) < 4 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in m.group().split(".")))]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
