@@ -73,3 +73,13 @@ def test_thresholds_nest(spark):
     large = {r.doc_id: r.taken for r in mix_sources(docs, share=0.6).collect()}
     assert all(large[d] >= t for d, t in small.items())
     assert sum(small.values()) < sum(large.values())
+
+
+def test_rows_without_an_id_meet_their_targets(spark):
+    rows = [(None, " ".join(["word"] * (1 + i % 9)) + f" {i}", "xyz"[i % 7 % 3]) for i in range(600)]
+    result = mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    taken, target = defaultdict(int), {}
+    for r in result:
+        taken[r.source_size] += r.taken
+        target[r.source_size] = r.target
+    assert len(target) == 3 and all(abs(taken[s] - t) <= 10 for s, t in target.items())

@@ -22,9 +22,10 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
 
 
-def ticket(seed: str) -> Column:
-    """36 bits that decide a document's place in every mix of this seed."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+def ticket(seed: str, doc_id: Column, text: Column) -> Column:
+    """36 bits that decide a document's place in every mix of this seed, from its id and its text."""
+    named = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))), F.lit(seed))
+    return F.conv(F.substring(F.md5(named), 1, BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
@@ -85,7 +86,7 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int
 
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
-    return own(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), ticket(seed).alias("ticket"))
+    return own(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), ticket(seed, F.col("doc_id"), F.col("text")).alias("ticket"))
 
 
 def _times(ticket_: Column) -> Column:
@@ -98,8 +99,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     size: words of the text (null: 0). source_size and target: of the row's source; a null
     source is a source of its own, last in order. taken: words that the mix takes of the
     document, repeats counted: a multiple of its size, at most ``most`` times it. A source's
-    taken words come within one document (or rows that share its doc_id, which share their
-    place in the order) of its target. Texts without words are never taken. Any rerun with the
+    taken words come within one document (or rows that share its doc_id and text, which share
+    their place in the order) of its target. Texts without words are never taken. Any rerun with the
     same seed takes the same. Extra columns are ignored; an empty table gives an empty result.
     """
     sized = staged(_sized(docs, seed), "sized")
@@ -108,9 +109,15 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: str = "") -> DataFrame:
-    """The mix itself: rows of ``docs`` with all their columns, each as often as the mix takes it, without moving a text."""
+    """The mix itself: rows of ``docs`` with all their columns, each as often as the mix takes it, without moving a text.
+
+    Which rows is as in ``mix_sources``: null sources are a source, rows without words (null, empty) are never
+    taken, repeated rows are taken alike, null ids are told apart by their texts. Columns keep
+    their values whatever their names; an empty table gives an empty result.
+    """
     plan, few = mix_plan(staged(_sized(docs, seed), "sized"), weights, share, most)
-    facts = plan.select(F.col("source").alias("_of"), "copies", "bound").withColumnsRenamed({"copies": "_copies", "bound": "_bound"})
-    joined = docs.join(F.broadcast(facts) if few else facts, F.col("source").eqNullSafe(F.col("_of")))
-    times = F.col("_copies") + F.when(ticket(seed) < F.col("_bound"), 1).otherwise(0)
-    return joined.where(F.col("text").rlike(WORD)).withColumn("_time", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    facts = plan.select(F.col("source").alias("of"), "copies", "bound")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).where(F.col("row.text").rlike(WORD))
+    joined = packed.join(F.broadcast(facts) if few else facts, F.col("row.source").eqNullSafe(F.col("of")))
+    times = _times(ticket(seed, F.col("row.doc_id").cast("long"), F.col("row.text")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select("row.*")

@@ -42,13 +42,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def licence_dresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every known licence as it is, in upper case, as a comment with a copyright line, in another spelling, and with one clause more."""
-    known = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(LICENCES)], "i long, name string, text string")
-    text = F.col("text")
-    comment = F.concat(F.lit(" * Copyright 2024, Somebody\n"), F.regexp_replace(text, "(?m)^", " * "))
-    dresses = F.array(text, F.upper(text), comment, F.regexp_replace(text, r"\blicense\b", "licence"), F.concat(text, F.lit("\nThis clause is new.")))
-    docs = known.select("i", F.posexplode(dresses).alias("dress", "text")).select((F.col("i") * 5 + F.col("dress")).alias("doc_id"), "text")
-    return license_scan(docs).select("doc_id", "license")
+    """Each document's text beside a known licence: as it is, in upper case, as a comment under a copyright line with the document's id, in another spelling, and with one clause and the text more."""
+    n = len(LICENCES)
+    known = F.array(*[F.lit(t) for _, t in LICENCES])
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("own"), F.get(known, F.pmod("doc_id", F.lit(n)).cast("int")).alias("text"))
+    comment = F.concat(F.lit(" * Copyright "), F.col("doc_id").cast("string"), F.lit(", Somebody\n"), F.regexp_replace("text", "(?m)^", " * "))
+    dress = F.pmod(F.floor(F.col("doc_id") / n), F.lit(5))
+    dressed = F.when(dress == 0, F.col("text")).when(dress == 1, F.upper("text")).when(dress == 2, comment).when(dress == 3, F.regexp_replace("text", r"\blicense\b", "licence")).otherwise(F.concat("text", F.lit("\nThis clause is new.\n"), "own"))
+    return license_scan(docs.select("doc_id", dressed.alias("text"))).select("doc_id", "license")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +180,7 @@ FROM whole LEFT JOIN digests d USING (digest) LEFT JOIN named USING (doc_id) WHE
 """
 
 _DRESSES = f"""
-SELECT 5 * i + dress AS doc_id, CASE WHEN dress < 4 THEN name END AS license FROM (VALUES {", ".join(f"({i}, {_quoted(n)})" for i, (n, _) in enumerate(LICENCES))}) v(i, name), range(5) r(dress)
+SELECT doc_id, CASE WHEN doc_id // {len(LICENCES)} % 5 < 4 THEN name END AS license FROM documents JOIN (VALUES {", ".join(f"({i}, {_quoted(n)})" for i, (n, _) in enumerate(LICENCES))}) v(i, name) ON doc_id % {len(LICENCES)} = i
 """
 
 _URLS = f"""
@@ -276,7 +277,7 @@ _MIX = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
 ]+')) AS size,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 9))::BIGINT AS ticket FROM documents),
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':'), 1, 9))::BIGINT AS ticket FROM documents),
 sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1)::INT] AS weight
   FROM sized GROUP BY source),
