@@ -11,7 +11,7 @@ from tidewater.functions import text as T
 from tidewater.functions import urls as U
 from tidewater.operators import classifying as C
 from tidewater.operators.relational import resolve_names
-from tidewater.operators.sections import SCHEMAS, definitions, match_sections, policy_sections, sections_by_window, split_sections, supported_categories
+from tidewater.operators.sections import SCHEMAS, definitions, document_lines, match_sections, policy_sections, sections_by_window, sections_of_lines, split_sections, supported_categories
 from tidewater.plans.ingest import SOURCES, Limits, directory, harvest, page_links_of, with_site
 from tidewater.sources.html import description, headings, links, table, table_rows, tree
 
@@ -109,6 +109,8 @@ def test_sections(spark):
     rows = [(r.title, r.content) for r in split_sections(docs.where("doc_id = 1")).orderBy("ordinal").collect()]
     assert rows == [("Overview", "intro text goes here, all lower case."), ("Eligibility", "Adults only, from 18 years on."), ("Premium", "See the chart, please.")]
     assert sorted(split_sections(docs).collect()) == sorted(sections_by_window(docs).collect())
+    for block in (1, 3, 10_000):
+        assert sorted(split_sections(docs).collect()) == sorted(sections_of_lines(document_lines(docs), block=block).collect())
     found = policy_sections(docs).collect()
     assert {r.doc_id for r in found} == {1} and len(found) == len(SCHEMAS["health"])
     assert {r.section_name: r.confidence for r in found if r.confidence} == {"Eligibility": 1.0, "Premium Illustration": 0.8}
@@ -154,6 +156,23 @@ def test_from_regulator_pages_to_sections(spark):
     assert {r.target for r in crawl.collect()} == {"https://h/about", "https://h/p/plan.html"}
 
 
+def test_one_text_of_very_many_lines_over_many_tasks(spark):
+    """Two million lines of one document: no task sees more than some blocks, and the rows are what they should be."""
+    n, every = 2_000_000, 1000
+    text = F.when(F.col("id") % every == 7, F.concat(F.lit("HEADING NUMBER "), F.col("id").cast("string"))).otherwise(F.concat(F.lit("a line of prose, "), F.col("id").cast("string"), F.lit(".")))
+    rows = spark.range(n, numPartitions=16).select(F.lit(1).alias("doc_id"), F.col("id").alias("pos"), text.alias("line"))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = sections_of_lines(rows).cache()
+        assert found.count() == n // every + 1
+        facts = found.select("ordinal", "title", F.size(F.split("content", "\n")).alias("n")).orderBy("ordinal").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r.ordinal for r in facts] == list(range(n // every + 1))
+    assert facts[0].n == 7 and facts[1].title == "HEADING NUMBER 7" and {r.n for r in facts[1:-1]} == {999} and facts[-1].n == 992
+    found.unpersist()
+
+
 def test_sections_of_all_documents_are_matched(spark):
     sf = "/root/testdata/sf0.001"
     documents = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id % 5 < 4 and trim(text) <> ''")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space in the Unicode sense, spelled out so that every engine agrees.
 WHITE = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -35,15 +35,43 @@ def clean_text(text: Column) -> Column:
     return squeeze(strip_script(text))
 
 
-@F.pandas_udf(StringType())
-def _plain_ascii(text: pd.Series) -> pd.Series:
-    """Compatibility decomposition without what is not ASCII: the one step that SQL lacks."""
-    return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode(), na_action="ignore")
+@cache
+def _residues() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of characters in ASCII: those that become one character, these, and the others.
+
+    Decomposition goes character by character, and what isn't ASCII is dropped, so that a table says it all.
+    """
+    one, other = {}, {}
+    for point in range(0x80, 0x110000):
+        if 0xD800 <= point < 0xE000:
+            continue
+        left = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else other)[chr(point)] = left
+    return "".join(one), "".join(one.values()), other
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def plain_ascii(text: Column) -> Column:
+    """Compatibility decomposition (NFKD) without what is not ASCII. Only texts with other characters are looked at further."""
+    one, ascii_, other = _residues()
+    pairs = F.map_from_arrays(F.array(*map(F.lit, other)), F.array(*map(F.lit, other.values())))
+
+    def folded(t: Column) -> Column:
+        each = F.transform(F.split(t, ""), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(F.try_element_at(pairs, c), c)))
+        spelled = F.when(t.rlike("[" + "".join(other) + "]"), F.array_join(each, "")).otherwise(t)
+        return F.when(t.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(spelled, one, ascii_), r"[^\x00-\x7F]+", "")).otherwise(t)
+
+    return let(text, folded)
 
 
 def slugify(text: Column) -> Column:
     """Lower-case ASCII words joined by hyphens; hyphens at the ends and underscores stay."""
-    kept = F.regexp_replace(_plain_ascii(text), r"[^\w\s\x0B\x1C-\x1F-]", "")
+    kept = F.regexp_replace(plain_ascii(text), r"[^\w\s\x0B\x1C-\x1F-]", "")
     return F.regexp_replace(F.lower(strip_edges(kept)), r"[-\s\x0B\x1C-\x1F]+", "-")
 
 

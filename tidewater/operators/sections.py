@@ -144,3 +144,37 @@ def sections_by_window(docs: DataFrame, key: str = "doc_id", text: str = "text")
     content = F.array_join(F.transform("body", lambda x: x["line"]), "\n")
     ordinal = F.row_number().over(Window.partitionBy(key).orderBy("island")) - 1
     return grouped.select(key, ordinal.alias("ordinal"), "title", content.alias("content"))
+
+
+def running_sum(rows: DataFrame, key: str, place: str, value: Column, name: str, block: int) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` over rows of the key from the first up to this, by ``place`` (0, 1, 2, ...).
+
+    A segmented scan: sums inside blocks of places, a scan over the blocks' totals, and both added
+    up. No window holds more than a block's rows, or a key's blocks, so that one key may hold any number of rows.
+    """
+    blocked = rows.withColumns({"value_": value.cast("long"), "block_": F.floor(F.col(place) / block).cast("long")})
+    inside = blocked.withColumn("local_", F.sum("value_").over(Window.partitionBy(key, "block_").orderBy(place)))
+    totals = blocked.groupBy(F.col(key).alias("key_"), F.col("block_").alias("at_")).agg(F.sum("value_").alias("total_"))
+    before = Window.partitionBy("key_").orderBy("at_").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("key_", "at_", F.coalesce(F.sum("total_").over(before), F.lit(0)).alias("base_"))
+    joined = inside.join(bases, F.col(key).eqNullSafe(F.col("key_")) & (F.col("block_") == F.col("at_")))
+    return joined.select(*rows.columns, (F.col("base_") + F.col("local_")).alias(name))
+
+
+def sections_of_lines(rows: DataFrame, key: str = "doc_id", block: int = 10_000) -> DataFrame:
+    """``split_sections`` of texts that are stored as cleaned lines (key, pos from 0 on, line), one text over as many tasks as it has blocks.
+
+    Lines of a section are joined block by block before the blocks' pieces meet; a section is
+    one value, as it is in the result.
+    """
+    marked = rows.select(key, "pos", "line", is_clean_heading(F.col("line")).alias("head"))
+    islands = running_sum(marked, key, "pos", F.col("head").cast("int"), "island", block)
+    title = F.max(F.when(F.col("head"), heading_title(F.col("line")))).alias("title")
+    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))))
+    part = F.floor(F.col("pos") / block).alias("part")
+    pieces = islands.groupBy(key, "island", part).agg(title, body.alias("body")).select(key, "island", "part", "title", F.when(F.size("body") > 0, F.array_join(F.transform("body", lambda x: x["line"]), "\n")).alias("said"))
+    joined = F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("part", "said"))))
+    whole = pieces.groupBy(key, "island").agg(F.coalesce(F.max("title"), F.lit(FIRST_TITLE)).alias("title"), joined.alias("parts"))
+    whole = whole.withColumn("content", F.array_join(F.transform("parts", lambda x: x["said"]), "\n")).withColumn("filled", F.size("parts") > 0)
+    numbered = running_sum(whole.select(key, "island", "title", "content", "filled"), key, "island", F.col("filled").cast("int"), "nth", block)
+    return numbered.where("filled").select(key, (F.col("nth") - 1).cast("int").alias("ordinal"), "title", "content")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater import types
+from tidewater.operators.scoring import WEIGHTS
 
 #: Domains of enumerated fields; a null in a domain allows null.
 DOMAINS = {
@@ -194,3 +195,77 @@ def evaluation_errors() -> Column:
         (F.char_length("productRef.planName") >= 1, "/productRef/planName: must not be empty"),
     )
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(text)) for ok, text in checks]), lambda x: x.isNotNull())
+
+
+#: Paths whose value may be null though it has no domain or range.
+NULLABLE = ("product.variant", "product.uin", "deductible.aggregateApplies", "roomRent.limitValue", "roomRent.icuLimitValue", "hospitalization.ayush.limitValue", "hospitalization.domiciliary.notes", "organDonor.notes", "bonuses.recharge.sameIllnessAllowed", "sublimits.cataract.perEye", "notes")
+_SHARE, _AMOUNT, _NULL = {"type": "number", "minimum": 0, "maximum": 100}, {"type": "number", "minimum": 0}, {"type": "null"}
+#: Object, deciding field, its values, what then holds of other fields; messages are those of ``STATED``, in its order.
+_DECIDED = (
+    ("deductible", "applies", (True,), {"type": {"enum": ["per_year", "per_claim"]}, "amount": _AMOUNT}),
+    ("roomRent", "limitType", ("percent_of_SI",), {"limitValue": _SHARE}),
+    ("roomRent", "limitType", ("rupee_cap",), {"limitValue": _AMOUNT}),
+    ("roomRent", "limitType", ("no_cap", "single_private_room", "twin_sharing"), {"limitValue": _NULL}),
+    ("roomRent", "icuLimitType", ("percent_of_SI",), {"icuLimitValue": _SHARE}),
+    ("roomRent", "icuLimitType", ("rupee_cap",), {"icuLimitValue": _AMOUNT}),
+    ("roomRent", "icuLimitType", ("no_cap",), {"icuLimitValue": _NULL}),
+    ("hospitalization.ayush", "limitType", ("percent",), {"limitValue": _SHARE}),
+    ("hospitalization.ayush", "limitType", ("rupee_cap",), {"limitValue": _AMOUNT}),
+    ("hospitalization.ayush", "limitType", ("up_to_SI", "not_covered"), {"limitValue": _NULL}),
+    ("copayAndZones", "mandatory", ("none",), {"mandatoryPercent": _NULL}),
+    ("copayAndZones", "mandatory", ("age", "zone", "network", "disease_specific"), {"mandatoryPercent": _SHARE}),
+    ("sublimits.cataract", "type", ("percent_of_SI",), {"value": _SHARE}),
+    ("sublimits.cataract", "type", ("rupee_cap",), {"value": _AMOUNT}),
+    ("sublimits.cataract", "type", ("not_applicable",), {"value": _NULL, "perEye": _NULL}),
+)
+
+
+def product_document() -> dict:
+    """The rules on products as a JSON Schema document, from the same fixed values."""
+    names = {"string": "string", "double": "number", "boolean": "boolean"}
+    ranges = {path: (least, most, null) for path, least, most, null in RANGES}
+
+    def leaf(path: str, kind: T.DataType) -> dict:
+        if isinstance(kind, T.ArrayType):
+            if isinstance(kind.elementType, T.StructType):
+                fields = {"name": {"type": "string", "minLength": 1}, "type": {"type": "string", "enum": ["percent", "rupee_cap"]}, "value": _AMOUNT}
+                return {"type": "array", "items": {"type": "object", "additionalProperties": False, "required": list(fields), "properties": fields}}
+            items = {"sumInsured.availableBands": _AMOUNT, "topUpSpecifics.coverageAboveDeductible": {"type": "string", "enum": ["IPD", "daycare", "AYUSH", "pre_post"]}}.get(path, {"type": "string"})
+            return {"type": "array", "items": items, "uniqueItems": True}
+        least, most, null = ranges.get(path, (None, None, False))
+        null = null or path in NULLABLE or None in DOMAINS.get(path, ())
+        out: dict = {"type": [names[kind.simpleString()], "null"] if null else names[kind.simpleString()]}
+        if path in DOMAINS:
+            out["enum"] = list(DOMAINS[path])
+        if path in NON_EMPTY:
+            out["minLength"] = 1
+        out |= {k: v for k, v in (("minimum", least), ("maximum", most)) if v is not None}
+        stated = {"product.geography": {"pattern": "^[A-Z]{2,3}$"}, "sumInsured.currency": {"pattern": "^[A-Z]{3}$"}, "provenance.sourceDate": {"format": "date"}, "provenance.extractionConfidence": {"minimum": 0, "maximum": 1}}
+        if path in stated:
+            out |= stated[path] | {"errorMessage": next(r.message for r in STATED if r.path == "/" + path.replace(".", "/"))}
+        return out
+
+    def node(path: str, kind: T.StructType) -> dict:
+        below = lambda n: f"{path}.{n}" if path else n
+        parts = {f.name: node(below(f.name), f.dataType) if isinstance(f.dataType, T.StructType) else leaf(below(f.name), f.dataType) for f in kind.fields}
+        out: dict = {"type": "object", "additionalProperties": False, "required": [n for n in parts if path or n not in OPTIONAL], "properties": parts}
+        decided = [{"if": {"properties": {field: {"enum": list(values)}}}, "then": {"properties": then, "errorMessage": said}} for (at, field, values, then), said in zip(_DECIDED, _messages(), strict=True) if at == path]
+        if path == "deductible":
+            decided.append({"if": {"properties": {"applies": {"const": False}}}, "then": {"properties": {"type": _NULL, "amount": _NULL}}})
+        return out | ({"allOf": decided} if decided else {})
+
+    return node("", _schema())
+
+
+def _messages() -> list[str]:
+    return [r.message for r in STATED if r.holds.startswith("coalesce(NOT")]
+
+
+def evaluation_document() -> dict:
+    """The contract of an evaluation as a JSON Schema document."""
+    share = {"type": "number", "minimum": 0, "maximum": 100}
+    closed = lambda **parts: {"type": "object", "additionalProperties": False, "required": list(parts), "properties": parts}
+    text, maybe = {"type": "string", "minLength": 1}, {"type": ["string", "null"]}
+    score = closed(parameter={"type": "string", "enum": list(WEIGHTS)}, rating={"type": "string", "enum": ["Bad", "OK", "Good"]}, score=share, rationale=text)
+    overall = closed(weightedScore=share, grade={"type": "string", "enum": ["D", "C", "B", "A", "A+"]}, notes=maybe)
+    return closed(productRef=closed(insurer=text, planName=text, variant=maybe), scores={"type": "array", "items": score}, overall=overall, version={"type": "string", "pattern": r"^v?[0-9]+\.[0-9]+\.[0-9]+$"})

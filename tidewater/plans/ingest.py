@@ -99,10 +99,13 @@ def insurers(rows: DataFrame, skip: tuple[str, ...] = ("pos",)) -> DataFrame:
     return rows.select(identity.alias("insurer_id"), F.col("insurer_name").alias("name"), "category", "source_url", site.alias("website_url"), metadata.alias("metadata"))
 
 
-def directory(pages: DataFrame, sources: tuple[Source, ...] = SOURCES) -> DataFrame:
-    """Regulator pages (url, html) to insurers; a page without its table is an error."""
+def directory(pages: DataFrame, sources: tuple[Source, ...] = SOURCES, most: int | None = None) -> DataFrame:
+    """Regulator pages (url, html) to insurers, the first ``most`` in order of source and row; a page without its table is an error."""
     parts = [insurer_rows(table_rows(pages.where(F.col("url") == s.url).select("html"), s.table_id, strict=True), s) for s in sources]
-    return insurers(insurer_union(parts))
+    rows = insurer_union(parts)
+    if most is not None:
+        rows = rows.orderBy(F.array_position(F.array(*[F.lit(s.key) for s in sources]), F.col("category")), "pos").limit(most)
+    return insurers(rows)
 
 
 def page_links_of(pages: DataFrame) -> DataFrame:
@@ -171,21 +174,33 @@ class Harvest:
     sections: DataFrame
 
 
-def harvest(pages: DataFrame, texts: DataFrame, limits: Limits = Limits()) -> Harvest:  # noqa: B008 - frozen
-    """Visited pages (insurer_id, page_url, visit, html) and texts of documents (source_url, extracted_text) to merged products, documents and sections."""
-    sequence = F.struct("visit", "pos")
-    scans = staged(scanned(pages), "scans")
+def found_in(scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scanned pages to merged products, and links to documents with the product that each belongs to."""
     candidates = product_candidates(scans)
-    products = PRODUCTS.apply(candidates.withColumn("seq", sequence))
-    matched = match_in_scope(document_candidates(scans), candidates).join(texts, "source_url", "left")
-    metadata = F.map_from_arrays(
-        F.array(*map(F.lit, ("anchor_text", "page_url", "extension", "discovery_method"))), F.array(F.col("anchor_text"), F.col("page_url"), F.col("extension"), F.lit("crawl"))
-    )
-    enriched = matched.withColumns({"seq": sequence, "metadata": metadata, "local_path": F.lit(None).cast("string"), "content_hash": F.lit(None).cast("string")})
-    documents = DOCUMENTS.apply(enriched)
+    names = ("anchor_text", "page_url", "extension", "discovery_method")
+    metadata = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(F.col("anchor_text"), F.col("page_url"), F.col("extension"), F.lit("crawl")))
+    sequence = F.struct("visit", "pos")
+    matched = match_in_scope(document_candidates(scans), candidates).withColumns({"seq": sequence, "metadata": metadata})
+    return PRODUCTS.apply(candidates.withColumn("seq", sequence)), matched
+
+
+def merged_documents(matched: DataFrame) -> DataFrame:
+    """One row for each document; what isn't there yet is null."""
+    blank = {c: F.lit(None).cast("string") for c in ("local_path", "content_hash", "extracted_text") if c not in matched.columns}
+    return DOCUMENTS.apply(matched.withColumns(blank))
+
+
+def sections_of(documents: DataFrame, products: DataFrame, limits: Limits) -> DataFrame:
+    """Sections of the documents that have a product and a text."""
     wordings = documents.join(products.select("product_id", "category"), "product_id").where(F.coalesce("extracted_text", F.lit("")) != "")
-    sections = policy_sections(wordings.select(F.col("document_id").alias("doc_id"), "category", F.col("extracted_text").alias("text"), "document_type"), limits.schemas, limits.section_types)
-    return Harvest(products, documents, sections)
+    return policy_sections(wordings.select(F.col("document_id").alias("doc_id"), "category", F.col("extracted_text").alias("text"), "document_type"), limits.schemas, limits.section_types)
+
+
+def harvest(pages: DataFrame, texts: DataFrame, limits: Limits = Limits()) -> Harvest:  # noqa: B008 - frozen
+    """Visited pages (insurer_id, page_url, visit, html) and texts of documents (source_url, extracted_text) to merged products, documents and sections."""
+    products, matched = found_in(staged(scanned(pages), "scans"))
+    documents = merged_documents(matched.join(texts, "source_url", "left"))
+    return Harvest(products, documents, sections_of(documents, products, limits))
 
 
 def with_site(insurer: DataFrame) -> DataFrame:

@@ -6,12 +6,14 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater import types
 from tidewater.functions.numbers import card_number, first_dash_to_space, percent_label, to_integer, to_number, two_places
+from tidewater.operators.json_schema import validate_json
 from tidewater.operators.normalizing import normalize
 from tidewater.operators.scoring import PARAMETERS, WEIGHTS, grade, rate, score_products, weighted_sum
-from tidewater.operators.validation import evaluation_errors, parse_products, validate
+from tidewater.operators.validation import evaluation_errors, parse_products, product_document, validate
 from tidewater.queries.base import Group, table
 
 group = Group()
@@ -346,14 +348,17 @@ def changed(changes: dict) -> str:
 
 
 @group.query(
-    "SELECT * FROM (VALUES ('base', 87.8::DOUBLE, 'A', NULL, true, '90,100,100,100,95,100,100,100,100,100,60'), "
-    "('topup', 83.43::DOUBLE, 'A', 'Zone based copay applies outside Tier-A cities. | Mandatory copay of 10% based on zone.', true, '100,70,100,80,60,53,75,70,20,70,100')) v(name, weighted_score, grade, notes, valid, scores)"
+    "SELECT p_partkey, v.* EXCLUDE (k) FROM part JOIN (VALUES (0, 87.8::DOUBLE, 'A', NULL, true, '90,100,100,100,95,100,100,100,100,100,60'), "
+    "(1, 83.43::DOUBLE, 'A', 'Zone based copay applies outside Tier-A cities. | Mandatory copay of 10% based on zone.', true, '100,70,100,80,60,53,75,70,20,70,100')) v(k, weighted_score, grade, notes, valid, scores) ON p_partkey % 2 = k"
 )
 def score_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = spark.createDataFrame([("base", changed({})), ("topup", changed(_TOP_UP_CHANGES))], "name string, payload string")
+    """Each part has one of two sample products, under its own name."""
+    named = F.concat(F.lit("Plan "), F.col("p_partkey").cast("string"))
+    text = F.when(F.col("p_partkey") % 2 == 0, changed({"product.planName": "@name"})).otherwise(changed(_TOP_UP_CHANGES | {"product.planName": "@name"}))
+    records = table(spark, sf_dir, "part").select("p_partkey", F.replace(text, F.lit("@name"), named).alias("payload"))
     scored = validate(score_products(parse_products(records, "payload")), "payload")
     scores = F.array_join(F.transform("scores", lambda x: F.floor(x["score"]).cast("string")), ",")
-    return scored.select("name", F.col("overall.weightedScore").alias("weighted_score"), "overall.grade", "overall.notes", "valid", scores.alias("scores"))
+    return scored.select("p_partkey", F.col("overall.weightedScore").alias("weighted_score"), "overall.grade", "overall.notes", "valid", scores.alias("scores"))
 
 
 _BROKEN = (
@@ -383,21 +388,36 @@ _BROKEN = (
     ("empty name", {"product.insurer": ""}, "/product/insurer: must not be empty"),
     ("repeated bands", {"sumInsured.availableBands": [1, 1]}, "/sumInsured/availableBands: must not have duplicate items"),
 )
-_BROKEN_SQL = ", ".join(f"('{name}', {'NULL' if error is None else repr(error)})" for name, _, error in _BROKEN)
+_BROKEN_SQL = ", ".join(f"({k}, {'NULL' if error is None else repr(error)})" for k, (_, _, error) in enumerate(_BROKEN))
 
 
-@group.query(
+_VALID_SQL = (
     f"WITH {_FACTS} SELECT p_partkey, geography <> 'in' AND source_date <> '2025-13-01' AND NOT (room_type = 'percent_of_SI' AND room_value IS NULL) AND NOT (icu_type = 'percent_of_SI' AND icu_value IS NULL)"
     " AND NOT (applies AND deductible_amount IS NULL) AND coalesce(top_how, '') <> 'per_year' AND NOT (ayush_type = 'percent' AND coalesce(ayush_value, -1) NOT BETWEEN 0 AND 100) AS valid FROM norm"
 )
+
+
+@group.query(_VALID_SQL)
 def validate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate(products(spark, sf_dir)).select("p_partkey", "valid")
 
 
-@group.query(f"SELECT * FROM (VALUES {_BROKEN_SQL}) v(name, error)")
+@group.query(_VALID_SQL)
+def validate_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same products as JSON texts, by rules that a schema document compiles to."""
+    rows = products(spark, sf_dir)
+    names = T.StructType.fromDDL(types.PRODUCT).fieldNames()
+    payload = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    return validate_json(rows.select("p_partkey", payload.alias("payload")), "payload", product_document()).select("p_partkey", "valid")
+
+
+@group.query(f"SELECT p_partkey, error FROM part JOIN (VALUES {_BROKEN_SQL}) v(k, error) ON p_partkey % {len(_BROKEN)} = k")
 def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = spark.createDataFrame([(name, changed(changes)) for name, changes, _ in _BROKEN], "name string, payload string")
-    return validate(parse_products(records, "payload"), "payload").select("name", F.explode_outer("errors").alias("error"))
+    """Each part has a sample product with one fault, or none, under a name of its own."""
+    texts = F.array(*[F.lit(changed({"product.uin": "@name"} | changes)) for _, changes, _ in _BROKEN])
+    text = F.replace(F.get(texts, F.pmod("p_partkey", F.lit(len(_BROKEN))).cast("int")), F.lit("@name"), F.col("p_name"))
+    records = table(spark, sf_dir, "part").select("p_partkey", text.alias("payload"))
+    return validate(parse_products(records, "payload"), "payload").select("p_partkey", F.explode_outer("errors").alias("error"))
 
 
 _NUMBERS = ("rs. 5,000 per day", "5 lakh", "1.2.3", ".", "", "-5", "1e5", "12.50%", None)

@@ -11,13 +11,13 @@ from tidewater.operators import catalog as K
 from tidewater.operators import relational as R
 from tidewater.operators.sections import SCHEMAS
 from tidewater.operators.sections import policy_sections as sections_of
-from tidewater.plans import crawling, ingest, jobs
+from tidewater.plans import crawling, ingest, jobs, pipeline
 from tidewater.queries.base import Group, table
 from tidewater.queries.tables import _ALL_DOCS, _DEFINED, _MATCHED, _TABLES, _categorised, documents, insurers, products, stored_files
 from tidewater.queries.texts import SECTIONS_SQL
 from tidewater.sources import fetch as H
 from tidewater.sources import files as S
-from tidewater.sources.documents import stored_documents
+from tidewater.sources.documents import stored_documents, write_documents
 from tidewater.sources.staging import shared_folder
 from tidewater.sources.tables import StoredTable
 
@@ -153,28 +153,57 @@ def crawl_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.visits.select("root", "url", "depth", "visit", F.size("links").cast("long").alias("n_links"))
 
 
-# Fetching: a stand-in answers by the address, so that no network is needed.
+# The whole ingestion: suppliers are the regulator's table, and pages, with a product and its wording behind their own text, the web.
 
+_OFFER = "'<h2>Care Plan ' || page_id || '</h2><p>About it</p><a class=\"download\" href=\"/docs/care-' || page_id || '-policy-wording.pdf\">Policy wording of CARE PLAN ' || page_id || '</a>'"
+_SOURCE = ingest.Source("general", "https://regulator.example/list", "insurers", {"Insurer": "insurer_name", "Website": "website"})
 
-def _answer(url: str) -> H.Answer:
-    n = len(url.encode())
-    if n % 5 == 0:
-        raise TimeoutError(url)
-    if n % 5 == 1:
-        return 404, "text/html", b""
-    kind = "application/pdf" if n % 5 == 2 else "Text/HTML; charset=utf-8"
-    return 200, kind, f"<p>{url}</p>".encode() * (1 + n % 3)
+
+@group.query(
+    "WITH visited AS (SELECT DISTINCT s, p FROM (SELECT page_id AS s, unnest([page_id, page_id + 5, page_id * 6, page_id + 5 * (page_id % 7 + 2)]) AS p FROM pages WHERE page_id < 5) WHERE p IN (SELECT page_id FROM pages) AND s + 1 IN (SELECT s_suppkey FROM supplier)),"
+    " named AS (SELECT p, 'general-' || lower(replace(s_name, '#', '')) AS insurer_id, 'https://s' || s || '.example/docs/care-' || p || '-policy-wording.pdf' AS source_url FROM visited JOIN supplier ON s_suppkey = s + 1)"
+    " SELECT insurer_id || '-care-' || p || '-policy-wording-policy_wording' AS document_id, insurer_id || '-care-plan-' || p AS product_id, source_url, CASE WHEN p % 4 <> 3 THEN sha256('ELIGIBILITY' || chr(10) || source_url) END AS content_hash,"
+    " CASE WHEN p % 4 <> 3 THEN source_url END AS eligibility, p % 4 = 3 AS pending FROM named"
+)
+def ingest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored tables and the queue hold after a run and the same run again; every fourth document has no answer."""
+    address = lambda n: F.concat(F.lit("https://s"), (n % 5).cast("string"), F.lit(".example/p/"), n.cast("string"))
+    pages = table(spark, sf_dir, "pages")
+    web = pages.select(address(F.col("page_id")).alias("url"), F.concat("html", F.expr(" || ".join([*_PLANTED, _OFFER]))).alias("html"))
+    site = F.when(F.col("s_suppkey") <= 5, F.concat(F.lit("https://s"), (F.col("s_suppkey") - 1).cast("string"), F.lit(".example/p/"), (F.col("s_suppkey") - 1).cast("string"))).otherwise("")
+    listed = table(spark, sf_dir, "supplier").select(F.struct("s_suppkey", F.concat(F.lit("<tr><td>"), "s_name", F.lit("</td><td>"), site, F.lit("</td></tr>")).alias("row")).alias("x"))
+    # The regulator's list is one page.
+    rows = listed.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["row"]), "").alias("rows"))
+    regulator = rows.select(F.lit(_SOURCE.url).alias("url"), F.concat(F.lit("<table id='insurers'><thead><tr><th>Insurer</th><th>Website</th></tr></thead><tbody>"), "rows", F.lit("</tbody></table>")).alias("html"))
+    content = F.when(F.regexp_extract("source_url", "care-([0-9]+)-", 1).cast("long") % 4 != 3, F.encode(F.concat(F.lit("ELIGIBILITY\n"), "source_url"), "UTF-8"))
+    folder = _place(spark, "ingested")
+    limits = ingest.Limits(max_depth=1, documents_dir=folder + "-files", schemas={"other": SCHEMAS["health"]} | SCHEMAS)
+    for stamp in ("2024-01-01", "2024-01-02"):
+        done = pipeline.run(spark, regulator, crawling.stored_web(web), folder, stamp, limits, lambda docs: docs.withColumn("content", content), {".pdf": lambda body: body.decode()}, (_SOURCE,))
+    files = stored_documents(spark, limits.documents_dir).select(F.concat(F.lit(limits.documents_dir + "/"), "path").alias("local_path"), F.sha2("content", 256).alias("stored_hash"))
+    left = S.read_queue(spark, f"{folder}/document_download_queue.json").select("document_id", F.lit(True).alias("left"))
+    eligible = done.sections.where("section_name = 'Eligibility'").select(F.col("source_document_id").alias("document_id"), F.col("section_body").alias("eligibility"))
+    mine = done.documents.where(F.col("source_url").contains("/docs/care-")).join(files, "local_path", "left").join(left, "document_id", "left").join(eligible, "document_id", "left")
+    return mine.select("document_id", "product_id", "source_url", F.col("stored_hash").alias("content_hash"), "eligibility", F.coalesce("left", F.lit(False)).alias("pending"))
+
+
+# Fetching: pages are stored as files, four of five, and asked for by their addresses there.
+
+_MOST = 14_000
 
 
 @group.query(
-    "SELECT page_id, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 5 = 1 THEN 404 ELSE 200 END AS status, CASE WHEN n % 5 = 0 THEN 'TimeoutError: ' || url WHEN n % 5 = 1 THEN 'status 404' WHEN size > 150 THEN 'too large' END AS error,"
-    " CASE WHEN n % 5 > 2 AND size <= 150 THEN repeat('<p>' || url || '</p>', (1 + n % 3)::INT) END AS html FROM (SELECT *, octet_length(encode(url)) AS n, (octet_length(encode(url)) + 7) * (1 + octet_length(encode(url)) % 3) AS size FROM pages)"
+    f"SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'URLError' WHEN size > {_MOST} THEN 'too large' END AS error, CASE WHEN page_id % 5 <> 0 AND size <= {_MOST} THEN sha256(html) END AS content_hash,"
+    f" CASE WHEN page_id % 5 NOT IN (0, 2) AND size <= {_MOST} THEN html END AS html FROM (SELECT *, octet_length(encode(html)) AS size FROM pages)"
 )
 def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
-    requests = table(spark, sf_dir, "pages").select("page_id", "url", host.alias("host"))
-    answers = H.fetch(requests, _answer, group="host", throttle=H.Throttle(2, 0, 0), most=150)
-    return answers.select("page_id", "status", "error", H.html_of().alias("html"))
+    folder = _place(spark, "web")
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 5 == 2, ".pdf").otherwise(".html"))
+    pages = table(spark, sf_dir, "pages").select("page_id", name.alias("path"), F.encode("html", "UTF-8").alias("content"))
+    write_documents(pages.where("page_id % 5 <> 0"), folder)
+    requests = pages.select("page_id", F.concat(F.lit((folder if "://" in folder else f"file://{folder}") + "/"), "path").alias("url"), (F.col("page_id") % 7).alias("host"))
+    answers = H.fetch(requests, group="host", throttle=H.Throttle(4, 0, 0), most=_MOST)
+    return answers.select("page_id", F.regexp_extract("error", "^[A-Za-z ]+", 0).alias("error"), F.sha2("content", 256).alias("content_hash"), H.html_of().alias("html"))
 
 
 _LIMIT = 3000
@@ -360,22 +389,18 @@ def fk_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The catalogue: a small one in memory, pages and query strings.
 
-_MEMORY_INSURERS = [{"id": "moor", "name": "Moor Health", "rating": 4.5, "totalProducts": 2}, {"id": "dale", "name": "Dale Life", "rating": 4.1, "totalProducts": 1}]
-_MEMORY_CATEGORIES = [{"id": "health", "label": "Health", "icon": "h"}, {"id": "life", "label": "Life", "icon": "l"}, {"id": "motor", "label": "Motor", "icon": "m"}]
-_MEMORY_PRODUCTS = [
-    {"id": "a", "name": "Moor Shield", "insurer": "Moor Health", "rating": 4.7, "priceFrom": 900, "tags": ["new"], "categoryId": "health", "reviews": [{"id": "r", "rating": 5}]},
-    {"id": "b", "name": "Moor Elevate", "insurer": "Moor Health", "rating": 4.2, "priceFrom": 300, "tags": [], "categoryId": "health"},
-    {"id": "c", "name": "Dale Term", "insurer": "Dale Life", "rating": 4.9, "priceFrom": 500, "categoryId": "life"},
-]
-
-
 @group.query(
-    "SELECT * FROM (VALUES (0, 'health', 'Health', 2, 'Moor Shield,Moor Elevate', 4.5), (1, 'life', 'Life', 1, 'Dale Term', 4.1), (2, 'motor', 'Motor', 0, '', NULL)) v(ordinal, id, label, n, names, insurer_rating)"
+    "SELECT r_regionkey AS ordinal, r_regionkey::VARCHAR AS id, r_name AS label, count(n_nationkey) AS n, coalesce(string_agg(n_name, ',' ORDER BY n_nationkey), '') AS names, max(n_regionkey + 0.5)::DOUBLE AS insurer_rating"
+    " FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND n_nationkey % 4 <> 0 GROUP BY 1, 2, 3"
 )
 def memory_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = K.in_memory(spark, _MEMORY_PRODUCTS, K.PRODUCTS)
-    makers = K.in_memory(spark, _MEMORY_INSURERS, K.INSURERS).select(F.col("name").alias("insurer"), F.col("rating").alias("r"))
-    counts = K.category_counts(K.in_memory(spark, _MEMORY_CATEGORIES, K.CATEGORIES).drop("productCount"), rows)
+    """Records that a program holds in memory, here the 5 regions and 25 nations, as tables of the catalogue."""
+    regions = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()
+    nations = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 0").orderBy("n_nationkey").collect()
+    categories = K.in_memory(spark, [{"id": str(r.r_regionkey), "label": r.r_name, "icon": "i"} for r in regions], K.CATEGORIES)
+    makers = K.in_memory(spark, [{"id": str(r.r_regionkey), "name": f"Maker {r.r_regionkey}", "rating": r.r_regionkey + 0.5} for r in regions], K.INSURERS).select(F.col("name").alias("insurer"), F.col("rating").alias("r"))
+    rows = K.in_memory(spark, [{"id": str(n.n_nationkey), "name": n.n_name, "insurer": f"Maker {n.n_regionkey}", "categoryId": str(n.n_regionkey)} for n in nations], K.PRODUCTS)
+    counts = K.category_counts(categories.drop("productCount"), rows)
     named = rows.join(makers, "insurer").groupBy(F.col("categoryId").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("x"), F.max("r").alias("insurer_rating"))
     joined = counts.join(named, "id", "left")
     return joined.select("ordinal", "id", "label", F.col("productCount").alias("n"), F.coalesce(F.array_join(F.transform("x", lambda y: y["name"]), ","), F.lit("")).alias("names"), "insurer_rating")

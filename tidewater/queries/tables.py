@@ -133,9 +133,11 @@ def policy_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections_of(_categorised(spark, sf_dir)).select("doc_id", "section_name", "content", "confidence")
 
 
-@group.query("SELECT unnest(['health', 'life_savings', 'life_term', 'motor']) AS category")
+@group.query(f"WITH {_ALL_DOCS} SELECT doc_id, category, category IN ('health', 'life_savings', 'life_term', 'motor') AS supported FROM wanted")
 def supported_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supported(spark)
+    """Whether a document's category has sections of its own."""
+    known = supported(spark).withColumn("known", F.lit(True))
+    return _categorised(spark, sf_dir).join(known, "category", "left").select("doc_id", "category", F.coalesce("known", F.lit(False)).alias("supported"))
 
 
 # Versions of records: events of a user, in order of event_id.

@@ -126,6 +126,14 @@ def sections_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections_by_window(said(spark, sf_dir)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).alias("chars"))
 
 
+@group.query(f"WITH {_SAID}, {SECTIONS_SQL} SELECT doc_id, ordinal, title, content FROM sections")
+def sections_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as rows of lines, cut over blocks of twenty."""
+    from tidewater.operators import sections
+
+    return sections.sections_of_lines(sections.document_lines(said(spark, sf_dir)), block=20)
+
+
 @group.query("SELECT p_partkey, length(p_name) - length(regexp_replace(p_name, '(?i)(an|e)', '', 'g')) AS matched, len(regexp_extract_all(p_name, '(?i)(an|e)')) AS matches, p_name AS text FROM part")
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = table(spark, sf_dir, "part").select("p_partkey", T.highlight(F.col("p_name"), " an  E ").alias("s"))
@@ -243,10 +251,19 @@ _TABLES = (
 )
 
 
-@group.query("SELECT * FROM (VALUES ('t1', 0, '1', '2 extra'), ('t1', 1, 'only', ''), ('t2', 0, 'w', NULL)) v(page, pos, a, bc)")
+_OWN_HTML = "CASE page_id % 3 " + " ".join(f"WHEN {k} THEN {sql_text(html)}" for k, (_, html) in enumerate(_TABLES)) + " END"
+
+
+@group.query(
+    "SELECT page_id, 0 AS pos, '1' AS a, '2 extra' AS bc FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 1, 'only', '' FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 2, url, page_id::VARCHAR FROM pages WHERE page_id % 3 = 0"
+    " UNION ALL SELECT page_id, 0, 'w', NULL FROM pages WHERE page_id % 3 = 1"
+)
 def html_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table_rows(spark.createDataFrame(list(_TABLES), "page string, html string"), "x")
-    return rows.select("page", "pos", F.try_element_at("cells", F.lit("A")).alias("a"), F.try_element_at("cells", F.lit("B&C")).alias("bc"))
+    """A table behind each page's own text, in a third of them with a row that tells the page's address."""
+    row = F.concat(F.lit("<tr><td>"), "url", F.lit("</td><td>"), "page_id", F.lit("</td></tr></tbody>"))
+    html = F.concat("html", F.replace(F.expr(_OWN_HTML), F.lit("<tr><td>only</td></tr></tbody>"), F.concat(F.lit("<tr><td>only</td></tr>"), row)))
+    rows = table_rows(table(spark, sf_dir, "pages").select("page_id", html.alias("html")), "x")
+    return rows.select("page_id", "pos", F.try_element_at("cells", F.lit("A")).alias("a"), F.try_element_at("cells", F.lit("B&C")).alias("bc"))
 
 
 _HEADED = r"trim(regexp_replace(regexp_replace(unnest(regexp_extract_all(html, '(?s)<h([1-4])[^>]*>(.*?)</h', 2)), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"

@@ -40,13 +40,13 @@ class Throttle:
 
 
 def http_get(timeout: float = 30, most: int = MAX_BYTES) -> Callable[[str], Answer]:
-    """A plain GET. Bodies are read only as far as it takes to see that they are too large."""
+    """A plain GET, of ``file:`` addresses too. Bodies are read only as far as it takes to see that they are too large."""
 
     def get(url: str) -> Answer:
         request = urllib.request.Request(url, headers={"User-Agent": AGENT})
         try:
             with urllib.request.urlopen(request, timeout=timeout) as answer:  # noqa: S310
-                return answer.status, answer.headers.get("Content-Type", ""), answer.read(most + 1)
+                return answer.status or 200, answer.headers.get("Content-Type", ""), answer.read(most + 1)
         except urllib.error.HTTPError as error:
             return error.code, error.headers.get("Content-Type", ""), b""
 

@@ -52,7 +52,9 @@ class StoredTable:
         spark = df.sparkSession
         number, old = self._last(spark)
         folder = f"data-{uuid.uuid4().hex}"
-        df.withColumn(BUCKET, self.bucket()).write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
+        # A bucket's rows come together, so that tasks don't write a file each for every bucket; large buckets are dealt over several.
+        dealt = df.withColumn(BUCKET, self.bucket()).hint("rebalance", F.col(BUCKET))
+        dealt.write.partitionBy(BUCKET).parquet(f"{self.path}/{folder}")
         fs, root = _files(spark, self.path)
         written = [s.getPath().getName() for s in fs.listStatus(_path(spark, f"{self.path}/{folder}")) if s.isDirectory()]
         folders = {} if touched is None or old is None else {b: f for b, f in old["folders"].items() if int(b) not in touched}
