@@ -77,6 +77,28 @@ def test_stages(spark, docs, stage):
     assert function(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
 
+NAMES = ("row", "doc", "key", "slot", "byte", "maybe", "of", "of_doc", "of_key", "copies", "bound", "col", "_slot", "_doc", "_key", "_maybe", "_byte", "_spot", "_at", "_bits", "_time", "_of", "_copies", "_bound", "ticket", "n", "first", "digest")
+
+
+@pytest.mark.parametrize("function", [near_dedup.drop_near_duplicates, mixing.mixed, pii.redact_pii, quality.keep_good], ids=lambda f: f.__name__)
+def test_columns_of_any_name_keep_their_values(docs, function):
+    named = docs.withColumns({c: F.concat(F.lit(c + " of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in NAMES})
+    out = function(named)
+    assert out.columns == named.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c} of {'none' if r.doc_id is None else r.doc_id}" for r in rows for c in NAMES)
+    assert sorted(((r.doc_id, r.lang, r.n_chars) for r in rows), key=repr) == sorted(((r.doc_id, r.lang, r.n_chars) for r in function(docs).collect()), key=repr)
+
+
+@pytest.mark.parametrize("zeros", [3, 5_000, 1_000_000])
+def test_addresses_with_long_runs_of_zeros(spark, zeros):
+    text = "x " + "0" * zeros + ".1.1.1 y " + "9" * zeros + ".1.1.1 z"
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = pii.find_pii(table).head()
+    assert found.n_ip == 1 and f"ip:2:{2 + zeros + 6}" in found.spans.split(",")
+    assert pii.redact_pii(table).head().text.startswith("x <IP> y ")
+
+
 def test_results_on_edges(docs):
     near = {(r.doc_id, r.n_shingles): r for r in OPERATORS["near"](docs).collect()}
     assert near[1, 116].component_id == near[2, 116].component_id == 1

@@ -8,7 +8,7 @@ import pytest
 
 from tidewater.llm.components import components
 from tidewater.llm.flat import FlatText, shingle_sets
-from tidewater.llm.near_dedup import TOKENS, _candidates, drop_near_duplicates, near_duplicates
+from tidewater.llm.near_dedup import TOKENS, Coded, _candidates, core_of, differences, drop_near_duplicates, exact_forest, forest, near_duplicates
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -147,6 +147,52 @@ def test_large_clusters_are_cut_by_rare_shingles(spark):
     check(spark, list(enumerate(texts)), 85, node_limit=150, block_bytes=12_000)
 
 
+def alike_texts(n, words, edits, rng):
+    """Texts of one template, each with its own edits, so that any two are less alike than the threshold asks but not by much."""
+    base = [f"t{k}" for k in range(words)]
+    out = []
+    for i in range(n):
+        text = list(base)
+        for k in rng.sample(range(words), edits):
+            text[k] = f"u{i}x{k}"
+        out.append(text)
+    return out
+
+
+@pytest.mark.parametrize(("percent", "edits"), [(85, 6), (80, 8)])
+def test_family_just_below_the_threshold(spark, percent, edits):
+    """Texts that are all likely pairs and no links, some of them with a near copy, in blocks that hold but few of them."""
+    rng = random.Random(percent)
+    texts = alike_texts(220, 600, edits, rng)
+    copies = [t[: -rng.randrange(1, 9)] for t in texts[::7]]
+    rows = list(enumerate(" ".join(t) for t in texts + copies))
+    check(spark, rows, percent, node_limit=100, block_bytes=30_000)
+    check(spark, rows, percent, block_bytes=200_000)
+
+
+def test_overlaps_are_counted_on_differences():
+    rng = np.random.default_rng(2)
+    sets = []
+    for size, edits, n in ((300, 12, 90), (200, 4, 20), (40, 40, 10)):
+        base = rng.integers(1, 1 << 62, size, np.uint64)
+        for _ in range(n):
+            own = base.copy()
+            own[rng.choice(size, edits, replace=False)] = rng.integers(1, 1 << 62, edits, np.uint64)
+            sets.append(np.unique(own))
+    ids, packed = np.arange(len(sets)), [x.tobytes() for x in sets]
+    plain = [set(x.tolist()) for x in sets]
+    label = {}
+    for percent in (80, 85, 92):
+        linked = lambda i, others: np.array([100 * len(plain[i] & plain[j]) >= percent * len(plain[i] | plain[j]) for j in others])  # noqa: B023, E731
+        label[percent] = forest(linked, len(sets)).tolist()
+        assert exact_forest(ids, packed, percent).tolist() == label[percent]
+        for core in (core_of(packed[:8]), core_of(packed[-9:]), np.zeros(0, np.uint64)):
+            coded = [differences(x, core) for x in packed]
+            facts = Coded(np.array([len(x) for x in sets]), len(core), np.array([k for _, k in coded]))
+            assert exact_forest(ids, [x for x, _ in coded], percent, facts).tolist() == label[percent]
+    assert len(set(label[80])) <= len(set(label[85])) < len(set(label[92]))
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1200)] + [(5, 5), (None, 7), (2000, 2001), (2001, 2000)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

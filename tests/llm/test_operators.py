@@ -418,6 +418,31 @@ def test_held_out_accuracy(spark):
 # Pieces.
 
 
+def test_lines_of_mixed_documents(spark):
+    """Good lines and boilerplate of held-out documents in one text: each line gets its own label."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").orderBy("doc_id").collect()
+    lines = lambda want: [[x for x in r.text.split("\n") if x.strip()] for r in docs if r.quality == want]
+    good, junk = ([x for x in lines(want) if len(x) >= 4] for want in (1, 0))
+    assert len(good) > 20 and len(junk) > 5
+    texts, kinds = [], []
+    for i, g in enumerate(good):
+        j = junk[i % len(junk)]
+        halves = [(g, 1), (j, 0)] if i % 2 else [(j, 0), (g, 1)]
+        texts.append("\n".join(x for part, _ in halves for x in part))
+        kinds.append([k for part, k in halves for _ in part])
+    read = quality.read_lines(pa.array(texts))
+    labels = quality.viterbi(quality.LineModel.load(), read)
+    flat = np.array([k for ks in kinds for k in ks])
+    assert len(labels) == len(flat)
+    right = labels == flat
+    assert right.mean() > 0.9
+    both = [len(set(labels[a:b])) == 2 for a, b in zip(read.first[:-1], read.first[1:], strict=True)]
+    assert np.mean(both) > 0.8
+    share = np.array(quality.judge(pa.array(texts), quality.LineModel.load())[-2])
+    true = [sum(len(x.replace(" ", "")) for x, k in zip(t.split("\n"), ks, strict=True) if k) / len("".join(t.split())) for t, ks in zip(texts, kinds, strict=True)]
+    assert np.mean(np.abs(share - np.array(true)) < 0.1) > 0.8
+
+
 def test_parity_on_documents_and_traps():
     texts = documents().text.tolist()
     assert all(sentencepiece_codec.parity(PIECES, texts))

@@ -190,7 +190,9 @@ def format_chats(chats: DataFrame) -> DataFrame:
 
     A pair is ``plain`` code points outside the loss, and then ``learnt`` under it, null where the
     turn isn't trained on. What is left of the text after the last pair is outside. Lengths need
-    no running sum, so that time is linear in the turns.
+    no running sum, so that time is linear in the turns. Null roles and texts are empty ones
+    (``turns_of_table`` makes them so), repeated turns stay, no turns give an empty text; extra columns are
+    ignored, and an empty table gives an empty result.
     """
     opening = lambda t: F.concat(F.lit(BEGIN), _header(t["role"]), F.lit("\n"))
     closing = F.lit(END + "\n")
@@ -210,7 +212,8 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     """The inverse of ``format_chats``: (conv_id, formatted, mask) to (conv_id, formatted, turns, trained).
 
     trained has the texts under the mask, unescaped, in order. Texts are cut at the template's
-    own marks, which no text can hold, and the mask's lengths count from there.
+    own marks, which no text can hold, and the mask's lengths count from there. A null or empty
+    ``formatted`` has no turns; repeated rows are read alike; extra columns are ignored.
     """
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p: p != "")
     rows = formatted.select("conv_id", "formatted", F.arrays_zip(pieces.alias("piece"), F.col("mask")).alias("parts"))

@@ -21,7 +21,9 @@
    frequency. Only sets that do are compared, so that texts of one template cost no more than
    their own near copies.
 6. A cluster whose sets exceed ``block_bytes`` is first cut by the same rule into parts that
-   share no such shingle. A part that is still too large is dealt into blocks that all have some
+   share no such shingle. In a part that is still too large, sets become differences from a core
+   that most of some members have, which are small among texts of one template, and overlaps
+   are counted on these. What doesn't fit a block then either is dealt into blocks that all have some
    members, the pivots, in common. Members that hang together with the hub, the pivot that
    most pivots are linked with, are done; the rest meets all members, block against block.
    All links are found, and no task grows with the cluster.
@@ -33,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
 from tidewater.llm.flat import U64, chunks, mix, shingle_sets
-from tidewater.llm.shared import map_batches, own, staged
+from tidewater.llm.shared import map_batches, own, staged, unstaged
 
 TOKENS = 64
 TREES = 8
@@ -168,33 +171,86 @@ def _prefix(percent: int, size: np.ndarray) -> np.ndarray:
     return (100 - percent) * size // 100 + 1
 
 
-def exact_forest(ids: np.ndarray, packed: list[bytes], percent: int) -> np.ndarray:
-    """The smallest index reachable from each set over links confirmed on full sets; equal ids are one."""
-    size = np.array([len(x) // 8 for x in packed], np.int64)
+class _Overlaps:
+    """How many terms each of ``n`` sets shares with all others, read off what sets them apart.
+
+    Terms of more than half of the sets are a core. Two sets share the core but for what either lacks,
+    plus what both lack, plus what both have besides it: so only differences from the core are indexed,
+    and texts of one template cost as little as they differ.
+    """
+
+    def __init__(self, n: int, owner: np.ndarray, term: np.ndarray, count: np.ndarray) -> None:
+        column = np.cumsum(2 * count > n) - 1
+        major = 2 * count[term] > n
+        self.n, self.core = n, int((2 * count > n).sum())
+        there = np.zeros((n, self.core), bool)
+        there[owner[major], column[term[major]]] = True
+        lacking, lacked = np.nonzero(~there)
+        self.lacks = np.bincount(lacking, minlength=n)
+        own = ~major & (count[term] > 1)
+        holder, what = np.concatenate([owner[own], lacking]), np.concatenate([term[own], len(count) + lacked])
+        order = np.argsort(holder, kind="stable")
+        self.what = what[order]
+        self.begin = np.searchsorted(holder[order], np.arange(n + 1))
+        by_what = np.argsort(what, kind="stable")
+        self.post = holder[by_what].astype(np.int32)
+        self.at = np.searchsorted(what[by_what], np.arange(len(count) + self.core + 1))
+        steps = np.concatenate([[0], np.cumsum(self.at[self.what + 1] - self.at[self.what])])
+        self.cost = np.diff(steps[self.begin])
+
+    def of(self, i: int) -> np.ndarray:
+        mine = self.what[self.begin[i] : self.begin[i + 1]]
+        lengths = self.at[mine + 1] - self.at[mine]
+        done = np.cumsum(lengths)
+        met = self.post[np.repeat(self.at[mine] - (done - lengths), lengths) + np.arange(int(done[-1]) if len(done) else 0)]
+        return self.core - self.lacks[i] - self.lacks + np.bincount(met, minlength=self.n)
+
+
+def exact_forest(ids: np.ndarray, packed: list[bytes], percent: int, coded: Coded | None = None) -> np.ndarray:
+    """The smallest index reachable from each set over links confirmed on full sets; equal ids are one.
+
+    With ``coded``, ``packed`` holds each set's differences from a core that all of them have in common.
+    """
+    length = np.array([len(x) // 8 for x in packed], np.int64)
+    size, core, lacks = (length, 0, np.zeros(len(ids), np.int64)) if coded is None else (coded.size, coded.core, coded.lacks)
     flat = np.frombuffer(b"".join(packed), U64)
     _, term, count = np.unique(flat, return_inverse=True, return_counts=True)
-    first = np.concatenate([[0], np.cumsum(size)])
+    first = np.concatenate([[0], np.cumsum(length)])
+    owner = np.repeat(np.arange(len(ids)), length)
     marked = np.zeros(len(count), bool)
     twice = len(np.unique(ids)) < len(ids)
+    index: list[_Overlaps] = []
+    read = 0
+
+    def shared(i: int, near: np.ndarray) -> np.ndarray:
+        """Reads the sets of the others, or where that would be more, the index of differences."""
+        nonlocal read
+        left = int(length[near].sum())
+        read += left
+        if not index and read > 4 * len(flat):
+            index.append(_Overlaps(len(ids), owner, term, count))
+        if index and index[0].cost[i] < left:
+            return index[0].of(i)[near]
+        mine = term[first[i] : first[i + 1]]
+        marked[mine] = True
+        done = np.cumsum(length[near])
+        places = np.repeat(first[near] - (done - length[near]), length[near]) + np.arange(left)
+        found = np.bincount(np.repeat(np.arange(len(near)), length[near]), marked[term[places]], len(near)).astype(np.int64)
+        marked[mine] = False
+        return found
 
     def alike(i: int, others: np.ndarray) -> np.ndarray:
-        """Reads the sets of the others, which dwindle as links are found, and of these only those of a fitting size."""
+        """Of the others, which dwindle as links are found, only those of a fitting size are compared."""
         linked = np.zeros(len(others), bool)
         fits = np.flatnonzero(100 * np.minimum(size[i], size[others]) >= percent * np.maximum(size[i], size[others]))
         near = others[fits]
         if len(near):
-            mine = term[first[i] : first[i + 1]]
-            marked[mine] = True
-            done = np.cumsum(size[near])
-            places = np.repeat(first[near] - (done - size[near]), size[near]) + np.arange(int(done[-1]))
-            shared = np.add.reduceat(marked[term[places]], done - size[near], dtype=np.int64)
-            marked[mine] = False
-            linked[fits] = 100 * shared >= percent * (size[i] + size[near] - shared)
+            both = core - lacks[i] - lacks[near] + shared(i, near)
+            linked[fits] = 100 * both >= percent * (size[i] + size[near] - both)
         return linked | (ids[others] == ids[i]) if twice else linked
 
-    if len(ids) <= FEW_SETS:
+    if len(ids) <= FEW_SETS or coded is not None:
         return forest(alike, len(ids))
-    owner = np.repeat(np.arange(len(ids)), size)
     order = np.lexsort((term, count[term], owner))
     place = np.arange(len(term)) - first[owner]
     kept = order[(place < _prefix(percent, size)[owner]) & (count[term[order]] > 1)]
@@ -221,18 +277,41 @@ def exact_forest(ids: np.ndarray, packed: list[bytes], percent: int) -> np.ndarr
     return forest(partners, len(ids))
 
 
-def _sorted_sets(members: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+@dataclass(frozen=True)
+class Coded:
+    """Of sets that are stored as differences from a core: their sizes, the core's, and how much of it each lacks."""
+
+    size: np.ndarray
+    core: int
+    lacks: np.ndarray
+
+
+def core_of(packed: list[bytes]) -> np.ndarray:
+    """Terms of more than half of the sets. Any core is right; one that most sets have makes differences small."""
+    term, count = np.unique(np.frombuffer(b"".join(packed), U64), return_counts=True)
+    return term[2 * count > len(packed)]
+
+
+def differences(packed: bytes, core: np.ndarray) -> tuple[bytes, int]:
+    """A set's terms beyond the core and, turned over, those of the core that it lacks; and the number of the latter."""
+    terms = np.frombuffer(packed, U64)
+    lacking = np.setdiff1d(core, terms, assume_unique=True)
+    return np.concatenate([np.setdiff1d(terms, core, assume_unique=True), ~lacking]).tobytes(), len(lacking)
+
+
+def _sorted_sets(members: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, Coded | None]:
     ids = members.column("rid").to_numpy()
     order = np.argsort(ids, kind="stable")
-    return ids[order], members.column("shingles").combine_chunks().take(pa.array(order)).to_pylist(), order
+    coded = Coded(members.column("n").to_numpy()[order], members.column("core")[0].as_py(), members.column("lacks").to_numpy()[order]) if "core" in members.column_names else None
+    return ids[order], members.column("shingles").combine_chunks().take(pa.array(order)).to_pylist(), order, coded
 
 
 def _exact(percent: int):
     """For the sets of a cluster, or of two of its blocks: the confirmed links, as stars on the smallest id."""
 
     def run(members: pa.Table) -> pa.Table:
-        ids, packed, _ = _sorted_sets(members)
-        return pa.table({"a": ids, "b": ids[exact_forest(ids, packed, percent)]})
+        ids, packed, _, coded = _sorted_sets(members)
+        return pa.table({"a": ids, "b": ids[exact_forest(ids, packed, percent, coded)]})
 
     return run
 
@@ -241,11 +320,11 @@ def _exact_around_hub(percent: int):
     """For a block of a large part: its confirmed links as stars, and for each member whether it is apart from the hub."""
 
     def run(block: pa.Table) -> pa.Table:
-        ids, packed, order = _sorted_sets(block)
+        ids, packed, order, coded = _sorted_sets(block)
         common = np.flatnonzero(block.column("pivot").to_numpy(zero_copy_only=False)[order])
-        label = exact_forest(ids, packed, percent)
+        label = exact_forest(ids, packed, percent, coded)
         # Every block has the same pivots; how these are linked among themselves is the same in all.
-        own_label = exact_forest(ids[common], [packed[i] for i in common], percent)
+        own_label = exact_forest(ids[common], [packed[i] for i in common], percent, Coded(coded.size[common], coded.core, coded.lacks[common]))
         hub = common[int(own_label[np.bincount(own_label).argmax() if len(common) else 0])] if len(common) else 0
         part = np.full(len(ids), block.column("part")[0].as_py())
         return pa.table({"part": part, "a": ids, "b": ids[label], "rest": label != label[hub]})
@@ -466,24 +545,56 @@ def _parts(spark, large: DataFrame, percent: int) -> DataFrame:
     return components(edges).withColumnsRenamed({"id": "rid", "component": "part"})
 
 
+def _coded(large: DataFrame, common: DataFrame) -> DataFrame:
+    """(part, rid, n, core, lacks, shingles): each set as its differences from a core of its part, which some members tell.
+
+    One core for each large part; a core is as large as a set.
+    """
+
+    def core(members: pa.Table) -> pa.Table:
+        return pa.table({"part": members.column("part")[:1], "core": pa.array([core_of(members.column("shingles").to_pylist()).tobytes()], pa.binary())})
+
+    cores = staged(large.select("part", "rid", "shingles").join(common, ["part", "rid"]).groupBy("part").applyInArrow(core, "part long, core binary"), "cores")
+
+    def code(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [(differences(x, np.frombuffer(c, U64)), len(c) // 8) for x, c in zip(batch.column("shingles").to_pylist(), batch.column("core").to_pylist(), strict=True)]
+        coded = [pa.array([len_ for _, len_ in sets], pa.int64()), pa.array([x[1] for x, _ in sets], pa.int64()), pa.array([x[0] for x, _ in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("rid"), batch.column("n"), *coded], ["part", "rid", "n", "core", "lacks", "shingles"])
+
+    rows = large.select("part", "rid", "n", "shingles").join(cores, "part").select("part", "rid", "n", "shingles", "core")
+    return staged(map_batches(rows, code, "part long, rid long, n long, core long, lacks long, shingles binary"), "coded")
+
+
 def _large_parts(large: DataFrame, percent: int, block_bytes: int) -> DataFrame:
-    """Confirmed links (a, b) in parts (part, blocks, rid, n, shingles) of more than one block."""
+    """Confirmed links (a, b) in parts (part, rid, n, shingles) of more than one block.
+
+    Sets are stored as differences from a core of their part, which makes most parts fit one block. Others
+    are dealt into blocks that all have the pivots; what is apart from the hub meets all members, block against block.
+    """
     order = F.xxhash64("rid", "part")
     nth = F.row_number().over(Window.partitionBy("part").orderBy(order, "rid"))
     common = staged(large.select("part", "rid").withColumn("nth", nth).where(F.col("nth") <= COMMON).select("part", "rid", F.lit(True).alias("pivot")), "pivots")
+    sets = _coded(large, common)
+    weigh = lambda df, name: staged(df.groupBy("part").agg(F.ceil(F.sum(F.length("shingles") + 8) / block_bytes).cast("long").alias(name)), name)
+    sets = sets.join(weigh(sets, "blocks"), "part")
+    kept = ("n", "core", "lacks", "shingles")
+    edges = sets.where("blocks = 1").select("part", "rid", *kept).groupBy("part").applyInArrow(_exact(percent), "a long, b long")
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
+        return edges
     dealt = large.join(common, ["part", "rid"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     place = lambda n: F.pmod(F.xxhash64("rid"), F.col(n))
     blocks = F.when(F.col("pivot"), every("blocks")).otherwise(F.array(place("blocks")))
-    sent = dealt.select("part", F.explode(blocks).alias("block"), "rid", "pivot", "shingles")
+    sent = dealt.select("part", F.explode(blocks).alias("block"), "rid", "pivot", *kept)
     found = staged(sent.groupBy("part", "block").applyInArrow(_exact_around_hub(percent), "part long, a long, b long, rest boolean"), "hubs")
     rest = found.groupBy("part", F.col("a").alias("rid")).agg(F.min("rest").alias("rest")).where("rest").drop("rest")
     rest = staged(large.join(rest, ["part", "rid"]), "rest")
-    weights = staged(rest.groupBy("part").agg(F.ceil(F.sum("n") * 8 / block_bytes).cast("long").alias("rests")), "rests")
-    ours = rest.join(weights, "part").select("part", "rid", "shingles", place("rests").alias("i"), F.explode(every("blocks")).alias("j"))
-    theirs = large.join(weights, "part").select("part", "rid", "shingles", F.explode(every("rests")).alias("i"), place("blocks").alias("j"))
+    weights = weigh(rest, "rests")
+    ours = rest.join(weights, "part").select("part", "rid", *kept, place("rests").alias("i"), F.explode(every("blocks")).alias("j"))
+    theirs = large.join(weights, "part").select("part", "rid", *kept, F.explode(every("rests")).alias("i"), place("blocks").alias("j"))
     crossed = ours.unionByName(theirs).groupBy("part", "i", "j").applyInArrow(_exact(percent), "a long, b long")
-    return found.select("a", "b").unionByName(crossed)
+    return edges.unionByName(found.select("a", "b")).unionByName(crossed)
 
 
 def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, node_limit: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
@@ -491,37 +602,38 @@ def drop_near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80,
 
     Verdicts are by row, so that different texts under one doc_id go or stay each by their
     own group. Rows equal in doc_id and text count once: the one whose columns' hash is smallest
-    stays. Rows without doc_id stay.
+    stays. Rows without doc_id stay, and so do null and empty texts under different ids. Columns keep their values
+    whatever their names; an empty table gives an empty result.
     """
     judged = staged(_verdicts(docs, words, percent, node_limit, block_bytes).where("doc_id is not null"), "judged")
     mine = F.struct("doc_id", "digest", "key")
-    gone = judged.where(F.col("first").isNotNull() & (mine != F.col("first"))).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
+    gone = judged.where(F.col("first").isNotNull() & (mine != F.col("first"))).select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key")).distinct()
     gone = staged(gone, "gone")
-    twice = judged.groupBy(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    id_, key = F.col("doc_id").cast("long"), F.xxhash64("text")
-    match = (id_ == F.col("_doc")) & (key == F.col("_key"))
-    named = _without(docs, gone, match)
+    twice = judged.groupBy(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # The user's columns are one struct, so that none clashes with those that are added.
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = packed.select("row", F.col("row.doc_id").cast("long").alias("doc"), F.xxhash64("row.text").alias("key"))
+    match = (F.col("doc") == F.col("of_doc")) & (F.col("key") == F.col("of_key"))
+    named = _without(packed, gone, match)
     twice = staged(twice, "repeats")
     if not twice.isEmpty():
-        columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-        every = named.join(twice, match, "left_semi").groupBy(id_.alias("_doc"), key.alias("_key")).agg(F.min_by(columns, F.xxhash64(F.to_json(columns))).alias("_row"))
-        named = named.join(twice, match, "left_anti").unionByName(every.select("_row.*"))
-    return named
+        every = named.join(twice, match, "left_semi").groupBy("doc", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        named = named.join(twice, match, "left_anti").select("row").unionByName(every.select("row"))
+    unstaged(judged)
+    return named.select("row.*")
 
 
-def _without(docs: DataFrame, gone: DataFrame, match: Column) -> DataFrame:
-    """``docs`` but the rows (_doc, _key) of ``gone``; of the texts that stay hardly any is moved.
+def _without(packed: DataFrame, gone: DataFrame, match: Column) -> DataFrame:
+    """``packed`` (row, doc, key) but the rows (of_doc, of_key) of ``gone``; of the texts that stay hardly any is moved.
 
     A broadcast bit table, as in ``_member_sets``, passes the rows that are surely not gone.
     """
-    keys = gone.select(F.col("_doc").alias("doc_id"), F.col("_key").alias("key"))
+    keys = gone.select(F.col("of_doc").alias("doc_id"), F.col("of_key").alias("key"))
     bits = _bits(keys.count())
-    spots = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
-    placed = docs.withColumn("_spot", spots).withColumn("_slot", F.pmod(F.xxhash64("_spot.doc_id", "_spot.key"), F.lit(bits)))
-    marked = placed.join(F.broadcast(_bit_table(keys, bits)), F.shiftright("_slot", 15) == F.col("_at"), "left")
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.col("_slot") % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_ = F.coalesce(F.expr("shiftright(_byte, cast(_slot % 8 as int))").bitwiseAND(F.lit(1)) == 1, F.lit(False))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    maybe = marked.withColumn("_byte", byte).select(*columns, set_.alias("_maybe"))
-    tested = maybe.where("_maybe").drop("_maybe").join(gone.hint("merge"), match, "left_anti")
-    return maybe.where("not _maybe").drop("_maybe").unionByName(tested)
+    placed = packed.withColumn("slot", F.pmod(F.xxhash64("doc", "key"), F.lit(bits)))
+    marked = placed.join(F.broadcast(_bit_table(keys, bits)), F.shiftright("slot", 15) == F.col("_at"), "left")
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(F.col("slot") % 32768, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.coalesce(F.expr("shiftright(byte, cast(slot % 8 as int))").bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    maybe = marked.withColumn("byte", byte).select("row", "doc", "key", set_.alias("maybe"))
+    tested = maybe.where("maybe").drop("maybe").join(gone.hint("merge"), match, "left_anti")
+    return maybe.where("not maybe").drop("maybe").unionByName(tested)

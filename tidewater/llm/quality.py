@@ -269,7 +269,10 @@ def quality_rules(docs: DataFrame, model: LineModel | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: LineModel | None = None) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names.
+
+    Null and empty texts fail and go; repeated rows stay or go together; an empty table gives an empty result.
+    """
     model = model or LineModel.load()
     at = docs.columns.index("text")
 

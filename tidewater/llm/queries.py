@@ -46,7 +46,7 @@ def licence_dresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = len(LICENCES)
     known = F.array(*[F.lit(t) for _, t in LICENCES])
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("own"), F.get(known, F.pmod("doc_id", F.lit(n)).cast("int")).alias("text"))
-    comment = F.concat(F.lit(" * Copyright "), F.col("doc_id").cast("string"), F.lit(", Somebody\n"), F.regexp_replace("text", "(?m)^", " * "))
+    comment = F.concat(F.lit(" * Copyright 2024, Somebody "), F.col("doc_id").cast("string"), F.lit("\n"), F.regexp_replace("text", "(?m)^", " * "))
     dress = F.pmod(F.floor(F.col("doc_id") / n), F.lit(5))
     dressed = F.when(dress == 0, F.col("text")).when(dress == 1, F.upper("text")).when(dress == 2, comment).when(dress == 3, F.regexp_replace("text", r"\blicense\b", "licence")).otherwise(F.concat("text", F.lit("\nThis clause is new.\n"), "own"))
     return license_scan(docs.select("doc_id", dressed.alias("text"))).select("doc_id", "license")
