@@ -34,14 +34,12 @@ def test_the_product_document_judges_as_todays_rules(spark):
         texts.append(changed({p: v for p, v in changes.items() if fitting(p, v)}))
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, payload string")
     today = {r.i: r.valid for r in validate(parse_products(rows, "payload"), "payload").collect()}
-    typed = lambda t: all(isinstance(x, str) or not isinstance(x, (bool, int, float)) for x in json.loads(t)["valueAdds"].get("others") or [])
     for i, found in enumerate(errors(spark, product_document(), texts)):
         # What a typed column can't hold, as a number where a text stands, only the document sees.
         if found == []:
             assert today[i], texts[i]
         if not today[i]:
             assert found, texts[i]
-        assert typed(texts[i])
 
 
 EVALUATION = {"productRef": {"insurer": "I", "planName": "P", "variant": None}, "scores": [{"parameter": "ncb", "rating": "Good", "score": 90, "rationale": "r"}], "overall": {"weightedScore": 90.5, "grade": "A+", "notes": None}, "version": "1.0.0"}
@@ -146,7 +144,7 @@ def test_a_third_document_against_a_plain_checker(spark):
     }
     docs = [1, "text", None, [], {}]
     for _ in range(400):
-        docs.append({k: rng.choice(v) for k, v in pool.items() if rng.random() < (0.1 if k == "more" else 0.75)})
+        docs.append({k: v[0] if rng.random() < 0.85 else rng.choice(v) for k, v in pool.items() if rng.random() < (0.1 if k == "more" else 0.75)})
     found = errors(spark, THIRD, [json.dumps(d) for d in docs])
     for d, e in zip(docs, found, strict=True):
         assert (e == []) == fits(THIRD, d), (d, e)

@@ -78,10 +78,10 @@ class Compiler:
     def errors(self, payload: Column) -> Column:
         """Broken rules of a JSON text as array<string>, ``path: what is wrong``, in the document's order. Null and malformed texts break one rule."""
         value = F.try_parse_json(payload)
-        return F.when(value.isNull(), F.array(F.lit("(root): must be JSON"))).otherwise(self._errors(self.document, value, F.lit(""), ()))
+        return F.when(value.isNull(), F.array(F.lit("(root): must be JSON"))).otherwise(self._errors(self.document, value, "", ()))
 
-    def _errors(self, schema: Schema | bool, value: Column, path: Column, within: tuple[str, ...]) -> Column:
-        """Errors of a part that is there."""
+    def _errors(self, schema: Schema | bool, value: Column, path: str | Column, within: tuple[str, ...]) -> Column:
+        """Errors of a part that is there. ``path`` is text as far as it is known when compiling, which keeps plans small."""
         if isinstance(schema, bool):
             return _none() if schema else self._said(F.lit(False), path, "must not be there")
         found = [self._keyword(name, schema, value, path, within) for name in schema if name not in ANNOTATIONS]
@@ -92,11 +92,17 @@ class Compiler:
         return errors
 
     @staticmethod
-    def _said(ok: Column, path: Column, message: str | Column) -> Column:
-        where = F.when(path == "", "(root)").otherwise(path)
-        return F.when(F.coalesce(ok, F.lit(False)), _none()).otherwise(F.array(F.concat(where, F.lit(": "), F.lit(message) if isinstance(message, str) else message)))
+    def _said(ok: Column, path: str | Column, message: str | Column) -> Column:
+        where = F.lit(f"{path or '(root)'}: ") if isinstance(path, str) else F.concat(path, F.lit(": "))
+        whole = F.lit(f"{path or '(root)'}: {message}") if isinstance(path, str) and isinstance(message, str) else F.concat(where, F.lit(message) if isinstance(message, str) else message)
+        return F.when(F.coalesce(ok, F.lit(False)), _none()).otherwise(F.array(whole))
 
-    def _keyword(self, name: str, schema: Schema, value: Column, path: Column, within: tuple[str, ...]) -> Column | None:
+    @staticmethod
+    def _text(path: str | Column, message: str, name: Column) -> Column:
+        start = F.lit(f"{path or '(root)'}: {message}") if isinstance(path, str) else F.concat(path, F.lit(f": {message}"))
+        return F.concat(start, name)
+
+    def _keyword(self, name: str, schema: Schema, value: Column, path: str | Column, within: tuple[str, ...]) -> Column | None:
         wanted = schema[name]
         said = lambda ok, message: self._said(ok, path, message)
         only = lambda kind, ok: ~_is(value, kind) | ok  # noqa: E731 - rules on a kind hold for all others
@@ -128,15 +134,17 @@ class Compiler:
             return said(only("array", F.size(items) >= wanted if name == "minItems" else F.size(items) <= wanted), "must have a fitting number of items")
         if name == "items":
             items = F.try_variant_get(value, "$", "array<variant>")
-            each = F.transform(items, lambda x, i: self._errors(wanted, x, F.concat(path, F.lit("/"), i.cast("string")), within))
+            each = F.transform(items, lambda x, i: self._errors(wanted, x, F.concat(F.lit(path) if isinstance(path, str) else path, F.lit("/"), i.cast("string")), within))
             return F.coalesce(F.flatten(each), _none())
         if name == "required":
-            missing = [self._said(_part(value, n).isNotNull(), path, f"must have required property {n}") for n in wanted]
-            return F.when(_is(value, "object"), F.concat(*missing)).otherwise(_none()) if missing else None
+            keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+            missing = F.array_except(F.array(*map(F.lit, wanted)), keys)
+            said_of = F.transform(missing, lambda n: self._text(path, "must have required property ", n))
+            return F.coalesce(said_of, _none()) if wanted else None
         if name == "properties":
 
             def below(part_name: str, rules: Schema | bool) -> Column:
-                where = F.concat(path, F.lit(f"/{part_name}"))
+                where = f"{path}/{part_name}" if isinstance(path, str) else F.concat(path, F.lit(f"/{part_name}"))
                 return let(_part(value, part_name), lambda v: F.when(v.isNotNull(), self._errors(rules, v, where, within)).otherwise(_none()))
 
             return F.concat(*[below(n, rules) for n, rules in wanted.items()]) if wanted else None
@@ -147,7 +155,7 @@ class Compiler:
                 return None
             if wanted is not False:
                 raise ValueError("additionalProperties is known as true or false only")
-            return F.coalesce(F.flatten(F.transform(others, lambda k: self._said(F.lit(False), path, F.concat(F.lit("must not have additional property "), k)))), _none())
+            return F.coalesce(F.transform(others, lambda k: self._text(path, "must not have additional property ", k)), _none())
         if name == "$ref":
             return self._errors(self._resolved(wanted, within), value, path, (*within, wanted))
         if name == "allOf":
