@@ -14,7 +14,7 @@ from tidewater.operators.json_schema import validate_json
 from tidewater.operators.normalizing import normalize
 from tidewater.operators.scoring import PARAMETERS, WEIGHTS, grade, rate, score_products, weighted_sum
 from tidewater.operators.validation import evaluation_errors, parse_products, product_document, validate
-from tidewater.queries.base import Group, table
+from tidewater.queries.base import Group, spread, table
 
 group = Group()
 
@@ -40,8 +40,8 @@ def _pick(values: tuple, index: str) -> str:
     return f"element_at(array({items}), cast({index} % {len(values)} + 1 as int))"
 
 
-def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw facts about one product for each part, with p_partkey."""
+def raw_products(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Raw facts about one product for each part, with p_partkey. ``dealt``: the rows of the table, a compact file, are spread over all cores first."""
     k, s = "p_partkey", "p_size"
     structs = {
         "product": f"named_struct('insurer', p_brand, 'planName', p_name, 'variant', cast(null as string), 'uin', cast(null as string), 'policyType', if({k} % 2 = 0, 'Floater', 'Other'), 'isTopUp', {k} % 3 = 0, 'geography', if({k} % 11 = 0, 'in', cast(null as string)))",
@@ -61,15 +61,16 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "provenance": f"named_struct('sourceType', 'policy_pdf', 'sourceName', p_name, 'sourceDate', if({k} % 9 = 0, '2025-13-01', '2025-01-15'), 'extractionConfidence', if({k} % 2 = 0, 0.75D, cast(null as double)))",
         "notes": "array(p_type, ' by hand ', p_type, '')",
     }
-    return table(spark, sf_dir, "part").select("p_partkey", *[F.expr(sql).alias(name) for name, sql in structs.items()])
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    return (spread(part) if dealt else part).select("p_partkey", *[F.expr(sql).alias(name) for name, sql in structs.items()])
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(raw_products(spark, sf_dir))
+def products(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return normalize(raw_products(spark, sf_dir, dealt))
 
 
-def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_products(products(spark, sf_dir))
+def evaluations(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    return score_products(products(spark, sf_dir, dealt))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +201,7 @@ def _norm(columns: str) -> str:
 
 
 def _flat(spark: SparkSession, sf_dir: str, **columns: str | F.Column) -> DataFrame:
-    return products(spark, sf_dir).select("p_partkey", *[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+    return products(spark, sf_dir, dealt=True).select("p_partkey", *[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
 
 _PARSED = {
@@ -254,7 +255,7 @@ for _place, _parameter in enumerate(PARAMETERS):
 
     def _one(spark: SparkSession, sf_dir: str, place: int = _place) -> DataFrame:
         row = F.col("scores")[place]
-        return evaluations(spark, sf_dir).select("p_partkey", two_places(row["score"]).alias("score"), row["rating"].alias("rating"), row["rationale"].alias("rationale"))
+        return evaluations(spark, sf_dir, dealt=True).select("p_partkey", two_places(row["score"]).alias("score"), row["rating"].alias("rating"), row["rationale"].alias("rationale"))
 
     group.query(_sql, _KEYS.get(_parameter.name, f"score_{_parameter.name}"))(_one)
 
@@ -263,18 +264,18 @@ _SUMMED = f"WITH {_FACTS}, {_SCORED} SELECT p_partkey"
 
 @group.query(f"{_SUMMED}, {_TWO.format('weighted')} AS weighted_score FROM summed")
 def score_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluations(spark, sf_dir).select("p_partkey", F.col("overall.weightedScore").alias("weighted_score"))
+    return evaluations(spark, sf_dir, dealt=True).select("p_partkey", F.col("overall.weightedScore").alias("weighted_score"))
 
 
 @group.query(f"WITH {_FACTS}, {_SCORED} SELECT {_GRADE.format('weighted')} AS grade, count(*) AS n, {_TWO.format('min(weighted)')} AS least, {_TWO.format('max(weighted)')} AS most FROM summed GROUP BY 1")
 def score_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = evaluations(spark, sf_dir).select("overall.grade", "overall.weightedScore")
+    graded = evaluations(spark, sf_dir, dealt=True).select("overall.grade", "overall.weightedScore")
     return graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"), F.min("weightedScore").alias("least"), F.max("weightedScore").alias("most"))
 
 
 @group.query(f"{_SUMMED}, {_NOTES} AS notes FROM summed")
 def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluations(spark, sf_dir).select("p_partkey", "overall.notes")
+    return evaluations(spark, sf_dir, dealt=True).select("p_partkey", "overall.notes")
 
 
 @group.query(
@@ -283,14 +284,14 @@ def score_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ") AS ratings, '1.0.0' AS version, 0 AS broken FROM summed"
 )
 def score_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = evaluations(spark, sf_dir).withColumn("broken", F.size(evaluation_errors()))
+    scored = evaluations(spark, sf_dir, dealt=True).withColumn("broken", F.size(evaluation_errors()))
     ratings = F.array_join(F.transform("scores", lambda x: x["rating"]), "/")
     return scored.select("p_partkey", "productRef.insurer", F.col("productRef.planName").alias("plan_name"), F.col("overall.weightedScore").alias("weighted_score"), "overall.grade", ratings.alias("ratings"), "version", "broken")
 
 
 @group.query(f"{_SUMMED}, " + " || chr(10) || ".join(f"{n}_said" for n in WEIGHTS) + " AS rationale FROM summed")
 def score_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluations(spark, sf_dir).select("p_partkey", F.array_join(F.transform("scores", lambda x: x["rationale"]), "\n").alias("rationale"))
+    return evaluations(spark, sf_dir, dealt=True).select("p_partkey", F.array_join(F.transform("scores", lambda x: x["rationale"]), "\n").alias("rationale"))
 
 
 @group.query("SELECT p_partkey, " + _TWO.format("p_retailprice / 20") + " AS score, " + _RATE.format("(p_retailprice / 20)") + " AS rating, " + _GRADE.format("(p_retailprice / 20)") + " AS grade FROM part")
@@ -355,7 +356,7 @@ def score_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part has one of two sample products, under its own name."""
     named = F.concat(F.lit("Plan "), F.col("p_partkey").cast("string"))
     text = F.when(F.col("p_partkey") % 2 == 0, changed({"product.planName": "@name"})).otherwise(changed(_TOP_UP_CHANGES | {"product.planName": "@name"}))
-    records = table(spark, sf_dir, "part").select("p_partkey", F.replace(text, F.lit("@name"), named).alias("payload"))
+    records = spread(table(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", F.replace(text, F.lit("@name"), named).alias("payload"))
     scored = validate(score_products(parse_products(records, "payload")), "payload")
     scores = F.array_join(F.transform("scores", lambda x: F.floor(x["score"]).cast("string")), ",")
     return scored.select("p_partkey", F.col("overall.weightedScore").alias("weighted_score"), "overall.grade", "overall.notes", "valid", scores.alias("scores"))
@@ -399,13 +400,13 @@ _VALID_SQL = (
 
 @group.query(_VALID_SQL)
 def validate_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate(products(spark, sf_dir)).select("p_partkey", "valid")
+    return validate(products(spark, sf_dir, dealt=True)).select("p_partkey", "valid")
 
 
 @group.query(_VALID_SQL)
 def validate_compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same products as JSON texts, by rules that a schema document compiles to."""
-    rows = products(spark, sf_dir)
+    rows = products(spark, sf_dir, dealt=True)
     names = T.StructType.fromDDL(types.PRODUCT).fieldNames()
     payload = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     return validate_json(rows.select("p_partkey", payload.alias("payload")), "payload", product_document()).select("p_partkey", "valid")
@@ -416,7 +417,7 @@ def validation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part has a sample product with one fault, or none, under a name of its own."""
     texts = F.array(*[F.lit(changed({"product.uin": "@name"} | changes)) for _, changes, _ in _BROKEN])
     text = F.replace(F.get(texts, F.pmod("p_partkey", F.lit(len(_BROKEN))).cast("int")), F.lit("@name"), F.col("p_name"))
-    records = table(spark, sf_dir, "part").select("p_partkey", text.alias("payload"))
+    records = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name")).select("p_partkey", text.alias("payload"))
     return validate(parse_products(records, "payload"), "payload").select("p_partkey", F.explode_outer("errors").alias("error"))
 
 
