@@ -77,8 +77,8 @@ class Compiler:
 
     def errors(self, payload: Column) -> Column:
         """Broken rules of a JSON text as array<string>, ``path: what is wrong``, in the document's order. Null and malformed texts break one rule."""
-        value = F.try_parse_json(payload)
-        return F.when(value.isNull(), F.array(F.lit("(root): must be JSON"))).otherwise(self._errors(self.document, value, "", ()))
+        # Branches don't share what they compute, so that the text would be parsed again for every keyword.
+        return let(F.try_parse_json(payload), lambda v: F.when(v.isNull(), F.array(F.lit("(root): must be JSON"))).otherwise(self._errors(self.document, v, "", ())))
 
     def _errors(self, schema: Schema | bool, value: Column, path: str | Column, within: tuple[str, ...]) -> Column:
         """Errors of a part that is there. ``path`` is text as far as it is known when compiling, which keeps plans small."""
