@@ -33,6 +33,13 @@ def test_files_are_written_and_listed(spark, tmp_path):
     assert below(tmp_path / "docs") == sorted([p for p, _ in rows] + ["none"])
 
 
+def test_tasks_that_read_files_do_not_grow_with_the_files(spark, tmp_path):
+    write_documents(spark.range(1000).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit(b"x").alias("content")), f"file://{tmp_path}/docs")
+    found = stored_documents(spark, f"file://{tmp_path}/docs")
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism and found.count() == 1000
+    assert "ReadSchema: struct<path:string>" in found.select("path")._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("bad", ["../out", "/etc/x", "a/../../b", "", None])
 def test_paths_stay_below_the_folder(spark, tmp_path, bad):
     rows = spark.createDataFrame([("fine", b"1"), (bad, b"2")], "path string, content binary").repartition(2)
