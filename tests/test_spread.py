@@ -17,3 +17,9 @@ def test_parts_are_dealt_over_the_cores(spark, name):
 def test_texts_are_parsed_once(spark):
     checked = validate_json(spark.createDataFrame([("{}",)], "payload string"), "payload", product_document())
     assert checked._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
+
+
+@pytest.mark.parametrize("name", ["score_daycare", "score_copay", "score_pre_post"])
+def test_a_score_makes_only_what_it_reads(spark, name):
+    plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" in plan and not any(text in plan for text in ("Single private AC room", "Rs 40000 per eye", "per_claim"))

@@ -197,18 +197,19 @@ PARAMETERS = (
 )
 
 
-#: Placeholders of all rationales, each once: the numbers that texts quote, in their short form.
-QUOTED = tuple(dict.fromkeys(x for p in PARAMETERS for part in p.rationale for x in re.findall(r"{([^{}]*)[|][^{}|]*}", part)))
+def _quoted_by(parameters: tuple[Parameter, ...]) -> tuple[str, ...]:
+    """Placeholders of the rationales, each once: the numbers that texts quote, in their short form."""
+    return tuple(dict.fromkeys(x for p in parameters for part in p.rationale for x in re.findall(r"{([^{}]*)[|][^{}|]*}", part)))
 
 
-def quoted_numbers() -> Column:
-    """array<string>: the short forms of ``QUOTED``, by one expression over all of them."""
-    return F.transform(F.array(*[F.expr(x).cast("double") for x in QUOTED]), lambda x: short_number(x, None))
+def quoted_numbers(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
+    """array<string>: the short forms of the numbers that texts quote, by one expression over all of them."""
+    return F.transform(F.array(*[F.expr(x).cast("double") for x in _quoted_by(parameters)]).cast("array<double>"), lambda x: short_number(x, None))
 
 
-def _expanded(sql: str) -> str:
+def _expanded(sql: str, quoted: tuple[str, ...]) -> str:
     """SQL whose placeholders are read from the column ``_quoted``."""
-    return re.sub(r"{([^{}]*)[|]([^{}|]*)}", lambda m: f"coalesce(_quoted[{QUOTED.index(m[1])}], '{m[2]}')", sql)
+    return re.sub(r"{([^{}]*)[|]([^{}|]*)}", lambda m: f"coalesce(_quoted[{quoted.index(m[1])}], '{m[2]}')", sql)
 
 
 def rate(score: Column) -> Column:
@@ -233,8 +234,9 @@ def scores_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
 
 
 def rationales_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
-    """array<string>: the text of each parameter, beside the column ``_quoted``."""
-    return F.array(*[F.trim(F.concat_ws("", *[F.expr(_expanded(part)) for part in p.rationale])) for p in parameters])
+    """array<string>: the text of each parameter, beside the column ``_quoted`` of the same parameters."""
+    quoted = _quoted_by(parameters)
+    return F.array(*[F.trim(F.concat_ws("", *[F.expr(_expanded(part, quoted)) for part in p.rationale])) for p in parameters])
 
 
 def judged(scores: Column, rationales: Column, parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
@@ -260,11 +262,19 @@ def overall_notes() -> Column:
     return F.nullif(F.array_join(F.array_distinct(F.filter(said, lambda x: x.isNotNull())), " | "), F.lit(""))
 
 
+def _detailed(products: DataFrame, parameters: tuple[Parameter, ...]) -> DataFrame:
+    return products.withColumns({"_quoted": quoted_numbers(parameters), "_score": scores_of(parameters)}).withColumn("_text", rationales_of(parameters))
+
+
+def judge_products(products: DataFrame, parameters: tuple[Parameter, ...]) -> DataFrame:
+    """Adds scores of these parameters only; what none of them reads of a product need not be made."""
+    return _detailed(products, parameters).withColumn("scores", judged(F.col("_score"), F.col("_text"), parameters)).drop("_quoted", "_score", "_text")
+
+
 def score_products(products: DataFrame) -> DataFrame:
     """Adds productRef, scores (in the order of ``WEIGHTS``), overall<weightedScore, grade, notes> and version."""
     names = [p.name for p in PARAMETERS]
-    detailed = products.withColumns({"_quoted": quoted_numbers(), "_score": scores_of()}).withColumn("_text", rationales_of())
-    summed = detailed.withColumn("_sum", weighted_sum({n: F.col("_score")[names.index(n)] for n in WEIGHTS}))
+    summed = _detailed(products, PARAMETERS).withColumn("_sum", weighted_sum({n: F.col("_score")[names.index(n)] for n in WEIGHTS}))
     overall = F.struct(two_places(F.col("_sum")).alias("weightedScore"), grade(F.col("_sum")).alias("grade"), overall_notes().alias("notes"))
     reference = F.struct("product.insurer", "product.planName", "product.variant")
     scored = summed.withColumns({"productRef": reference, "scores": judged(F.col("_score"), F.col("_text")), "overall": overall, "version": F.lit(VERSION)})
