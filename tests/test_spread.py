@@ -23,3 +23,8 @@ def test_texts_are_parsed_once(spark):
 def test_a_score_makes_only_what_it_reads(spark, name):
     plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey" in plan and not any(text in plan for text in ("Single private AC room", "Rs 40000 per eye", "per_claim"))
+
+
+def test_validity_is_told_without_messages(spark):
+    plan = products.group.queries["validate_product"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" in plan and "must be boolean" not in plan and "filter(arrays_zip(" not in plan

@@ -161,18 +161,29 @@ def _each(keys: Column, text: str) -> Column:
     return F.transform(keys, lambda k: F.concat(F.lit(text), k))
 
 
-def value_errors() -> Column:
-    """Broken rules of typed product columns, as array<string>, in the order of ``RULES``."""
-    holds = F.array(*[F.coalesce(F.expr(r.holds), F.lit(False)) for r in RULES])
+def kept_rules() -> Column:
+    """Whether typed product columns keep each of ``RULES``, as array<boolean>."""
+    return F.array(*[F.coalesce(F.expr(r.holds), F.lit(False)) for r in RULES])
+
+
+def value_errors(holds: Column) -> Column:
+    """Messages of the broken rules, as array<string>, in the order of ``RULES``. ``holds``: a column of ``kept_rules``."""
     said = F.array(*[F.lit(f"{r.path}: {r.message}") for r in RULES])
     broken = F.filter(F.arrays_zip(holds.alias("holds"), said.alias("said")), lambda x: ~x["holds"])
-    return F.transform(broken, lambda x: x["said"])
+    return F.when(F.array_contains(holds, False), F.transform(broken, lambda x: x["said"])).otherwise(F.array().cast("array<string>"))
 
 
 def validate(products: DataFrame, payload: str | None = None) -> DataFrame:
-    """Adds errors (array<string>) and valid; with ``payload``, the name of a JSON column, its keys are checked too."""
-    errors = value_errors() if payload is None else F.concat(key_errors(F.col(payload)), value_errors())
-    return products.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+    """Adds errors (array<string>) and valid; with ``payload``, the name of a JSON column, its keys are checked too.
+
+    The rules are a column of their own: Spark compiles them there, and only interprets what a
+    lambda's argument holds. Without a payload, ``valid`` is read from them, not from messages.
+    """
+    judged = products.withColumn("_holds", kept_rules())
+    errors = value_errors(F.col("_holds"))
+    if payload is None:
+        return judged.withColumns({"errors": errors, "valid": ~F.array_contains("_holds", False)}).drop("_holds")
+    return judged.withColumn("errors", F.concat(key_errors(F.col(payload)), errors)).withColumn("valid", F.size("errors") == 0).drop("_holds")
 
 
 def parse_products(records: DataFrame, payload: str) -> DataFrame:

@@ -36,8 +36,8 @@ _INITIAL, _SPECIFIC, _PED = ("30 days", "45", None, "15.5"), ("24", "36", None),
 
 def _pick(values: tuple, index: str) -> str:
     """Spark SQL for one of several texts; ``#`` stands for a digit of the part's key."""
-    items = ", ".join("cast(null as string)" if v is None else f"replace('{v}', '#', cast(p_partkey % 7 as string))" for v in values)
-    return f"element_at(array({items}), cast({index} % {len(values)} + 1 as int))"
+    items = ", ".join("cast(null as string)" if v is None else f"'{v}'" for v in values)
+    return f"replace(element_at(array({items}), cast({index} % {len(values)} + 1 as int)), '#', cast(p_partkey % 7 as string))"
 
 
 def raw_products(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
