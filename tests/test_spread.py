@@ -28,3 +28,8 @@ def test_a_score_makes_only_what_it_reads(spark, name):
 def test_validity_is_told_without_messages(spark):
     plan = products.group.queries["validate_product"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey" in plan and "must be boolean" not in plan and "filter(arrays_zip(" not in plan
+
+
+def test_rationales_are_read_without_scores(spark):
+    plan = products.group.queries["score_rationale"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "No recharge benefit." in plan and "_score" not in plan and "arrays_zip(" not in plan

@@ -1,8 +1,8 @@
 """Explainable scores: eleven parameters, each a rating, a score and a rationale; a weighted sum and a grade.
 
 Each parameter is a declarative row of SQL over a normalised product's struct columns. Numbers
-that texts quote, scores and texts are arrays, staged as columns: each is computed once, and
-what is done to all of them is one small expression over the array.
+that texts quote, scores and texts are arrays, staged as columns: each is computed once. They
+meet as structs without a lambda, so that who reads a single field makes no other.
 """
 
 from __future__ import annotations
@@ -236,14 +236,13 @@ def scores_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
 def rationales_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
     """array<string>: the text of each parameter, beside the column ``_quoted`` of the same parameters."""
     quoted = _quoted_by(parameters)
-    return F.array(*[F.trim(F.concat_ws("", *[F.expr(_expanded(part, quoted)) for part in p.rationale])) for p in parameters])
+    return F.transform(F.array(*[F.concat_ws("", *[F.expr(_expanded(part, quoted)) for part in p.rationale]) for p in parameters]), F.trim)
 
 
 def judged(scores: Column, rationales: Column, parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
     """array<struct<parameter, score, rating, rationale>>."""
-    names = F.array(*[F.lit(p.name) for p in parameters])
-    rows = F.arrays_zip(names.alias("parameter"), scores.alias("score"), rationales.alias("rationale"))
-    return F.transform(rows, lambda x: F.struct(x["parameter"].alias("parameter"), x["score"].alias("score"), rate(x["score"]).alias("rating"), x["rationale"].alias("rationale")))
+    row = lambda i, p: F.struct(F.lit(p.name).alias("parameter"), scores[i].alias("score"), rate(scores[i]).alias("rating"), rationales[i].alias("rationale"))
+    return F.array(*[row(i, p) for i, p in enumerate(parameters)])
 
 
 def weighted_sum(scores: dict[str, Column]) -> Column:

@@ -291,7 +291,7 @@ def score_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @group.query(f"{_SUMMED}, " + " || chr(10) || ".join(f"{n}_said" for n in WEIGHTS) + " AS rationale FROM summed")
 def score_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluations(spark, sf_dir, dealt=True).select("p_partkey", F.array_join(F.transform("scores", lambda x: x["rationale"]), "\n").alias("rationale"))
+    return evaluations(spark, sf_dir, dealt=True).select("p_partkey", F.array_join("scores.rationale", "\n").alias("rationale"))
 
 
 @group.query("SELECT p_partkey, " + _TWO.format("p_retailprice / 20") + " AS score, " + _RATE.format("(p_retailprice / 20)") + " AS rating, " + _GRADE.format("(p_retailprice / 20)") + " AS grade FROM part")
