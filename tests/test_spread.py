@@ -3,6 +3,7 @@
 import pytest
 
 from tidewater.operators.json_schema import validate_json
+from tidewater.operators.scoring import Parameter, judge_products
 from tidewater.operators.validation import product_document
 from tidewater.queries import products
 
@@ -33,3 +34,15 @@ def test_validity_is_told_without_messages(spark):
 def test_rationales_are_read_without_scores(spark):
     plan = products.group.queries["score_rationale"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "No recharge benefit." in plan and "_score" not in plan and "arrays_zip(" not in plan
+
+
+@pytest.mark.parametrize("name", ["score_ayush", "score_topup", "score_domiciliary", "score_room_rent", "score_recharge"])
+def test_a_single_score_is_compiled(spark, name):
+    plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws(" in plan and "transform(array(" not in plan
+
+
+def test_rationales_lose_blanks_only(spark):
+    one = Parameter("said", "0D", ("' 010 '", "'said '"))
+    judge = lambda parameters: spark.range(1).transform(judge_products, parameters).first().scores
+    assert [x.rationale for x in judge((one,))] == ["010 said"] and {x.rationale for x in judge((one,) * 5)} == {"010 said"}
