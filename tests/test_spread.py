@@ -39,10 +39,31 @@ def test_rationales_are_read_without_scores(spark):
 @pytest.mark.parametrize("name", ["score_ayush", "score_topup", "score_domiciliary", "score_room_rent", "score_recharge"])
 def test_a_single_score_is_compiled(spark, name):
     plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-    assert "concat_ws(" in plan and "transform(array(" not in plan
+    assert "concat_ws(" in plan and "transform(array(concat_ws(" not in plan
 
 
 def test_rationales_lose_blanks_only(spark):
     one = Parameter("said", "0D", ("' 010 '", "'said '"))
     judge = lambda parameters: spark.range(1).transform(judge_products, parameters).first().scores
     assert [x.rationale for x in judge((one,))] == ["010 said"] and {x.rationale for x in judge((one,) * 5)} == {"010 said"}
+
+
+@pytest.mark.parametrize(
+    "name, unread",
+    [("score_ayush", "availableBands"), ("score_domiciliary", "up to si")],
+)
+def test_a_single_score_makes_no_other_field(spark, name, unread):
+    plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" in plan and unread not in plan
+
+
+@pytest.mark.parametrize("name", ["score_ayush", "score_domiciliary"])
+def test_methods_are_short_enough_to_be_compiled(spark, name):
+    """A method of more than 8,000 bytes stays interpreted by the JVM."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = products.group.queries[name](spark, SF)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000

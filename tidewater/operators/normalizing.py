@@ -1,4 +1,4 @@
-"""Raw facts to typed products: one select of struct columns, each a ladder of text rules.
+"""Raw facts to typed products: a select of struct columns, each a ladder of text rules.
 
 Every rule is a native column expression, so that any number of products normalise without a
 shuffle. Where a rule ladder looks for words, the first that holds decides.
@@ -6,6 +6,8 @@ shuffle. Where a rule ladder looks for words, the first that holds decides.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,19 +43,40 @@ def _number(x: float | None) -> Column:
     return F.lit(x).cast("double")
 
 
-def room_rent() -> Column:
-    text, icu, addon = _lower("roomRent.text"), _lower("roomRent.icuText"), _lower("roomRent.addonInfo")
-    percent, amount = _percent(text), to_number(text)
-    # Each step of the ladder claims the text even where its number is missing.
-    step = (
+def _numbers() -> dict[str, Column]:
+    """Numbers that several fields ask for."""
+    room = _lower("roomRent.text")
+    return {
+        "_room_percent": _percent(room),
+        "_room_amount": to_number(room),
+        "_icu_amount": to_number(_lower("roomRent.icuText")),
+        "_ayush_value": to_number(F.col("hospitalization.ayushLimitValue")),
+        "_accrual": _whole_percent(_lower("bonuses.ncbText")),
+        "_cataract_amount": to_number(_lower("sublimits.cataractText")),
+    }
+
+
+def _kinds(at: dict[str, Column]) -> dict[str, Column]:
+    """What several fields of a struct depend on, by the numbers in ``at``."""
+    return {"_room": _room_step(at), "_ayush": _ayush_kind(at), "_cataract": _cataract_kind(at)}
+
+
+def _room_step(at: dict[str, Column]) -> Column:
+    """Each step of the ladder claims the text even where its number is missing."""
+    text = _lower("roomRent.text")
+    return (
         F.when(text.contains("no room") & text.contains("cap"), F.lit("no_cap"))
-        .when(text.contains("%"), F.when(percent.isNotNull(), F.lit("percent_of_SI")))
+        .when(text.contains("%"), F.when(at["_room_percent"].isNotNull(), F.lit("percent_of_SI")))
         .when(text.contains("single") & text.contains("private"), F.lit("single_private_room"))
         .when(text.contains("twin"), F.lit("twin_sharing"))
-        .when(text.rlike("rs|₹|lakh|lac|crore"), F.when(amount.isNotNull(), F.lit("rupee_cap")))
+        .when(text.rlike("rs|₹|lakh|lac|crore"), F.when(at["_room_amount"].isNotNull(), F.lit("rupee_cap")))
     )
-    value = F.when(step == "percent_of_SI", percent).when(step == "rupee_cap", amount)
-    icu_amount = to_number(icu)
+
+
+def room_rent(at: dict[str, Column]) -> Column:
+    text, icu, addon = _lower("roomRent.text"), _lower("roomRent.icuText"), _lower("roomRent.addonInfo")
+    step, icu_amount = at["_room"], at["_icu_amount"]
+    value = F.when(step == "percent_of_SI", at["_room_percent"]).when(step == "rupee_cap", at["_room_amount"])
     icu_type = F.when(icu.contains("no cap"), "no_cap").when(icu.contains("%") | icu_amount.isNull(), "percent_of_SI").otherwise("rupee_cap")
     icu_value = F.when(icu.contains("no cap"), _number(None)).when(icu.contains("%"), _percent(icu)).otherwise(icu_amount)
     applies = F.when(step.isNotNull() & (step != "no_cap"), "applies").otherwise("not_applicable")
@@ -68,17 +91,21 @@ def room_rent() -> Column:
     )
 
 
-def ayush() -> Column:
-    text, value = _lower("hospitalization.ayushText"), to_number(F.col("hospitalization.ayushLimitValue"))
+def _ayush_kind(at: dict[str, Column]) -> Column:
+    text, value = _lower("hospitalization.ayushText"), at["_ayush_value"]
     full = text.contains("up to si") | text.contains("upto si") | text.contains("sum insured")
-    kind = (
+    return (
         F.when(((text == "") & value.isNull()) | text.contains("not covered"), "not_covered")
         .when(full, "up_to_SI")
         .when(text.contains("%"), "percent")
         .when(value.isNotNull(), "rupee_cap")
         .otherwise("up_to_SI")
     )
-    limit = F.when(kind == "percent", F.coalesce(value, to_number(text))).when(kind == "rupee_cap", value)
+
+
+def ayush(at: dict[str, Column]) -> Column:
+    kind, value = at["_ayush"], at["_ayush_value"]
+    limit = F.when(kind == "percent", F.coalesce(value, to_number(_lower("hospitalization.ayushText")))).when(kind == "rupee_cap", value)
     return _struct(covered=kind != "not_covered", limitType=kind, limitValue=limit)
 
 
@@ -93,9 +120,9 @@ def recharge() -> Column:
     return _struct(type=kind, sameIllnessAllowed=F.when(kind != "na", text.contains("same illness")))
 
 
-def ncb() -> Column:
+def ncb(at: dict[str, Column]) -> Column:
     text = _lower("bonuses.ncbText")
-    accrual = _whole_percent(text)
+    accrual = at["_accrual"]
     stated = F.regexp_extract(text, r"max(?:imum)?\s*(\d{1,3})\s*%", 1).try_cast("double")
     impact = F.when(text.contains("reduce"), "reduces").when(text.contains("no impact") | text.contains("protected"), "no_impact")
     return _struct(accrualPerYearPercent=accrual, maxCapPercent=F.coalesce(stated, accrual * 2), claimImpact=impact)
@@ -114,16 +141,19 @@ def copay() -> Column:
     return _struct(mandatory=kind, mandatoryPercent=percent, optionalCopayAvailable=F.coalesce(F.col("copay.optionalAvailable"), F.lit(False)))
 
 
-def cataract() -> Column:
+def _cataract_kind(at: dict[str, Column]) -> Column:
     text = _lower("sublimits.cataractText")
-    amount = to_number(text)
-    kind = (
+    return (
         F.when((text == "") | text.contains("no sub-limit") | text.contains("not applicable"), "not_applicable")
         .when(text.contains("%"), "percent_of_SI")
-        .when(amount.isNotNull(), "rupee_cap")
+        .when(at["_cataract_amount"].isNotNull(), "rupee_cap")
         .otherwise("not_applicable")
     )
-    value = F.when(kind == "percent_of_SI", _whole_percent(text)).when(kind == "rupee_cap", amount)
+
+
+def cataract(at: dict[str, Column]) -> Column:
+    text, kind = _lower("sublimits.cataractText"), at["_cataract"]
+    value = F.when(kind == "percent_of_SI", _whole_percent(text)).when(kind == "rupee_cap", at["_cataract_amount"])
     return _struct(type=kind, value=value, perEye=F.when(kind != "not_applicable", text.contains("per eye")))
 
 
@@ -197,8 +227,20 @@ def joined_notes(notes: Column) -> Column:
     return F.nullif(F.array_join(kept, " | "), F.lit(""))
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Columns of ``types.RAW`` to those of ``types.PRODUCT``; other columns of ``raw`` go along."""
+def normalize(raw: DataFrame, reads: Iterable[str] | None = None) -> DataFrame:
+    """Columns of ``types.RAW`` to those of ``types.PRODUCT``; other columns of ``raw`` go along.
+
+    With ``reads``, fields such as ``hospitalization.ayush``, no others are made, nor structs without any of them. What
+    several fields ask for is a column then, read and compiled once, so that the code stays short enough for the JVM to compile.
+    """
+    at = _numbers()
+    if reads is None:
+        at |= _kinds(at)
+        facts = raw
+    else:
+        numbers = {n: F.col(n) for n in at}
+        facts = raw.withColumns(at).withColumns(kinds := _kinds(numbers))
+        at = numbers | {n: F.col(n) for n in kinds}
     flag = lambda path: F.coalesce(F.col(path), F.lit(False))
     days = lambda name, default: F.coalesce(round_half_up(to_number(F.col(f"hospitalization.{name}"))).cast("double"), _number(default))
     product = _struct(
@@ -217,21 +259,21 @@ def normalize(raw: DataFrame) -> DataFrame:
         "product": product,
         "sumInsured": sum_insured(),
         "deductible": deductible(),
-        "roomRent": room_rent(),
+        "roomRent": room_rent(at),
         "hospitalization": _struct(
             inpatient=F.when(F.coalesce(F.col("hospitalization.inpatientCovered"), F.lit(True)), "covered").otherwise("not_covered"),
             daycare=daycare(),
             preHospDays=days("preHospDays", DEFAULT_PRE_DAYS),
             postHospDays=days("postHospDays", DEFAULT_POST_DAYS),
             domiciliary=home,
-            ayush=ayush(),
+            ayush=ayush(at),
         ),
         "transport": transport(),
         "organDonor": organ_donor(),
-        "bonuses": _struct(ncb=ncb(), recharge=recharge()),
+        "bonuses": _struct(ncb=ncb(at), recharge=recharge()),
         "waitingPeriods": waiting_periods(),
         "copayAndZones": copay(),
-        "sublimits": _struct(cataract=cataract(), diseaseSpecific=disease_sublimits()),
+        "sublimits": _struct(cataract=cataract(at), diseaseSpecific=disease_sublimits()),
         "valueAdds": _struct(**{n: flag(f"valueAdds.{n}") for n in ("annualHealthCheckup", "eConsult", "wellnessBenefits")}, others=F.coalesce(F.col("valueAdds.others"), F.array().cast("array<string>"))),
         "topUpSpecifics": top_up(),
         "provenance": _struct(
@@ -241,4 +283,7 @@ def normalize(raw: DataFrame) -> DataFrame:
         "notes": joined_notes(F.col("notes")),
     }
     others = [F.col(f"`{c}`") for c in raw.columns if c not in made and c != "copay"]
-    return raw.select(*others, *[c.alias(n) for n, c in made.items()])
+    if reads is not None:
+        read = dict.fromkeys(tuple(path.split(".")) for path in reads)
+        made = {n: F.struct(*[made[n][f].alias(f) for m, f in read if m == n]) for n in dict.fromkeys(n for n, _ in read)}
+    return facts.select(*others, *[c.alias(n) for n, c in made.items()])

@@ -8,7 +8,6 @@ meet as structs without a lambda, so that who reads a single field makes no othe
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -36,8 +35,8 @@ LOWEST_GRADE = "D"
 BANDS = (("Good", 80), ("OK", 60))
 LOWEST_BAND = "Bad"
 VERSION = "1.0.0"
-#: Up to so many expressions are compiled one by one; the code of many may be longer than the JVM compiles.
-FEW = 4
+#: Up to so many texts are compiled one by one; the code of many may be longer than the JVM compiles.
+FEW = 2
 
 
 @dataclass(frozen=True)
@@ -200,19 +199,20 @@ PARAMETERS = (
 )
 
 
+def fields_read(parameters: tuple[Parameter, ...]) -> tuple[str, ...]:
+    """Fields of a product's structs, as ``roomRent.limitType``, that the SQL of these parameters names outside its texts."""
+    sql = re.sub("'[^']*'", "''", " ".join(x for p in parameters for x in (p.score, *p.rationale)))
+    return tuple(dict.fromkeys(re.findall(r"\b[A-Za-z]\w*[.][A-Za-z]\w*", sql)))
+
+
 def _quoted_by(parameters: tuple[Parameter, ...]) -> tuple[str, ...]:
     """Placeholders of the rationales, each once: the numbers that texts quote, in their short form."""
     return tuple(dict.fromkeys(x for p in parameters for part in p.rationale for x in re.findall(r"{([^{}]*)[|][^{}|]*}", part)))
 
 
-def _each(items: list[Column], function: Callable[[Column], Column]) -> Column:
-    """An array of ``function`` of each: a few are compiled, with all that they are made of; more are one lambda, which Spark interprets."""
-    return F.array(*[function(x) for x in items]) if len(items) <= FEW else F.transform(F.array(*items), lambda x: function(x))
-
-
 def quoted_numbers(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
-    """array<string>: the short forms of the numbers that texts quote."""
-    return _each([F.expr(x).cast("double") for x in _quoted_by(parameters)], lambda x: short_number(x, None)).cast("array<string>")
+    """array<string>: the short forms of the numbers that texts quote, by one expression over all of them."""
+    return F.transform(F.array(*[F.expr(x).cast("double") for x in _quoted_by(parameters)]).cast("array<double>"), lambda x: short_number(x, None))
 
 
 def _expanded(sql: str, quoted: tuple[str, ...]) -> str:
@@ -244,7 +244,9 @@ def scores_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
 def rationales_of(parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:
     """array<string>: the text of each parameter, beside the column ``_quoted`` of the same parameters."""
     quoted = _quoted_by(parameters)
-    return _each([F.concat_ws("", *[F.expr(_expanded(part, quoted)) for part in p.rationale]) for p in parameters], F.trim)
+    texts = [F.concat_ws("", *[F.expr(_expanded(part, quoted)) for part in p.rationale]) for p in parameters]
+    # A lambda's argument is interpreted, with all that Spark moves into it.
+    return F.array(*[F.trim(x) for x in texts]) if len(texts) <= FEW else F.transform(F.array(*texts), lambda x: F.trim(x))
 
 
 def judged(scores: Column, rationales: Column, parameters: tuple[Parameter, ...] = PARAMETERS) -> Column:

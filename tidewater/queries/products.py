@@ -12,7 +12,7 @@ from tidewater import types
 from tidewater.functions.numbers import card_number, first_dash_to_space, percent_label, to_integer, to_number, two_places
 from tidewater.operators.json_schema import validate_json
 from tidewater.operators.normalizing import normalize
-from tidewater.operators.scoring import PARAMETERS, WEIGHTS, grade, judge_products, rate, score_products, weighted_sum
+from tidewater.operators.scoring import PARAMETERS, WEIGHTS, fields_read, grade, judge_products, rate, score_products, weighted_sum
 from tidewater.operators.validation import evaluation_errors, parse_products, product_document, validate
 from tidewater.queries.base import Group, spread, table
 
@@ -254,8 +254,8 @@ for _place, _parameter in enumerate(PARAMETERS):
     _sql = f"WITH {_FACTS}, {_SCORED} SELECT p_partkey, {_TWO.format(_column)} AS score, {_RATE.format(_column)} AS rating, {_parameter.name}_said AS rationale FROM summed"
 
     def _one(spark: SparkSession, sf_dir: str, place: int = _place) -> DataFrame:
-        row = F.col("scores")[0]
-        return judge_products(products(spark, sf_dir, dealt=True), (PARAMETERS[place],)).select("p_partkey", two_places(row["score"]).alias("score"), row["rating"].alias("rating"), row["rationale"].alias("rationale"))
+        row, one = F.col("scores")[0], (PARAMETERS[place],)
+        return judge_products(normalize(raw_products(spark, sf_dir, dealt=True), fields_read(one)), one).select("p_partkey", two_places(row["score"]).alias("score"), row["rating"].alias("rating"), row["rationale"].alias("rationale"))
 
     group.query(_sql, _KEYS.get(_parameter.name, f"score_{_parameter.name}"))(_one)
 
