@@ -50,14 +50,14 @@ def test_rationales_lose_blanks_only(spark):
 
 @pytest.mark.parametrize(
     "name, unread",
-    [("score_ayush", "availableBands"), ("score_domiciliary", "up to si"), ("score_topup", "icuLimitType")],
+    [("score_ayush", "availableBands"), ("score_domiciliary", "up to si"), ("score_topup", "icuLimitType"), ("score_room_rent", "roomModifierOption")],
 )
 def test_a_single_score_makes_no_other_field(spark, name, unread):
     plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "p_partkey" in plan and unread not in plan
 
 
-@pytest.mark.parametrize("name", ["score_ayush", "score_domiciliary"])
+@pytest.mark.parametrize("name", ["score_ayush", "score_domiciliary", "score_room_rent"])
 def test_methods_are_short_enough_to_be_compiled(spark, name):
     """A method of more than 8,000 bytes stays interpreted by the JVM."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
