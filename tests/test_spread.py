@@ -50,7 +50,7 @@ def test_rationales_lose_blanks_only(spark):
 
 @pytest.mark.parametrize(
     "name, unread",
-    [("score_ayush", "availableBands"), ("score_domiciliary", "up to si"), ("score_topup", "icuLimitType"), ("score_room_rent", "roomModifierOption")],
+    [("score_ayush", "availableBands"), ("score_domiciliary", "up to si"), ("score_topup", "icuLimitType"), ("score_room_rent", "roomModifierOption"), ("score_recharge", "claimImpact")],
 )
 def test_a_single_score_makes_no_other_field(spark, name, unread):
     plan = products.group.queries[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
