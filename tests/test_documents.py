@@ -40,6 +40,23 @@ def test_tasks_that_read_files_do_not_grow_with_the_files(spark, tmp_path):
     assert "ReadSchema: struct<path:string>" in found.select("path")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_names_of_stored_files_stay_off_the_driver(spark, tmp_path):
+    rows = [("a/b/c/d.pdf", b"1"), ("a/e f.pdf", b"22"), ("ü%20.doc", b"333"), ("a/_hidden/x.pdf", b"4"), ("a/.y", b"5"), *[(f"big{k}", bytes([k]) * (3 << 20)) for k in range(3)]]
+    write_documents(spark.createDataFrame(rows, "path string, content binary").repartition(1), f"file://{tmp_path}/docs")
+    found = stored_documents(spark, f"file://{tmp_path}/docs")
+    assert sorted((r.path, r.length, bytes(r.content)) for r in found.coalesce(1).collect()) == sorted((p, len(c), c) for p, c in rows if p not in ("a/_hidden/x.pdf", "a/.y"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan(found) and "ArrowEvalPython" not in plan(found.select("path", "length"))
+    names = spark.range(3).select(F.concat(F.lit("big"), F.col("id").cast("string")).alias("path"))
+    assert "Broadcast" not in plan(names.join(found, "path", "left")) and names.join(found, "path").count() == 3
+    docs = spark.createDataFrame([("D 1", "i1", "https://h/1.pdf", "a/e f.pdf", "p1"), ("D 2", "i1", "https://h/2.pdf", None, "p1")], "document_id string, insurer_id string, source_url string, local_path string, product_id string")
+    docs = docs.withColumns({c: F.lit(None).cast("string") for c in ("page_url", "anchor_text", "discovery_method", "extension", "document_type")})
+    insurers, products = spark.createDataFrame([("i1", "One")], "insurer_id string, name string"), spark.createDataFrame([("p1", "P")], "product_id string, name string")
+    pending = jobs.pending_downloads(docs, insurers, products, found.select(F.col("path").alias("local_path")))
+    assert [(r.document_id, r.product_name) for r in pending.collect()] == [("D 2", "P")]
+    assert plan(pending).split("== Initial Plan ==")[-1].count("BroadcastHashJoin") <= 1  # insurers
+
+
 @pytest.mark.parametrize("bad", ["../out", "/etc/x", "a/../../b", "", None])
 def test_paths_stay_below_the_folder(spark, tmp_path, bad):
     rows = spark.createDataFrame([("fine", b"1"), (bad, b"2")], "path string, content binary").repartition(2)
